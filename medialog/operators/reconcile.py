@@ -12,8 +12,6 @@ operations keyed by (show, file name) and (show, identity):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,15 +39,46 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Reconciled:
-    """Result of one pass: ``rows`` holds every catalogue row with its verdict."""
-
-    rows: DataFrame
-    episodes: DataFrame
-    changes: DataFrame
-    counters: DataFrame
-    diagnostics: DataFrame
+    """One pass: ``rows`` holds every catalogue row with its verdict, the rest follows from it."""
+
+    def __init__(self, listing: DataFrame, audio: DataFrame, matched: DataFrame, claims: DataFrame, rows: DataFrame):
+        self._listing, self._audio, self._matched, self._claims = listing, audio, matched, claims
+        self.rows = rows
+
+    @property
+    def episodes(self) -> DataFrame:
+        """The new snapshot of the catalogue."""
+        return self.rows.select("after.*")
+
+    @property
+    def changes(self) -> DataFrame:
+        return self.rows.where(F.col("action") != "kept").select(
+            F.col("after.id").alias("episode_id"),
+            "show_id",
+            "identity_key",
+            "action",
+            "changed",
+            F.col("before.status").alias("status_before"),
+            F.col("after.status").alias("status_after"),
+            F.col("after.filename").alias("filename"),
+        )
+
+    @property
+    def counters(self) -> DataFrame:
+        return _counters(self._audio, self.rows)
+
+    @property
+    def diagnostics(self) -> DataFrame:
+        # A file that was not hashed is as good as unreadable.
+        unhashed = self._matched.where("identity_key IS NULL").select(*NAME, F.lit("not hashed").alias("error_code"))
+        failed = self._audio.where("error_code IS NOT NULL").select(*NAME, "error_code").unionByName(unhashed)
+        files = self._matched.where("identity_key IS NOT NULL")
+        return _diagnostics(self._listing, failed, files, self._claims, self.rows)
+
+    def with_rows(self, rows: DataFrame) -> Reconciled:
+        """The same pass over rows that were written out and read back."""
+        return Reconciled(self._listing, self._audio, self._matched, self._claims, rows)
 
 
 def stable_id(salt: str, *parts: Column) -> Column:
@@ -118,27 +147,8 @@ def reconcile(
     audio = listing.withColumn("mime_type", audio_type(F.col("filename"))).where("mime_type IS NOT NULL")
     readable = audio.where("error_code IS NULL").drop("error_code")
     matched = readable.withColumn("fast", F.lit(False)) if rehash else fast_match(readable, episodes)
-    # A file that was not hashed is as good as unreadable.
-    unhashed = matched.where("identity_key IS NULL").select(*NAME, F.lit("not hashed").alias("error_code"))
-    failed = audio.where("error_code IS NOT NULL").select(*NAME, "error_code").unionByName(unhashed)
-    files = matched.where("identity_key IS NOT NULL")
-    claims = claim_identities(files, episodes)
-
-    rows = _verdicts(claims, episodes, now, id_salt)
-    snapshot = rows.select("after.*")
-    changes = rows.where(F.col("action") != "kept").select(
-        F.col("after.id").alias("episode_id"),
-        "show_id",
-        "identity_key",
-        "action",
-        "changed",
-        F.col("before.status").alias("status_before"),
-        F.col("after.status").alias("status_after"),
-        F.col("after.filename").alias("filename"),
-    )
-    counters = _counters(audio, rows)
-    diagnostics = _diagnostics(listing, failed, files, claims, rows)
-    return Reconciled(rows, snapshot, changes, counters, diagnostics)
+    claims = claim_identities(matched.where("identity_key IS NOT NULL"), episodes)
+    return Reconciled(listing, audio, matched, claims, _verdicts(claims, episodes, now, id_salt))
 
 
 TRACKED = (

@@ -1,6 +1,6 @@
 """Every registered query; importing this package fills REGISTRY."""
 
 from medialog.registry.core import REGISTRY
-from medialog.registry import access, catalogue  # noqa: F401
+from medialog.registry import access, activity, catalogue, publishing  # noqa: F401
 
 __all__ = ["REGISTRY"]
