@@ -13,7 +13,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialog.functions.moments import local_date, local_midnight
+from medialog.functions.moments import instant, local_date, local_midnight
 
 # Selectable ranges in days; None is all time.
 RANGE_DAYS = {"7d": 7, "30d": 30, "90d": 90, "all": None}
@@ -68,9 +68,9 @@ def in_range(col: Column, frm=None, to=None) -> Column | None:
     """Half-open test, or None when neither bound is given."""
     test = None
     if frm is not None:
-        test = col >= F.lit(frm)
+        test = col >= instant(frm)
     if to is not None:
-        upper = col < F.lit(to)
+        upper = col < instant(to)
         test = upper if test is None else test & upper
     return test
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def instant(value: datetime | Column) -> Column:
+    """A point in time as a literal. A datetime without a zone is UTC, wherever Python runs."""
+    if isinstance(value, Column):
+        return value
+    if value.tzinfo is None:
+        value = value.replace(tzinfo=timezone.utc)
+    return F.lit(value).cast("timestamp")
+
+
 def rfc2822(ts: Column) -> Column:
     return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 

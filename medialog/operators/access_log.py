@@ -174,20 +174,20 @@ def trim_access(log: DataFrame, now: datetime, days: int = RETENTION_DAYS) -> Da
     return within(log, frm=now - timedelta(days=days))
 
 
-def export_cells(rows: DataFrame) -> DataFrame:
+def export_columns() -> dict[str, Column]:
     """The twelve export columns of enriched, flagged rows, before quoting."""
     result = F.when(~F.col("ok"), "failed").when(F.col("incomplete"), "partial").otherwise("ok")
-    return rows.select(
-        F.date_format("requested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("requested_at_utc"),
-        F.col("show_title").alias("show"),
-        F.col("episode_title").alias("episode"),
-        F.col("episode_filename").alias("filename"),
-        "kind",
-        "status_code",
-        result.alias("result"),
-        "bytes_sent",
-        "total_bytes",
-        "range_header",
-        F.col("client").alias("app"),
-        "error",
-    )
+    return {
+        "requested_at_utc": F.date_format("requested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        "show": F.col("show_title"),
+        "episode": F.col("episode_title"),
+        "filename": F.col("episode_filename"),
+        "kind": F.col("kind"),
+        "status_code": F.col("status_code"),
+        "result": result,
+        "bytes_sent": F.col("bytes_sent"),
+        "total_bytes": F.col("total_bytes"),
+        "range_header": F.col("range_header"),
+        "app": F.col("client"),
+        "error": F.col("error"),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.functions.text import audio_type, extension, image_type, lookup, stem
 
 # Cover names and sidecar extensions, best first; artwork size limits.
@@ -116,7 +117,7 @@ def apply_art(episodes: DataFrame, changes: DataFrame, now) -> DataFrame:
     out = episodes.join(fresh, "id", "left")
     moved = F.col("art").isNotNull()
     updates = {c: F.when(moved, F.col("art")[c]).otherwise(F.col(c)) for c in ART_COLUMNS}
-    updates["updated_at"] = F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))
+    updates["updated_at"] = F.when(moved, instant(now)).otherwise(F.col("updated_at"))
     return out.withColumns(updates).select(*episodes.columns)
 
 

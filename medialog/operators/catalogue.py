@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.functions.text import nocase_key
 from medialog.schemas import LIVE_STATUSES
 
@@ -15,12 +16,12 @@ def is_live() -> Column:
 
 def feed_eligible(now) -> Column:
     """In the feed: live and already published."""
-    return is_live() & (F.col("pub_date") <= F.lit(now))
+    return is_live() & (F.col("pub_date") <= instant(now))
 
 
 def is_scheduled(now) -> Column:
     """Live, with a publish date still to come. Derived, never stored."""
-    return is_live() & (F.col("pub_date") > F.lit(now))
+    return is_live() & (F.col("pub_date") > instant(now))
 
 
 def status_rank() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
+
 # Letters, digits, dots, dashes and underscores, not starting with a dot or dash.
 USABLE_SLUG = r"\A[A-Za-z0-9_][A-Za-z0-9._-]*\z"
 
@@ -39,7 +41,7 @@ def apply_discovery(shows: DataFrame, verdicts: DataFrame, now) -> DataFrame:
     marks = verdicts.where(F.col("verdict").isin("vanished", "returned")).select(
         F.col("show_id").alias("id"), "verdict"
     )
-    now = F.lit(now).cast("timestamp")
+    now = instant(now)
     gone, back = F.col("verdict") == "vanished", F.col("verdict") == "returned"
     updates = {
         "status": F.when(gone, "folder_missing").when(back, "active").otherwise(F.col("status")),

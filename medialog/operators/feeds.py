@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialog.functions import urls
-from medialog.functions.moments import feed_duration, rfc2822
+from medialog.functions.moments import feed_duration, instant, rfc2822
 from medialog.functions.text import blank_to_null, is_blank, xml_attribute, xml_clean, xml_text
 from medialog.operators.catalogue import feed_eligible
 from medialog.operators.joins import lookup_join
@@ -82,7 +82,7 @@ def last_build(items: DataFrame, shows: DataFrame, base_url: str, now) -> DataFr
         F.max(F.greatest("pub_date", "updated_at")).alias("newest"), F.count("*").alias("items")
     )
     dims = publishable(shows, base_url).select(F.col("id").alias("show_id"), F.col("updated_at").alias("show_updated_at"))
-    now = F.lit(now).cast("timestamp")
+    now = instant(now)
     latest = F.coalesce(F.greatest("newest", "show_updated_at"), now)
     return dims.join(newest, "show_id", "left").select(
         "show_id", F.coalesce("items", F.lit(0)).alias("items"), F.least(latest, now).alias("last_build_at")
@@ -243,7 +243,7 @@ def advance_versions(current: DataFrame, state: DataFrame, now) -> DataFrame:
     derived, old_at = F.col("last_build_at"), F.col("old_at")
     at = (
         F.when(F.col("old_version") == F.col("version"), old_at)
-        .when(derived <= old_at, F.lit(now).cast("timestamp"))
+        .when(derived <= old_at, instant(now))
         .otherwise(derived)
     )
     return current.join(old, "show_id", "left").select(

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.operators.catalogue import episode_counts
 from medialog.operators.joins import lookup_join
 from medialog.operators.reconcile import Reconciled, reconcile
@@ -18,12 +19,12 @@ MAX_GRACE = 30 * 24 * 3600
 def sweep_missing(episodes: DataFrame, now, grace_seconds: int) -> DataFrame:
     """Missing since the cutoff or before becomes expired; missing_since stays."""
     grace = min(MAX_GRACE, max(MIN_GRACE, grace_seconds))
-    stale = (F.col("status") == "missing") & (F.col("missing_since") <= F.lit(now - timedelta(seconds=grace)))
+    stale = (F.col("status") == "missing") & (F.col("missing_since") <= instant(now - timedelta(seconds=grace)))
     stale = F.coalesce(stale, F.lit(False))
     return episodes.withColumns(
         {
-            "removed_at": F.when(stale, F.lit(now)).otherwise(F.col("removed_at")),
-            "updated_at": F.when(stale, F.lit(now)).otherwise(F.col("updated_at")),
+            "removed_at": F.when(stale, instant(now)).otherwise(F.col("removed_at")),
+            "updated_at": F.when(stale, instant(now)).otherwise(F.col("updated_at")),
             "status": F.when(stale, "expired").otherwise(F.col("status")),
         }
     )
@@ -40,9 +41,9 @@ def apply_decisions(episodes: DataFrame, decisions: DataFrame, now) -> DataFrame
     return out.withColumns(
         {
             "status": F.when(removed, "removed").when(restored, "active").otherwise(F.col("status")),
-            "removed_at": F.when(removed, F.lit(now)).when(restored, None).otherwise(F.col("removed_at")),
+            "removed_at": F.when(removed, instant(now)).when(restored, None).otherwise(F.col("removed_at")),
             "missing_since": F.when(decided, None).otherwise(F.col("missing_since")),
-            "updated_at": F.when(decided, F.lit(now)).otherwise(F.col("updated_at")),
+            "updated_at": F.when(decided, instant(now)).otherwise(F.col("updated_at")),
         }
     ).select(*episodes.columns)
 
@@ -93,7 +94,7 @@ def remove_shows(tables: dict[str, DataFrame], ids: DataFrame, now, files_too: b
         fresh = (
             tables["shows"]
             .join(ids.select(F.col("show_id").alias("id")), "id", "left_semi")
-            .select("slug", F.lit(now).cast("timestamp").alias("removed_at"))
+            .select("slug", instant(now).alias("removed_at"))
         )
         tombstones = tombstones.join(fresh, "slug", "left_anti").unionByName(fresh)
     out["removed_folders"] = tombstones

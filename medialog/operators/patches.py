@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialog.functions.moments import parse_local_input
+from medialog.functions.moments import instant, parse_local_input
 from medialog.functions.taxonomy import is_category, is_subcategory
 from medialog.functions.text import blank_to_null, is_blank
 from medialog.schemas import DIRECTORY_LISTINGS, EPISODE_TYPES, SHOW_TYPES
@@ -138,7 +138,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, rules: list[Rule], now)
         stated = stated | raw(rule).isNotNull()
         kind = dict(table.dtypes)[rule.target]
         updates[rule.target] = F.when(applies, rule.value(raw(rule)).cast(kind)).otherwise(F.col(rule.target))
-    updates["updated_at"] = F.when(valid & stated, F.lit(now)).otherwise(F.col("updated_at"))
+    updates["updated_at"] = F.when(valid & stated, instant(now)).otherwise(F.col("updated_at"))
     return out.withColumns(updates).select(*table.columns, "errors")
 
 
@@ -151,6 +151,6 @@ def fill_defaults(shows: DataFrame, author_name: str | None, author_email: str |
             blank = is_blank(F.col(column))
             updates[column] = F.when(blank, F.lit(default)).otherwise(F.col(column))
             changed = changed | blank
-    updates["updated_at"] = F.when(changed, F.lit(now)).otherwise(F.col("updated_at"))
+    updates["updated_at"] = F.when(changed, instant(now)).otherwise(F.col("updated_at"))
     updates["changed"] = changed
     return shows.withColumns(updates)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medialog.functions.moments import instant
 from medialog.functions.text import audio_type, file_class, title_from_filename
 from medialog.operators.catalogue import live_row_per_filename
 from medialog.operators.joins import lookup_join
@@ -143,7 +144,7 @@ def reconcile(
     """One pass over the whole library. ``id_salt`` names the scan and enters new ids."""
     listing = conform(listing, LISTING)
     episodes = conform(episodes, EPISODES)
-    now = F.lit(now).cast("timestamp")
+    now = instant(now)
     audio = listing.withColumn("mime_type", audio_type(F.col("filename"))).where("mime_type IS NOT NULL")
     readable = audio.where("error_code IS NULL").drop("error_code")
     matched = readable.withColumn("fast", F.lit(False)) if rehash else fast_match(readable, episodes)

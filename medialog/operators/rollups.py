@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.functions.numbers import change_between
 from medialog.operators.access_log import is_media, succeeded, within
 from medialog.operators.joins import lookup_join
@@ -110,7 +111,7 @@ def overview(log: DataFrame, frm: datetime | None = None, to=None, prev_from=Non
             F.max("requested_at").alias("last_ever_at"),
         )
     at = F.col("requested_at")
-    now, before = at >= F.lit(frm), at < F.lit(frm)
+    now, before = at >= instant(frm), at < instant(frm)
     sums = within(log, prev_from, to).where(is_media()).agg(
         *named(media_measures(now)),
         *named(media_measures(before), "prev_"),

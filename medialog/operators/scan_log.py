@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.operators.access_log import within
 from medialog.operators.joins import lookup_join
 from medialog.schemas import SCAN_OUTCOMES, SCAN_TRIGGERS
@@ -164,8 +165,8 @@ def to_scan_rows(counters: DataFrame, diagnostics: DataFrame, started_at, finish
     )
     return counters.join(lists, "show_id", "full").select(
         "show_id",
-        F.lit(started_at).cast("timestamp").alias("started_at"),
-        F.lit(finished_at).cast("timestamp").alias("finished_at"),
+        instant(started_at).alias("started_at"),
+        instant(finished_at).alias("finished_at"),
         F.lit(trigger).alias("trigger"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("files_found", *_COUNTERS)],
         "errors_json",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialog.functions.calendar import bucket_days, calendar_buckets
-from medialog.functions.moments import local_date
+from medialog.functions.moments import instant, local_date
 from medialog.functions.numbers import round_half_up
 from medialog.operators.access_log import is_media, within
 from medialog.operators.rollups import COUNTERS, media_measures, named, zero_fill
@@ -14,7 +14,7 @@ from medialog.operators.rollups import COUNTERS, media_measures, named, zero_fil
 
 def chart_bounds(log: DataFrame, now_bound) -> DataFrame:
     """Bounds of the all-time chart: first request to the given upper bound."""
-    return log.agg(F.min("requested_at").alias("frm")).select("frm", F.lit(now_bound).alias("to"))
+    return log.agg(F.min("requested_at").alias("frm")).select("frm", instant(now_bound).alias("to"))
 
 
 def daily_totals(log: DataFrame, zone: str, frm=None, to=None, show_id: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.functions.urls import base_url
 
 # Keys never shown, keys exported, and numeric limits.
@@ -79,7 +80,7 @@ def wide_settings(settings: DataFrame, by: str = INSTANCE) -> DataFrame:
 def previous_base(now) -> Column:
     """The former address of a wide row, while the move is still to be announced."""
     set_at = F.expr(f"try_cast({PREVIOUS_AT} AS TIMESTAMP)")
-    recent = set_at >= F.lit(now - timedelta(days=MOVE_WINDOW_DAYS))
+    recent = set_at >= instant(now - timedelta(days=MOVE_WINDOW_DAYS))
     return F.when(recent, base_url(F.col(PREVIOUS)))
 
 

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialog.functions.moments import instant
 from medialog.operators.joins import lookup_join
 
 WINDOW_MINUTES = 15
@@ -17,8 +18,8 @@ BACKOFF_STEPS = (0, 0, 1, 3, 10, 30, 60, 120, 300)
 def login_backoff(attempts: DataFrame, now) -> DataFrame:
     """Failures since the last success within the window, and the seconds left to wait."""
     recent = attempts.where(
-        (F.col("attempted_at") > F.lit(now - timedelta(minutes=WINDOW_MINUTES)))
-        & (F.col("attempted_at") <= F.lit(now))
+        (F.col("attempted_at") > instant(now - timedelta(minutes=WINDOW_MINUTES)))
+        & (F.col("attempted_at") <= instant(now))
     )
     # A success forgets what came before it.
     reset = recent.where("succeeded = 1").groupBy("username").agg(
@@ -29,7 +30,7 @@ def login_backoff(attempts: DataFrame, now) -> DataFrame:
     )
     steps = F.array(*[F.lit(s) for s in BACKOFF_STEPS])
     step = F.element_at(steps, F.least(F.col("failures"), F.lit(len(BACKOFF_STEPS) - 1)).cast("int") + 1)
-    elapsed = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_failure_at")) / F.lit(1e6)
+    elapsed = (F.unix_micros(instant(now)) - F.unix_micros("last_failure_at")) / F.lit(1e6)
     wait = F.greatest(F.lit(0), F.ceil(step - elapsed)).cast("bigint")
     return (
         failures.groupBy("username")
@@ -59,4 +60,4 @@ def trailing_failures(attempts: DataFrame, minutes: int = WINDOW_MINUTES) -> Dat
 
 
 def trim_attempts(attempts: DataFrame, now, hours: int = 24) -> DataFrame:
-    return attempts.where(F.col("attempted_at") >= F.lit(now - timedelta(hours=hours)))
+    return attempts.where(F.col("attempted_at") >= instant(now - timedelta(hours=hours)))

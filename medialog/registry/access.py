@@ -168,8 +168,7 @@ FROM ({ENRICHED} WHERE {PERIOD} AND {MEDIA} ORDER BY requested_at DESC, a.id DES
 def _(t):
     wanted = AccessFilter(frm=FRM, to=TO, kinds=["download", "stream"])
     rows = access_log.list_log(t.media_access, t.episodes, t.shows, wanted, limit=access_log.MAX_ROWS)
-    cells = access_log.export_cells(rows)
-    return cells.select(*[csv_cell(F.col(c)).alias(c) for c in cells.columns])
+    return rows.select(*[csv_cell(column).alias(name) for name, column in access_log.export_columns().items()])
 
 
 @REGISTRY.add("access_extent", "SELECT MIN(requested_at) AS first_at, MAX(requested_at) AS last_at FROM media_access", LOG)

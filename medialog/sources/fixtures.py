@@ -223,6 +223,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {', '.join(ctes)}, {name} AS ({text}) SELECT * FROM {name}")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A domain table that depends on events alone, as a file stream over them."""
+    configure(spark)
+    events = spark.readStream.schema(EXPLICIT["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    view = f"{_prefix(sf_dir)}_event_stream"
+    events.createOrReplaceTempView(view)
+    return spark.sql(f"WITH events AS (SELECT * FROM {view}) {VIEWS[name]}")
+
+
 def oracle(body: str, *views: str) -> str:
     """DuckDB text: the named domain tables as common table expressions, then ``body``.
 
