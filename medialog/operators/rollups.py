@@ -71,10 +71,19 @@ def show_stats(shows: DataFrame, log: DataFrame, frm=None, to=None) -> DataFrame
 
 
 def last_feed_fetch(log: DataFrame, frm=None, to=None) -> DataFrame:
-    """Which client last fetched each show's feed, and when."""
+    """Which client last fetched each show's feed, and when; among equal times the highest id.
+
+    Time and id are packed into one decimal, which a hash aggregate keeps in place. The facts
+    are first reduced to shows and clients.
+    """
+    micros, scale = F.unix_micros("requested_at").cast("decimal(19,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")
+    moment = (micros * scale + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
     rows = within(log, frm, to).where((F.col("kind") == "feed") & succeeded())
-    latest = F.max_by(F.struct("client", "requested_at"), F.struct("requested_at", "id"))
-    return rows.groupBy("show_id").agg(latest.alias("hit")).select(
+    per_client = rows.groupBy("show_id", "client").agg(
+        F.max(moment).alias("moment"), F.max("requested_at").alias("requested_at")
+    )
+    latest = F.max_by(F.struct("client", "requested_at"), "moment")
+    return per_client.groupBy("show_id").agg(latest.alias("hit")).select(
         "show_id", F.col("hit.client").alias("feed_last_client"), F.col("hit.requested_at").alias("feed_last_at")
     )
 

@@ -12,7 +12,7 @@ from medialog.registry.core import REGISTRY
 
 SCANS = ("shows", "scan_log")
 LOGIN = ("login_attempts",)
-LOGIN_NOW = datetime(2024, 1, 15, 12, 0, 0)
+LOGIN_NOW = datetime(2024, 1, 30, 22, 48, 10)
 
 ENRICHED = "SELECT l.*, s.title AS show_title, s.slug AS show_slug FROM scan_log l LEFT JOIN shows s ON s.id = l.show_id"
 FILTERED = """started_at >= TIMESTAMP '1996-01-01' AND started_at < TIMESTAMP '1999-01-01' AND trigger IN ('manual', 'upload')
@@ -108,12 +108,12 @@ def _(t):
 
 @REGISTRY.add(
     "login_backoff",
-    """WITH r AS (SELECT * FROM login_attempts WHERE attempted_at > TIMESTAMP '2024-01-15 11:45:00' - INTERVAL 0 DAY AND attempted_at <= TIMESTAMP '2024-01-15 12:00:00'),
+    """WITH r AS (SELECT * FROM login_attempts WHERE attempted_at > TIMESTAMP '2024-01-30 22:33:10' AND attempted_at <= TIMESTAMP '2024-01-30 22:48:10'),
 s AS (SELECT username, MAX(attempted_at) AS ok_at FROM r WHERE succeeded = 1 GROUP BY username),
 f AS (SELECT r.username, COUNT(*) AS failures, MAX(attempted_at) AS last_failure_at FROM r LEFT JOIN s ON s.username = r.username
   WHERE succeeded = 0 AND (ok_at IS NULL OR attempted_at > ok_at) GROUP BY r.username)
 SELECT username, failures, last_failure_at, CAST(CASE WHEN [0, 0, 1, 3, 10, 30, 60, 120, 300][LEAST(failures, 8) + 1] = 0 THEN 0
-  ELSE GREATEST(0, CEIL([0, 0, 1, 3, 10, 30, 60, 120, 300][LEAST(failures, 8) + 1] - epoch_us(TIMESTAMP '2024-01-15 12:00:00') / 1e6 + epoch_us(last_failure_at) / 1e6)) END AS BIGINT) AS wait_seconds FROM f""",
+  ELSE GREATEST(0, CEIL([0, 0, 1, 3, 10, 30, 60, 120, 300][LEAST(failures, 8) + 1] - epoch_us(TIMESTAMP '2024-01-30 22:48:10') / 1e6 + epoch_us(last_failure_at) / 1e6)) END AS BIGINT) AS wait_seconds FROM f""",
     LOGIN,
 )
 def _(t):
@@ -132,7 +132,7 @@ def _(t):
 
 
 @REGISTRY.add(
-    "attempts_retained", "SELECT * FROM login_attempts WHERE attempted_at >= TIMESTAMP '2024-01-14 12:00:00'", LOGIN
+    "attempts_retained", "SELECT * FROM login_attempts WHERE attempted_at >= TIMESTAMP '2024-01-29 22:48:10'", LOGIN
 )
 def _(t):
     return signin.trim_attempts(t.login_attempts, LOGIN_NOW)

@@ -11,6 +11,7 @@ from medialog.operators import artwork, catalogue, categories, discover, lifecyc
 from medialog.operators.reconcile import conform, duplicate_files, reconcile
 from medialog.registry.core import NOW, REGISTRY
 from medialog.schemas import LISTING
+from medialog.session import workspace
 
 SCAN_NOW = datetime(2024, 2, 2)
 NOW_SQL = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -268,7 +269,12 @@ UNION ALL SELECT show_id, 'warning', 'returned', CASE WHEN fast THEN old_name EL
     SCAN_VIEWS,
 )
 def _(t):
-    return _pass(t).diagnostics.select("show_id", "level", "code", "file")
+    # Several results come from one pass: its verdicts are written once.
+    path = workspace(t.spark, "verdicts")
+    done = _pass(t)
+    done.rows.write.parquet(path)
+    done = done.with_rows(t.spark.read.parquet(path))
+    return done.diagnostics.select("show_id", "level", "code", "file")
 
 
 FOLDERS_SQL = """fo AS (SELECT slug FROM shows WHERE CAST(REPLACE(id, 'show-', '') AS INT) % 9 <> 4

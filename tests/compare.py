@@ -59,10 +59,12 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> list[str]:
-    """Differences between the two engines, empty when equal."""
+def compare(spark, con, name: str, query, sql: str, sf_dir: str, counts: dict | None = None) -> list[str]:
+    """Differences between the two engines, empty when equal; row counts go to ``counts``."""
     df = query(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    if counts is not None:
+        counts[name] = sum(got.values())
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]
     want = rows_of(columns, cur.fetchall())
@@ -87,15 +89,15 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark, con = make_spark(), duck(sf_dir)
-    oracles, bad = entry.oracle_sql(), 0
+    oracles, bad, counts = entry.oracle_sql(), 0, {}
     for name, query in entry.queries().items():
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
         try:
             if name in oracles:
-                problems = compare(spark, con, name, query, oracles[name], sf_dir)
-                kind = "ok"
+                problems = compare(spark, con, name, query, oracles[name], sf_dir, counts)
+                kind = f"ok {counts[name]}"
             else:
                 kind, problems = f"rows={query(spark, sf_dir).count()}", []
         except Exception as err:
