@@ -83,13 +83,14 @@ def calendar_buckets(bounds: DataFrame, zone: str, max_buckets: int = MAX_BUCKET
     """
     first, last = F.col("first_day"), F.col("last_day")
     n = F.date_diff(last, first)
-    last_start = F.date_sub(last, 1)
+    # Branches may be evaluated before they are chosen, so every sequence must run forwards.
+    last_start = F.greatest(first, F.date_sub(last, 1))
     by_day = F.sequence(first, last_start, F.expr("INTERVAL 1 DAY"))
     by_week = F.sequence(first, last_start, F.expr("INTERVAL 7 DAY"))
     next_month = F.add_months(F.trunc(first, "MM"), 1)
     by_month = F.when(
         next_month <= last_start,
-        F.concat(F.array(first), F.sequence(next_month, last_start, F.expr("INTERVAL 1 MONTH"))),
+        F.concat(F.array(first), F.sequence(next_month, F.greatest(next_month, last_start), F.expr("INTERVAL 1 MONTH"))),
     ).otherwise(F.array(first))
     width = F.when(n <= max_buckets, "day").when(F.ceil(n / 7) <= max_buckets, "week").otherwise("month")
 
