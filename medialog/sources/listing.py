@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,9 @@ WHOLE_BYTES = 2 * WINDOW_BYTES
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
     """Files one level below the folders of ``root``: slug, filename, path, size_bytes, mtime.
 
-    File contents are never read. Hidden names and deeper files are left out.
+    File contents are never read. Hidden names and deeper files are left out. So are empty
+    files and names starting with an underscore, which Spark's file sources pass over; a
+    listing table made elsewhere may hold them.
     """
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path", "length", "modificationTime")
     below = F.substring_index(F.col("path"), "/", -2)
@@ -47,7 +50,10 @@ def content_identity(content: Column, window: int = WINDOW_BYTES) -> Column:
 def _file_identity(path: str, size: int) -> str:
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path)
+    # Spark names files by unescaped path; an address wants it escaped.
+    scheme, rest = path.split(":", 1)
+    local = scheme == "file"
+    system, name = fs.FileSystem.from_uri(f"{scheme}:{'//' if local else ''}{quote('/' + rest.lstrip('/') if local else rest)}")
     digest = hashlib.sha256()
     with system.open_input_file(name) as handle:
         if size <= WHOLE_BYTES:

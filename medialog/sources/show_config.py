@@ -27,7 +27,7 @@ ALIASES = {
 
 def read_show_config(spark: SparkSession, root: str) -> DataFrame:
     """slug and raw text of every show's config file."""
-    files = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/{CONFIG_NAME}")
+    files = spark.read.text(f"{root.rstrip('/')}/*/{CONFIG_NAME}", wholetext=True)
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
     return files.select(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("slug"), F.col("value").alias("text"))
 
