@@ -18,10 +18,8 @@ _SALTABLE = ("inner", "left", "left_semi", "left_anti")
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a frame, or None where it cannot be asked."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return None
+    jdf = getattr(df, "_jdf", None)
+    return None if jdf is None else int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -51,3 +51,9 @@ def test_limits_are_read_with_units(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
         assert joins.broadcast_limit(df) == size
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_lookups_are_left_to_spark(spark, sides):
+    facts, lookup = sides
+    assert joins.estimated_bytes(lookup) is not None and joins.fits_broadcast(lookup)
+    assert "__salt" not in joins.lookup_join(facts, lookup, ["k"], ["id"])._jdf.queryExecution().toString()
