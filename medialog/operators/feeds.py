@@ -222,15 +222,17 @@ def feed_versions(lines: DataFrame) -> DataFrame:
     Item order follows from item content, so a sum of line digests identifies the document.
     Each digest is cut into four 60-bit numbers that are summed and XOR-ed.
     """
-    digest = F.sha2("line", 256)
-    parts = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)]
-    sums = [F.sum(p.cast("decimal(20,0)")).cast("string") for p in parts]
-    xors = [F.bit_xor(p).cast("string") for p in parts]
-    return lines.groupBy("show_id").agg(
+    digests = lines.select("show_id", F.octet_length("line").alias("size"), F.sha2("line", 256).alias("digest"))
+    cuts = {f"p{i}": F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)}
+    totals = digests.select("show_id", "size", *[c.alias(n) for n, c in cuts.items()]).groupBy("show_id").agg(
         F.count("*").alias("lines"),
-        F.sum(F.octet_length("line")).alias("bytes"),
-        F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums, *xors), 256), 1, 32).alias("version"),
+        F.sum("size").alias("bytes"),
+        *[F.sum(F.col(n).cast("decimal(20,0)")).alias(f"sum_{n}") for n in cuts],
+        *[F.bit_xor(n).alias(f"xor_{n}") for n in cuts],
     )
+    parts = ["lines", *[f"sum_{n}" for n in cuts], *[f"xor_{n}" for n in cuts]]
+    version = F.substring(F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in parts]), 256), 1, 32)
+    return totals.select("show_id", "lines", "bytes", version.alias("version"))
 
 
 def advance_versions(current: DataFrame, state: DataFrame, now) -> DataFrame:

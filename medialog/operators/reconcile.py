@@ -32,9 +32,10 @@ _FILE = ("filename", "size_bytes", "mtime", "mime_type", "fast", "tag_error", *_
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """The columns of a schema; absent ones are NULL."""
     fields = T.StructType.fromDDL(ddl).fields
-    return df.select(
+    present = set(df.columns)
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in fields
         ]
     )
@@ -207,11 +208,8 @@ def _verdicts(claims: DataFrame, episodes: DataFrame, now: Column, id_salt: str)
         "removed_at": F.when(~c("revive"), before["removed_at"]),
     }
     both = both.withColumn("now", F.struct(*[values[name].alias(name) for name in TRACKED]))
-    changed = F.array_compact(
-        F.array(*[F.when(~F.col("now")[name].eqNullSafe(before[name]), F.lit(name)) for name in TRACKED])
-    )
-    none = F.array().cast("array<string>")
-    both = both.withColumn("changed", F.when(c("is_new"), none).otherwise(changed))
+    moved_names = ", ".join(f"CASE WHEN NOT (now.{n} <=> before.{n}) THEN '{n}' END" for n in TRACKED)
+    both = both.withColumn("changed", F.expr(f"IF(is_new, CAST(array() AS ARRAY<STRING>), array_compact(array({moved_names})))"))
     touched = F.size("changed") > 0
     action = (
         F.when(c("is_new"), "added")
@@ -221,49 +219,62 @@ def _verdicts(claims: DataFrame, episodes: DataFrame, now: Column, id_salt: str)
         .when(touched, "updated")
         .otherwise("kept")
     )
-
-    fresh = {
-        "id": stable_id(id_salt, F.col("show_id"), F.col("identity_key")),
-        "show_id": F.col("show_id"),
-        "identity_key": F.col("identity_key"),
-        "filename": file["filename"],
-        "title": F.coalesce(file["tag_title"], title_from_filename(file["filename"])),
-        "title_is_custom": F.lit(0),
-        "tag_title": file["tag_title"],
-        "description": F.coalesce(file["tag_description"], F.lit("")),
-        "season": file["tag_season"],
-        "episode_number": file["tag_episode_number"],
-        "episode_type": F.lit("full"),
-        "pub_date": file["mtime"],
-        "pub_date_is_custom": F.lit(0),
-        "duration_seconds": file["duration_seconds"],
-        "bitrate_kbps": file["bitrate_kbps"],
-        "file_size_bytes": file["size_bytes"],
-        "file_mtime": file["mtime"],
-        "mime_type": file["mime_type"],
-        "status": F.lit("active"),
-        "created_at": now,
-        "updated_at": now,
-    }
-    old = {name: F.col("now")[name] if name in TRACKED else before[name] for name in episodes.columns}
-    old["updated_at"] = F.when(touched, now).otherwise(before["updated_at"])
-    types = {f.name: f.dataType for f in episodes.schema.fields}
-
-    def row(fields: dict[str, Column]) -> Column:
-        return F.struct(*[fields.get(n, F.lit(None)).cast(types[n]).alias(n) for n in episodes.columns])
-
+    both = both.withColumns(
+        {
+            "action": action,
+            "scan_time": now,
+            "new_id": stable_id(id_salt, F.col("show_id"), F.col("identity_key")),
+            "new_title": F.coalesce(file["tag_title"], title_from_filename(file["filename"])),
+        }
+    )
+    old = {n: f"now.{n}" if n in TRACKED else f"before.{n}" for n in episodes.columns}
+    old["updated_at"] = "IF(size(changed) > 0, scan_time, before.updated_at)"
+    after = f"IF(is_new, {_row(NEW_ROW, episodes)}, {_row(old, episodes)})"
     return both.select(
         *KEY,
         "before",
         "file",
-        F.when(c("is_new"), row(fresh)).otherwise(row(old)).alias("after"),
-        action.alias("action"),
+        F.expr(after).alias("after"),
+        "action",
         "changed",
         (c("revive") & (status == "expired")).alias("returned"),
         (c("seen") & (c("is_new") | c("reads_tags")) & F.coalesce(file["tag_error"], F.lit(False))).alias("tags_unread"),
     )
 
 
+# Columns of a row for a new file; all others are NULL.
+NEW_ROW = {
+    "id": "new_id",
+    "show_id": "show_id",
+    "identity_key": "identity_key",
+    "filename": "file.filename",
+    "title": "new_title",
+    "title_is_custom": "0",
+    "tag_title": "file.tag_title",
+    "description": "coalesce(file.tag_description, '')",
+    "season": "file.tag_season",
+    "episode_number": "file.tag_episode_number",
+    "episode_type": "'full'",
+    "pub_date": "file.mtime",
+    "pub_date_is_custom": "0",
+    "duration_seconds": "file.duration_seconds",
+    "bitrate_kbps": "file.bitrate_kbps",
+    "file_size_bytes": "file.size_bytes",
+    "file_mtime": "file.mtime",
+    "mime_type": "file.mime_type",
+    "status": "'active'",
+    "created_at": "scan_time",
+    "updated_at": "scan_time",
+}
+
+
+def _row(values: dict[str, str], episodes: DataFrame) -> str:
+    """SQL of a struct with the columns and types of the catalogue."""
+    return "named_struct({})".format(
+        ", ".join(f"'{n}', CAST({values.get(n, 'NULL')} AS {kind})" for n, kind in episodes.dtypes)
+    )
+
+
 def _counters(audio: DataFrame, rows: DataFrame) -> DataFrame:
     """Per show: files found, added, updated, missing (new and still), removed (always 0)."""
     found = audio.groupBy("show_id").agg(F.count("*").alias("files_found"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from medialog.functions.calendar import calendar_buckets, range_columns
+from medialog.functions.moments import local_date, local_midnight
 from medialog.functions.text import csv_cell
 from medialog.operators import access_log, rollups, series
 from medialog.operators.access_log import AccessFilter
@@ -239,6 +240,21 @@ def _(t):
     return rollups.top_clients(t.media_access)
 
 
+@REGISTRY.add(
+    "show_cards",
+    f"""WITH r AS ({ROLLUP}), f AS (SELECT show_id, client AS feed_last_client FROM (SELECT *, ROW_NUMBER() OVER (
+  PARTITION BY show_id ORDER BY requested_at DESC, id DESC) AS r FROM media_access WHERE kind = 'feed' AND status_code < 400 AND {PERIOD}) WHERE r = 1),
+c AS ({CARD_CLIENTS.replace(f"WHERE {MEDIA} AND", f"WHERE {PERIOD} AND {MEDIA} AND")})
+SELECT r.*, f.feed_last_client, c.clients FROM r LEFT JOIN f USING (show_id) LEFT JOIN (
+  SELECT show_id, string_agg(COALESCE(client, '?') || '=' || n, ',' ORDER BY rank) AS clients FROM c GROUP BY show_id) c USING (show_id)""",
+    LOG,
+)
+def _(t):
+    cards = rollups.show_cards(t.media_access, FRM, TO)
+    text = F.transform("clients", lambda c: F.concat(F.coalesce(c["client"], F.lit("?")), F.lit("="), c["n"].cast("string")))
+    return cards.withColumn("clients", F.array_join(text, ","))
+
+
 @REGISTRY.add(
     "overview_all",
     f"""SELECT {MEASURES}, MAX(requested_at) FILTER (WHERE {MEDIA}) AS last_at,
@@ -266,8 +282,6 @@ SELECT {", ".join(_compare_columns(c) for c in rollups.COUNTERS)}, last_at,
     LOG,
 )
 def _(t):
-    from datetime import datetime
-
     out = rollups.overview(t.media_access, datetime(2024, 1, 20), datetime(2024, 1, 28), datetime(2024, 1, 12))
     flat = []
     for c in rollups.COUNTERS:
@@ -338,6 +352,23 @@ def _(t):
     return _ny_series(t, "show-1")
 
 
+ALL_TIME_TO = "2024-02-01"
+
+
+@REGISTRY.add(
+    "all_time_series",
+    f"""WITH d AS (SELECT CAST(UNNEST(generate_series(CAST((SELECT MIN({NY_DAY}) FROM media_access) AS TIMESTAMP), TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d),
+b AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY d) - 1 AS INT) AS idx, d AS bucket_key, strftime(d, '%-d %b') AS label,
+  CAST(d AS TIMESTAMP) + INTERVAL 5 HOUR AS start_at, CAST(d AS TIMESTAMP) + INTERVAL 29 HOUR AS end_at FROM d)
+SELECT b.idx, b.bucket_key, b.label, b.start_at, b.end_at, {MEASURES} FROM b
+LEFT JOIN media_access a ON a.requested_at >= b.start_at AND a.requested_at < b.end_at AND {MEDIA} GROUP BY ALL""",
+    LOG,
+)
+def _(t):
+    bounds = series.chart_bounds(t.media_access, datetime.fromisoformat(ALL_TIME_TO) + timedelta(hours=5))
+    return series.series_for_range(t.media_access, bounds, ZONE)
+
+
 @REGISTRY.add(
     "series_scaled",
     SERIES_SQL
@@ -419,8 +450,6 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY d) - 1 AS INT) AS idx, d AS bucket_key,
     LOG,
 )
 def _(t):
-    from medialog.functions.moments import local_date, local_midnight
-
     upper = local_midnight(F.date_add(local_date(F.max("requested_at"), ZONE), 1), ZONE)
     bounds = t.media_access.agg(F.min("requested_at").alias("frm"), upper.alias("to"))
     return calendar_buckets(bounds, ZONE, max_buckets=10).drop("next_key")

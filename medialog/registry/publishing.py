@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from medialog.functions import moments
+from medialog.functions.numbers import format_bytes
 from medialog.operators import feeds, readiness
 from medialog.operators.catalogue import episode_counts
+from medialog.plans.episode_overview import episode_overview
 from medialog.plans.show_overview import show_overview
-from medialog.registry.access import CARD_CLIENTS, MEASURES, MEDIA  # noqa: F401
+from medialog.registry.access import MEASURES, MEDIA
 from medialog.registry.catalogue import COUNTS_SQL, LIVE, NOW_SQL
 from medialog.registry.core import NOW, REGISTRY
 
@@ -197,3 +200,51 @@ def _(t):
         F.when(n % 3 == 1, F.lit(datetime(2024, 1, 30))).otherwise(F.lit(datetime(2024, 1, 2))).alias("modified_at"),
     )
     return feeds.advance_versions(current, state, NOW)
+
+
+@REGISTRY.add(
+    "episode_overview",
+    f"""WITH ag AS (SELECT episode_id, {MEASURES}, MAX(requested_at) AS last_at FROM media_access WHERE {MEDIA} GROUP BY episode_id)
+SELECT e.id AS episode_id, e.show_id, s.slug AS show_slug, e.filename, e.title, e.title_is_custom = 1 AS title_is_custom, e.season,
+  e.episode_number, e.episode_type, COALESCE(e.explicit, s.explicit) = 1 AS resolved_explicit, e.pub_date, e.duration_seconds,
+  e.file_size_bytes, e.status, e.{LIVE} AND e.pub_date > {NOW_SQL} AS scheduled, e.missing_since, e.removed_at,
+  '{BASE_SQL}/media/' || s.slug || '/' || {TOKEN} || '/' || e.id || '/' || e.filename AS media_url,
+  CASE WHEN e.art_filename IS NOT NULL THEN '{BASE_SQL}/media/' || s.slug || '/' || {TOKEN} || '/' || e.id || '/cover.jpg?v=' || e.art_etag END AS art_url,
+  CAST(NULL AS VARCHAR) AS art_problems, COALESCE(ag.downloads, 0) AS downloads, COALESCE(ag.streams, 0) AS streams,
+  COALESCE(ag.failures, 0) AS failures, COALESCE(ag.bytes, 0) AS bytes, ag.last_at
+FROM episodes e JOIN shows s ON s.id = e.show_id LEFT JOIN ag ON ag.episode_id = e.id""",
+    ("shows", "episodes", "media_access"),
+)
+def _(t):
+    return episode_overview(t.episodes, t.shows, t.media_access, BASE, NOW)
+
+
+# --- display text
+
+HALF_UP = "printf('%.1f', FLOOR(CAST({0} AS DOUBLE) * 10 + 0.5) / 10)"
+
+
+@REGISTRY.add(
+    "display_text",
+    f"""SELECT id, strftime(pub_date, '%a, %d %b %Y %H:%M:%S GMT') AS published,
+  CASE WHEN duration_seconds IS NOT NULL THEN CASE WHEN duration_seconds >= 3600 THEN printf('%d:%02d:%02d', duration_seconds // 3600, duration_seconds % 3600 // 60, duration_seconds % 60)
+    ELSE printf('%d:%02d', duration_seconds // 60, duration_seconds % 60) END END AS duration,
+  CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN {HALF_UP.format('b / 1024.0')} || ' KB'
+    WHEN b < 1073741824 THEN {HALF_UP.format('b / 1048576.0')} || ' MB' ELSE {HALF_UP.format('b / 1073741824.0')} || ' GB' END AS size,
+  CASE WHEN pub_date = {NOW_SQL} THEN 'just now' WHEN abs(s) < 79200 THEN CASE WHEN s < 0 THEN h || CASE WHEN h = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE 'in ' || h || CASE WHEN h = 1 THEN ' hour' ELSE ' hours' END END
+    WHEN abs(s) < 2246400 THEN CASE WHEN s < 0 THEN d || CASE WHEN d = 1 THEN ' day ago' ELSE ' days ago' END ELSE 'in ' || d || CASE WHEN d = 1 THEN ' day' ELSE ' days' END END
+    ELSE CASE WHEN s < 0 THEN m || CASE WHEN m = 1 THEN ' month ago' ELSE ' months ago' END ELSE 'in ' || m || CASE WHEN m = 1 THEN ' month' ELSE ' months' END END END AS age
+FROM (SELECT *, file_size_bytes * (CAST(REPLACE(id, 'ep-', '') AS BIGINT) % 100 + 1) // 3333 AS b, s, CAST(abs(floor(s / 3600.0 + 0.5)) AS BIGINT) AS h,
+  CAST(abs(floor(s / 86400.0 + 0.5)) AS BIGINT) AS d, CAST(abs(floor(s / 2592000.0 + 0.5)) AS BIGINT) AS m
+  FROM (SELECT *, epoch(pub_date) - epoch({NOW_SQL}) AS s FROM episodes))""",
+    ("episodes",),
+)
+def _(t):
+    size = F.expr("file_size_bytes * (CAST(REPLACE(id, 'ep-', '') AS BIGINT) % 100 + 1) DIV 3333")
+    return t.episodes.select(
+        "id",
+        moments.rfc2822(F.col("pub_date")).alias("published"),
+        moments.short_duration(F.col("duration_seconds")).alias("duration"),
+        format_bytes(size).alias("size"),
+        moments.relative_time(F.col("pub_date"), moments.instant(NOW)).alias("age"),
+    )
