@@ -57,3 +57,14 @@ def test_small_lookups_are_left_to_spark(spark, sides):
     facts, lookup = sides
     assert joins.estimated_bytes(lookup) is not None and joins.fits_broadcast(lookup)
     assert "__salt" not in joins.lookup_join(facts, lookup, ["k"], ["id"])._jdf.queryExecution().toString()
+
+
+def test_middling_lookups_are_counted(spark, scratch):
+    """Files that shrink well on disk must not be broadcast on their compressed size."""
+    spark.range(200_000).select((F.col("id") % 2).cast("string").alias("v"), F.lit("k").alias("k")).write.parquet(scratch + "/t")
+    stored = spark.read.parquet(scratch + "/t")
+    size = joins.estimated_bytes(stored)
+    for limit, fits in ((size - 1, False), (size * 5, False), (size * 20, True)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit))
+        assert joins.fits_broadcast(stored) is fits
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
