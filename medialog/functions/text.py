@@ -134,12 +134,16 @@ def xml_clean(text: Column) -> Column:
     )
 
 
+def escaped(text: Column) -> Column:
+    """Clean text as XML element text."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
 def xml_text(text: Column) -> Column:
-    """Cleaned and escaped element text."""
-    out = xml_clean(text)
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return out
+    """Any text as XML element text."""
+    return escaped(xml_clean(text))
 
 
 def xml_attribute(text: Column) -> Column:
@@ -148,10 +152,12 @@ def xml_attribute(text: Column) -> Column:
 
 def encode_segment(text: Column) -> Column:
     """Percent-encode one path segment, leaving the marks ``! ' ( ) * ~`` as they are."""
-    out = F.url_encode(text.cast("string"))
+    text = text.cast("string")
+    out = F.url_encode(text)
     for coded, plain in (("+", "%20"), ("%28", "("), ("%29", ")"), ("%7E", "~"), ("%27", "'"), ("%21", "!")):
         out = F.replace(out, F.lit(coded), F.lit(plain))
-    return out
+    # Most names need no encoding at all.
+    return F.when(text.rlike(r"\A[A-Za-z0-9._-]*\z"), text).otherwise(out)
 
 
 def redact_url(url: Column) -> Column:

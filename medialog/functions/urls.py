@@ -44,6 +44,11 @@ def _busted(url: Column, buster: Column | None) -> Column:
     return F.when(buster.isNull(), url).otherwise(F.concat(url, F.lit("?v="), encode_segment(buster)))
 
 
+def item_address(root: Column, *segments: Column, buster: Column | None = None) -> Column:
+    """An address below a show's media root."""
+    return _busted(join_path(root, *segments), buster)
+
+
 def feed_url(base: Column, slug: Column, token: Column) -> Column:
     return F.concat(join_path(base, F.lit("feeds"), slug, token), F.lit(".xml"))
 
@@ -52,6 +57,11 @@ def media_url(base: Column, slug: Column, token: Column, episode_id: Column, fil
     return join_path(base, F.lit("media"), slug, token, episode_id, filename)
 
 
+def media_root(base: Column, slug: Column, token: Column) -> Column:
+    """What all media addresses of a show start with."""
+    return join_path(base, F.lit("media"), slug, token)
+
+
 def cover_url(base: Column, slug: Column, token: Column, buster: Column | None = None) -> Column:
     return _busted(join_path(base, F.lit("media"), slug, token, F.lit("cover.jpg")), buster)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from medialog.functions import urls
 from medialog.functions.moments import feed_duration, instant, rfc2822
-from medialog.functions.text import blank_to_null, is_blank, xml_attribute, xml_clean, xml_text
+from medialog.functions.text import blank_to_null, escaped, is_blank, xml_attribute, xml_clean, xml_text
 from medialog.operators.catalogue import feed_eligible
 from medialog.operators.joins import lookup_join
 
@@ -24,9 +24,6 @@ NAMESPACES = (
     ("content", "http://purl.org/rss/1.0/modules/content/"),
     ("atom", "http://www.w3.org/2005/Atom"),
 )
-_SHOW_FIELDS = ("slug", "title", "feed_token", "explicit", "cover_filename", "cover_mtime")
-
-
 def publishable(shows: DataFrame, base_url: str | None) -> DataFrame:
     """Shows that have a feed: folder present and a base address known."""
     if urls.clean_base(base_url) is None:
@@ -38,17 +35,28 @@ def _truth(flag: Column) -> Column:
     return F.when(flag == 1, "true").otherwise("false")
 
 
-def cover_address(base: Column, show: Column) -> Column:
-    return urls.cover_url(base, show["slug"], show["feed_token"], urls.iso_instant(show["cover_mtime"]))
+def show_addresses(shows: DataFrame, base_url: str) -> DataFrame:
+    """Per published show what its items share, computed once per show."""
+    base = F.lit(urls.clean_base(base_url))
+    cover = urls.cover_url(base, F.col("slug"), F.col("feed_token"), urls.iso_instant(F.col("cover_mtime")))
+    return publishable(shows, base_url).select(
+        F.col("id").alias("show_id"),
+        F.struct(
+            "slug",
+            "explicit",
+            urls.media_root(base, F.col("slug"), F.col("feed_token")).alias("root"),
+            F.when(~is_blank(F.col("cover_filename")), cover).alias("cover_url"),
+        ).alias("show"),
+    )
 
 
 def feed_items(episodes: DataFrame, shows: DataFrame, base_url: str, now) -> DataFrame:
     """One row per item of every published feed, all fields resolved."""
-    base = F.lit(urls.clean_base(base_url))
-    dims = publishable(shows, base_url).select(F.col("id").alias("show_id"), F.struct(*_SHOW_FIELDS).alias("show"))
-    rows = lookup_join(episodes.where(feed_eligible(now)), dims, ["show_id"], ["id"], "inner")
+    rows = lookup_join(
+        episodes.where(feed_eligible(now)), show_addresses(shows, base_url), ["show_id"], ["id"], "inner"
+    )
     show = F.col("show")
-    own_art = urls.art_url(base, show["slug"], show["feed_token"], F.col("id"), F.col("art_etag"))
+    own_art = urls.item_address(show["root"], F.col("id"), F.lit("cover.jpg"), buster=F.col("art_etag"))
     return rows.select(
         "show_id",
         show["slug"].alias("slug"),
@@ -63,10 +71,8 @@ def feed_items(episodes: DataFrame, shows: DataFrame, base_url: str, now) -> Dat
         "season",
         "episode_number",
         F.when(F.col("episode_type").isin("trailer", "bonus"), F.col("episode_type")).otherwise("full").alias("episode_type"),
-        F.when(~is_blank(F.col("art_filename")), own_art)
-        .when(~is_blank(show["cover_filename"]), cover_address(base, show))
-        .alias("image_url"),
-        urls.media_url(base, show["slug"], show["feed_token"], F.col("id"), F.col("filename")).alias("enclosure_url"),
+        F.when(~is_blank(F.col("art_filename")), own_art).otherwise(show["cover_url"]).alias("image_url"),
+        urls.item_address(show["root"], F.col("id"), F.col("filename")).alias("enclosure_url"),
         F.coalesce("file_size_bytes", F.lit(0)).cast("bigint").alias("enclosure_length"),
         F.col("mime_type").alias("enclosure_type"),
     )
@@ -94,7 +100,9 @@ def _element(name: str, text: Column) -> Column:
 
 
 def _empty(name: str, **attributes: Column) -> Column:
-    parts = [F.concat(F.lit(f' {k.replace("__", ":")}="'), xml_attribute(v), F.lit('"')) for k, v in attributes.items()]
+    """An element of clean attribute values, such as addresses."""
+    quoted = {k: F.replace(escaped(v), F.lit('"'), F.lit("&quot;")) for k, v in attributes.items()}
+    parts = [F.concat(F.lit(f' {k}="'), v, F.lit('"')) for k, v in quoted.items()]
     return F.concat(F.lit(f"<{name}"), *parts, F.lit("/>"))
 
 
@@ -109,10 +117,10 @@ def item_xml() -> Column:
     body = F.replace(c("description"), F.lit("]]>"), F.lit("]]&gt;"))
     return _join(
         F.lit("<item>"),
-        _element("title", xml_text(c("title"))),
-        _element("description", xml_text(c("description"))),
+        _element("title", escaped(c("title"))),
+        _element("description", escaped(c("description"))),
         F.when(c("description") != "", _element("content:encoded", F.concat(F.lit("<![CDATA["), body, F.lit("]]>")))),
-        F.concat(F.lit('<guid isPermaLink="false">'), xml_text(c("episode_id")), F.lit("</guid>")),
+        F.concat(F.lit('<guid isPermaLink="false">'), escaped(c("episode_id")), F.lit("</guid>")),
         _element("pubDate", rfc2822(c("pub_date"))),
         F.when(c("duration").isNotNull(), _element("itunes:duration", c("duration"))),
         _element("itunes:explicit", c("explicit")),
@@ -134,7 +142,7 @@ def head_xml(base_url: str, announce_move: bool = False) -> Column:
     cover = urls.cover_url(base, c("slug"), c("feed_token"), urls.iso_instant(c("cover_mtime")))
     has_cover = ~is_blank(c("cover_filename"))
     feed = urls.feed_url(base, c("slug"), c("feed_token"))
-    sub = F.when(~is_blank(c("itunes_subcategory")), _empty("itunes:category", text=c("itunes_subcategory")))
+    sub = F.when(~is_blank(c("itunes_subcategory")), _empty("itunes:category", text=xml_clean(c("itunes_subcategory"))))
     category = F.concat(
         F.lit('<itunes:category text="'), xml_attribute(c("itunes_category")), F.lit('">'),
         F.coalesce(sub, F.lit("")), F.lit("</itunes:category>"),
@@ -209,11 +217,9 @@ def feed_lines(
     return frames.unionByName(body)
 
 
-DOCUMENT_ORDER = ("show_id", "section", "pub_date", "created_at", "episode_id")
-
-
 def document_order() -> list[Column]:
-    return [F.col("show_id"), F.col("section"), F.desc("pub_date"), F.desc("created_at"), F.col("episode_id")]
+    """Order of lines. It starts with the folder column, so that a partitioned write keeps it."""
+    return [F.col("slug"), F.col("section"), F.desc("pub_date"), F.desc("created_at"), F.col("episode_id")]
 
 
 def feed_versions(lines: DataFrame) -> DataFrame:

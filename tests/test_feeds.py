@@ -13,6 +13,7 @@ from medialog.functions.moments import instant
 from medialog.operators import catalogue, feeds
 from medialog.plans.feed_refresh import refresh_feeds
 from medialog.schemas import SHOWS
+from medialog.sources.export import write_feeds
 
 BASE = "https://pods.example.com"
 SHOW = dict(title="Show & <Co>", description="D", author_name=" ", author_email="", language="en", itunes_category="Arts",
@@ -131,3 +132,23 @@ def test_refresh_writes_changed_documents_only(spark, scratch):
     assert glob.glob(f"{scratch}/second/slug=zero") == [] and glob.glob(f"{scratch}/second/slug=one") != []
     assert after["s0"] == before["s0"] and after["s1"].version != before["s1"].version
     assert after["s1"].modified_at >= before["s1"].modified_at
+
+
+def test_a_large_document_keeps_its_order_over_files(spark, scratch):
+    eps = episodes(spark, dict(id="x", filename="a.mp3", identity_key="1")).drop("id", "pub_date", "show_id")
+    many = spark.range(4000).select(
+        F.concat(F.lit("e"), "id").alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.hash("id"), F.lit(5000))).alias("pub_date"),
+        F.when(F.col("id") % 40 == 0, "t").otherwise("s").alias("show_id"),
+    ).crossJoin(eps)
+    dims = shows(spark, dict(id="s", slug="big"), dict(id="t", slug="small"))
+    lines = feeds.feed_lines(many, dims, BASE, NOW)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_feeds(lines, f"{scratch}/out")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for slug, show in (("big", "s"), ("small", "t")):
+        parts = sorted(glob.glob(f"{scratch}/out/slug={slug}/*.txt"))
+        got = [line for f in parts for line in open(f, encoding="utf8").read().splitlines()]
+        rows = lines.where(F.col("show_id") == show).collect()
+        want = sorted(rows, key=lambda r: (r.section, -(r.pub_date.timestamp() if r.pub_date else 0), r.episode_id or ""))
+        assert got == [r.line for r in want]
+    assert len(glob.glob(f"{scratch}/out/slug=big/*.txt")) > 1
