@@ -89,7 +89,10 @@ def last_feed_fetch(log: DataFrame, frm=None, to=None) -> DataFrame:
 
 
 def top_clients(log: DataFrame, frm=None, to=None, k: int = 5) -> DataFrame:
-    """The busiest clients of each show; unclassified requests are a client of their own."""
+    """The busiest clients of each show; unclassified requests are a client of their own.
+
+    The log is counted first: what is ranked per show is one row per client family.
+    """
     counts = (
         within(log, frm, to).where(is_media() & succeeded()).groupBy("show_id", "client").agg(F.count("*").alias("n"))
     )

@@ -99,14 +99,14 @@ def parse_entries(text: Column) -> Column:
     return F.coalesce(parsed, F.array().cast(f"ARRAY<STRUCT<{ENTRY.replace(' STRING', ': STRING')}>>"))
 
 
-def explode_diagnostics(scans: DataFrame) -> DataFrame:
-    """One row per stored error or warning."""
+def explode_diagnostics(scans: DataFrame, keep: list[str] = []) -> DataFrame:
+    """One row per stored error or warning, with further scan columns if wanted."""
     tagged = F.concat(
         F.transform(parse_entries(F.col("errors_json")), lambda e: F.struct(F.lit("error").alias("level"), e.alias("entry"))),
         F.transform(parse_entries(F.col("warnings_json")), lambda e: F.struct(F.lit("warning").alias("level"), e.alias("entry"))),
     )
-    return scans.select("id", "show_id", F.explode(tagged).alias("d")).select(
-        F.col("id").alias("scan_id"), "show_id", "d.level", "d.entry.file", "d.entry.message", "d.entry.code"
+    return scans.select("id", "show_id", *keep, F.explode(tagged).alias("d")).select(
+        F.col("id").alias("scan_id"), "show_id", *keep, "d.level", "d.entry.file", "d.entry.message", "d.entry.code"
     )
 
 
@@ -186,5 +186,5 @@ def scan_totals(results: DataFrame, by: list[str]) -> DataFrame:
 
 def library_diagnostics(results: DataFrame, by: list[str]) -> DataFrame:
     """The concatenated, capped diagnostics of a whole sweep."""
-    rows = explode_diagnostics(results).join(results.select(F.col("id").alias("scan_id"), *by), "scan_id")
+    rows = explode_diagnostics(results, by)
     return capped_diagnostics(rows, [*by, "level"], ["scan_id", "file", "message"])

@@ -338,7 +338,7 @@ def _ny_series(t, show_id=None):
     return series.series_for_range(t.media_access, bounds, ZONE, NY_FROM, NY_TO, show_id)
 
 
-@REGISTRY.add("daily_series", SERIES_SQL + " SELECT * FROM series", LOG)
+@REGISTRY.add("daily_series", SERIES_SQL + " SELECT * FROM series", LOG, ("bucket_key",))
 def _(t):
     return _ny_series(t)
 
@@ -347,6 +347,7 @@ def _(t):
     "daily_series_one_show",
     SERIES_SQL.replace(f"AND {MEDIA}\n", f"AND {MEDIA} AND a.show_id = 'show-1'\n") + " SELECT * FROM series",
     LOG,
+    ("bucket_key",),
 )
 def _(t):
     return _ny_series(t, "show-1")
@@ -363,6 +364,7 @@ b AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY d) - 1 AS INT) AS idx, d AS bucket
 SELECT b.idx, b.bucket_key, b.label, b.start_at, b.end_at, {MEASURES} FROM b
 LEFT JOIN media_access a ON a.requested_at >= b.start_at AND a.requested_at < b.end_at AND {MEDIA} GROUP BY ALL""",
     LOG,
+    ("bucket_key",),
 )
 def _(t):
     bounds = series.chart_bounds(t.media_access, datetime.fromisoformat(ALL_TIME_TO) + timedelta(hours=5))
@@ -448,6 +450,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY d) - 1 AS INT) AS idx, d AS bucket_key,
   CAST(d AS TIMESTAMP) + INTERVAL 5 HOUR AS start_at,
   CAST(COALESCE(LEAD(d) OVER (ORDER BY d), d1) AS TIMESTAMP) + INTERVAL 5 HOUR AS end_at FROM s""",
     LOG,
+    ("bucket_key",),
 )
 def _(t):
     upper = local_midnight(F.date_add(local_date(F.max("requested_at"), ZONE), 1), ZONE)

@@ -106,6 +106,21 @@ def _(t):
     return scan_log.scan_totals(t.scan_log, ["trigger"])
 
 
+@REGISTRY.add(
+    "library_diagnostics",
+    f"""WITH {DIAGNOSTICS}, rk AS (SELECT l.trigger, dg.*, ROW_NUMBER() OVER (PARTITION BY l.trigger, level ORDER BY scan_id, file, message) AS r,
+  COUNT(*) OVER (PARTITION BY l.trigger, level) AS n FROM dg JOIN scan_log l ON l.id = dg.scan_id)
+SELECT trigger, level, n, CAST(r - 1 AS INT) AS position, file, message FROM rk WHERE r <= 50
+UNION ALL SELECT trigger, level, n, 50, NULL, '…and ' || (n - 50) || ' more like these.' FROM rk WHERE r = 1 AND n > 50""",
+    ("scan_log",),
+)
+def _(t):
+    capped = scan_log.library_diagnostics(t.scan_log, ["trigger"])
+    return capped.select("trigger", "level", "n", F.posexplode("entries").alias("position", "e")).select(
+        "trigger", "level", "n", "position", "e.file", "e.message"
+    )
+
+
 @REGISTRY.add(
     "login_backoff",
     """WITH r AS (SELECT * FROM login_attempts WHERE attempted_at > TIMESTAMP '2024-01-30 22:33:10' AND attempted_at <= TIMESTAMP '2024-01-30 22:48:10'),

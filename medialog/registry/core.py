@@ -29,14 +29,17 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
-def zone_free(df: DataFrame) -> DataFrame:
-    """Instants as UTC wall-clock values, so that readers in any zone see the same."""
-    return df.select(
-        *[
-            F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+def plain_values(df: DataFrame) -> DataFrame:
+    """Instants as UTC wall-clock values and days as text, so that every reader sees the same."""
+
+    def plain(field: T.StructField):
+        if isinstance(field.dataType, T.TimestampType):
+            return F.col(field.name).cast("timestamp_ntz").alias(field.name)
+        if isinstance(field.dataType, T.DateType):
+            return F.col(field.name).cast("string").alias(field.name)
+        return F.col(field.name)
+
+    return df.select(*[plain(f) for f in df.schema.fields])
 
 
 @dataclass
@@ -44,17 +47,21 @@ class Registry:
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = field(default_factory=dict)
     oracles: dict[str, str] = field(default_factory=dict)
 
-    def add(self, name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-        """Decorator: register a function of :class:`Tables`."""
+    def add(self, name: str, sql: str | None = None, views: tuple[str, ...] = (), days: tuple[str, ...] = ()):
+        """Decorator: register a function of :class:`Tables`. ``days`` names date columns."""
 
         def wrap(build: Callable[[Tables], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 configure(spark)
-                return zone_free(build(Tables(spark, sf_dir)))
+                return plain_values(build(Tables(spark, sf_dir)))
 
             self.queries[name] = run
             if sql is not None:
-                self.oracles[name] = oracle(sql, *views)
+                text = oracle(sql, *views)
+                if days:
+                    casts = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in days)
+                    text = f"SELECT * REPLACE ({casts}) FROM ({text})"
+                self.oracles[name] = text
             return build
 
         return wrap

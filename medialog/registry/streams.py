@@ -31,6 +31,7 @@ def _(t):
     f"""WITH en AS ({ENRICH_SQL}) SELECT CAST(requested_at - INTERVAL 5 HOUR AS DATE) AS local_date, show_id, {MEASURES}
 FROM en WHERE kind IN ('download', 'stream') GROUP BY ALL""",
     ("raw_request",),
+    ("local_date",),
 )
 def _(t):
     path = workspace(t.spark, "daily")

@@ -78,10 +78,16 @@ def _identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(identity_key=keys, error_code=errors)
 
 
-def with_identity(files: DataFrame) -> DataFrame:
-    """Read at most two windows of each listed file. A file that fails gets an error code."""
+def with_identity(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Read at most two windows of each listed file. A file that fails gets an error code.
+
+    Rows are few bytes but much reading, so they are spread over a fixed number of tasks that
+    Spark will not merge; by default four per core.
+    """
+    tasks = tasks or 4 * files.sparkSession.sparkContext.defaultParallelism
     fields = ", ".join(f"`{name}` {kind}" for name, kind in files.dtypes)
-    return files.mapInPandas(_identify, f"{fields}, identity_key STRING, error_code STRING")
+    spread = files.repartition(tasks, "path")
+    return spread.mapInPandas(_identify, f"{fields}, identity_key STRING, error_code STRING")
 
 
 def identify_residue(listing: DataFrame, matched: DataFrame) -> DataFrame:
