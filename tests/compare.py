@@ -70,7 +70,8 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str, counts: dict |
     want = rows_of(columns, cur.fetchall())
     if sorted(df.columns) != sorted(columns):
         return [f"columns {sorted(set(df.columns) ^ set(columns))}"]
-    problems = []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    problems = [f"plan has {bad}" for bad in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython") if bad in plan]
     spark_types = dict(df.dtypes)
     for name_, kind_ in ((d[0], str(d[1])) for d in cur.description):
         whole = spark_types[name_] in ("bigint", "int", "smallint", "tinyint")

@@ -12,7 +12,7 @@ from medialog.functions.calendar import bucket_days, calendar_buckets, range_col
 from medialog.functions.moments import instant, local_date
 from medialog.operators.series import daily_series
 
-ZONES = ("UTC", "Europe/London", "Pacific/Auckland", "America/New_York", "Asia/Kolkata")
+ZONES = ("UTC", "Europe/London", "Pacific/Auckland", "America/New_York", "Asia/Kolkata", "America/Santiago", "Africa/Cairo")
 
 
 def buckets(spark, frm, to, zone, size=92):
