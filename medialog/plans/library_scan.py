@@ -5,20 +5,51 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialog.functions.text import audio_type
 from medialog.operators.artwork import apply_art, art_changes, choose_art, sidecar_art
 from medialog.operators.discover import apply_discovery, discover
 from medialog.operators.joins import lookup_join
 from medialog.operators.lifecycle import sweep_missing
-from medialog.operators.reconcile import conform, reconcile
+from medialog.operators.reconcile import conform, fast_match, reconcile
 from medialog.operators.scan_log import to_scan_rows, trim_scans
 from medialog.schemas import LISTING, SCAN_LOG
 from medialog.session import workspace
+from medialog.sources.listing import read_listing, with_identity
 from medialog.sources.store import Store
 
 
+def listed_files(spark: SparkSession, root: str, shows: DataFrame, episodes: DataFrame, rehash: bool = False) -> DataFrame:
+    """The listing of a library folder, with the identity of every audio file.
+
+    Files that equal their catalogue row by name, size, time and type take its identity; only
+    the rest are opened.
+    """
+    slugs = shows.select("slug", F.col("id").alias("show_id"))
+    found = lookup_join(read_listing(spark, root), slugs, ["slug"], ["filename"], "inner").drop("slug")
+    typed = found.withColumn("mime_type", audio_type(F.col("filename"))).withColumn(
+        "identity_key", F.lit(None).cast("string")
+    )
+    other = typed.where("mime_type IS NULL")
+    audio = typed.where("mime_type IS NOT NULL")
+    if rehash:
+        parts = [with_identity(audio.drop("identity_key"))]
+    else:
+        matched = fast_match(audio, episodes)
+        parts = [matched.where("fast"), with_identity(matched.where(~F.col("fast")).drop("identity_key"))]
+    out = conform(other, LISTING)
+    for part in parts:
+        out = out.unionByName(conform(part, LISTING))
+    return out
+
+
+def listed_folders(spark: SparkSession, root: str) -> DataFrame:
+    """The show folders of a library that hold any file."""
+    return read_listing(spark, root).select("slug").distinct()
+
+
 @dataclass(frozen=True)
 class Sweep:
     """What a sweep produced, before it is stored."""

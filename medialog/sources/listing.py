@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.functions.text import audio_type
-
 WINDOW_BYTES = 1024 * 1024
 WHOLE_BYTES = 2 * WINDOW_BYTES
 
@@ -89,12 +87,3 @@ def with_identity(files: DataFrame, tasks: int | None = None) -> DataFrame:
     spread = files.repartition(tasks, "path")
     return spread.mapInPandas(_identify, f"{fields}, identity_key STRING, error_code STRING")
 
-
-def identify_residue(listing: DataFrame, matched: DataFrame) -> DataFrame:
-    """Hash only audio that the catalogue does not already know by name, size and time.
-
-    ``matched`` has show_id, filename and fast (see reconcile.fast_match).
-    """
-    known = matched.where("fast").select("show_id", "filename")
-    audio = listing.where(audio_type(F.col("filename")).isNotNull())
-    return with_identity(audio.join(known, ["show_id", "filename"], "left_anti"))

@@ -8,7 +8,7 @@ died half-way is never announced.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +75,21 @@ class Store:
         """The log, with its day column for partition pruning."""
         schema = f"{schemas.MEDIA_ACCESS}, requested_date DATE"
         return self.spark.read.schema(schema).parquet(f"{self.root}/media_access")
+
+    def drop_days_before(self, now: datetime, days: int) -> list[str]:
+        """Delete whole day folders of the log that are past their retention.
+
+        The day the cutoff falls on stays; ``trim_access`` filters it.
+        """
+        first_kept = (now - timedelta(days=days)).date().isoformat()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.root}/media_access")
+        files = root.getFileSystem(conf)
+        prefix = f"{LOG_PARTITIONS[0]}="
+        dropped = []
+        for entry in files.listStatus(root):
+            name = entry.getPath().getName()
+            if name.startswith(prefix) and name.removeprefix(prefix) < first_kept:
+                files.delete(entry.getPath(), True)
+                dropped.append(name.removeprefix(prefix))
+        return sorted(dropped)

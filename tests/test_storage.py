@@ -13,9 +13,9 @@ from test_feeds import shows
 from test_reconcile import NOW, T0, episodes, files
 
 from medialog.operators import artwork, discover, lifecycle, patches
-from medialog.operators.access_log import AccessFilter, within
+from medialog.operators.access_log import AccessFilter, trim_access, within
 from medialog.operators.reconcile import conform
-from medialog.plans.library_scan import store_sweep, sweep
+from medialog.plans.library_scan import listed_files, listed_folders, store_sweep, sweep
 from medialog.plans.stats_page import stats_page
 from medialog.schemas import EPISODES, REMOVED_FOLDERS, SCAN_LOG
 from medialog.sources import export, listing, show_config
@@ -204,3 +204,46 @@ def test_stats_page_parts_agree(spark, key):
     assert parts["total"].first().n == parts["entries"].count() if key == "7d" else True
     assert parts["clients"].first().n == total.downloads + total.streams
     assert parts["failures"].count() > 0 and parts["client_shares"].first().share == 100
+
+
+def test_days_past_retention_are_deleted(spark, scratch):
+    store = Store(spark, scratch)
+    store.append_access(log_of(spark, [(i, i * 720, "download", 200, 1, 1, None, "e", "s") for i in range(10)]))
+    now = BASE + timedelta(days=3, hours=6)
+    assert store.drop_days_before(now, days=1) == ["2024-03-01", "2024-03-02"]
+    left = store.access_log()
+    assert sorted(r.id for r in left.collect()) == [4, 5, 6, 7, 8, 9]
+    assert sorted(r.id for r in trim_access(left, now, 1).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_a_folder_scanned_twice(spark, tmp_path):
+    """From files on disk to the catalogue: only what changed is opened, and ids survive a rename."""
+    root = tmp_path / "library"
+    for name in ("club/one.mp3", "club/two.m4a", "club/two.jpg", "club/note.wma", "other/x.mp3"):
+        put(root / name, name.encode())
+    dims = shows(spark, dict(id="c", slug="club"), dict(id="o", slug="other"))
+    none = spark.createDataFrame([], REMOVED_FOLDERS)
+
+    def run(catalogue, key):
+        files_now = listed_files(spark, str(root), dims, catalogue)
+        out = sweep(files_now, listed_folders(spark, str(root)), dims, catalogue, none, None, NOW, key)
+        return files_now, out, {r.filename: r for r in out.episodes.collect()}
+
+    _, _, first = run(episodes(spark), "k1")
+    assert set(first) == {"one.mp3", "two.m4a", "x.mp3"}
+    assert first["one.mp3"].identity_key == identity(b"club/one.mp3")
+    saved = spark.createDataFrame(list(first.values()), EPISODES)
+
+    (root / "club/one.mp3").rename(root / "club/uno.mp3")
+    (root / "club/two.m4a").unlink()
+    put(root / "club/copy.mp3", b"other/x.mp3")
+    put(root / "club/copy2.mp3", b"other/x.mp3")
+    listing_now, out, second = run(saved, "k2")
+    assert second["uno.mp3"].id == first["one.mp3"].id and second["two.m4a"].status == "missing"
+    assert second["copy.mp3"].show_id == "c" and second["copy.mp3"].id != first["x.mp3"].id
+    assert second["x.mp3"] == first["x.mp3"]
+    assert {(r.code, r.file) for r in out.diagnostics.collect()} == {
+        ("unsupported", "note.wma"), ("gone", "two.m4a"), ("duplicate", "copy2.mp3")}
+    assert {r.show_id: (r.files_found, r.added, r.updated, r.missing) for r in out.counters.collect()} == {
+        "c": (3, 1, 1, 1), "o": (1, 0, 0, 0)}
+    assert {r.verdict for r in out.folder_verdicts.collect()} == {"present"}
