@@ -55,6 +55,11 @@ def apply_discovery(shows: DataFrame, verdicts: DataFrame, now) -> DataFrame:
     return shows.join(marks, "id", "left").withColumns(updates).select(*shows.columns)
 
 
+def forget_removals(tombstones: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tombstones without the folders (slug) somebody asks to have back."""
+    return tombstones.join(wanted.select("slug"), "slug", "left_anti")
+
+
 def new_shows(
     verdicts: DataFrame, configs: DataFrame, defaults: dict[str, str], now, scan_key: str, token_secret: str
 ) -> DataFrame:

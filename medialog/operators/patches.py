@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,8 @@ class Rule:
 
     source: str
     target: str
-    value: callable
-    valid: callable = lambda raw: F.lit(True)
+    value: Callable[[Column], Column]
+    valid: Callable[[Column], Column] = lambda raw: F.lit(True)
     complaint: str = ""
 
 

@@ -99,7 +99,7 @@ def parse_entries(text: Column) -> Column:
     return F.coalesce(parsed, F.array().cast(f"ARRAY<STRUCT<{ENTRY.replace(' STRING', ': STRING')}>>"))
 
 
-def explode_diagnostics(scans: DataFrame, keep: list[str] = []) -> DataFrame:
+def explode_diagnostics(scans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per stored error or warning, with further scan columns if wanted."""
     tagged = F.concat(
         F.transform(parse_entries(F.col("errors_json")), lambda e: F.struct(F.lit("error").alias("level"), e.alias("entry"))),

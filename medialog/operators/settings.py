@@ -35,16 +35,16 @@ INSTANCE = "instance_id"
 PREVIOUS, PREVIOUS_AT = "previous_public_base_url", "previous_public_base_url_set_at"
 
 
-def upsert(settings: DataFrame, patch: DataFrame, keys: list[str] = [INSTANCE, "key"]) -> DataFrame:
+def upsert(settings: DataFrame, patch: DataFrame, keys: tuple[str, ...] = (INSTANCE, "key")) -> DataFrame:
     """Write a patch: new and changed values replace, a NULL value deletes."""
     new = patch.select(*keys, F.col("value").alias("new_value"), F.lit(True).alias("patched"))
     value = F.when(F.col("patched"), F.col("new_value")).otherwise(F.col("value"))
-    return settings.join(new, keys, "full").select(*keys, value.alias("value")).where("value IS NOT NULL")
+    return settings.join(new, list(keys), "full").select(*keys, value.alias("value")).where("value IS NOT NULL")
 
 
-def seed(settings: DataFrame, defaults: DataFrame, keys: list[str] = [INSTANCE, "key"]) -> DataFrame:
+def seed(settings: DataFrame, defaults: DataFrame, keys: tuple[str, ...] = (INSTANCE, "key")) -> DataFrame:
     """Insert values whose key is absent; blank defaults are no values."""
-    fresh = defaults.where("value IS NOT NULL AND value <> ''").join(settings, keys, "left_anti")
+    fresh = defaults.where("value IS NOT NULL AND value <> ''").join(settings, list(keys), "left_anti")
     return settings.unionByName(fresh.select(*settings.columns))
 
 
@@ -128,4 +128,4 @@ def save(settings: DataFrame, patch: DataFrame, now, by: str = INSTANCE) -> Data
     moves = address_moves(settings, patch, now, by)
     # What the patch states itself wins over the recorded pair.
     extra = moves.join(patch.select(by, "key"), [by, "key"], "left_anti")
-    return upsert(settings, patch.select(by, "key", "value").unionByName(extra), [by, "key"])
+    return upsert(settings, patch.select(by, "key", "value").unionByName(extra), (by, "key"))
