@@ -8,9 +8,10 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from medialog.registry import REGISTRY
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,8 @@ def test_same_rows(spark, con, name):
 
 def test_entry_has_a_row_per_show(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_entry_lists_every_registered_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
