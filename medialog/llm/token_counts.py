@@ -9,6 +9,7 @@ that of the library.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -76,15 +77,15 @@ class Counts:
         return len(self.tokenizer.model.tokenize(shown(piece)))
 
 
-# The worker's tables outlive a task; a new broadcast replaces them.
-_worker: dict[int, Counts] = {}
+# A worker's tables outlive a task; those of another run replace them.
+_worker: dict[str, Counts] = {}
 
 
-def _counts(vocabulary: Broadcast, frequent: Broadcast) -> Counts:
-    if frequent.id not in _worker:
+def _counts(run: str, vocabulary: Broadcast, frequent: Broadcast) -> Counts:
+    if run not in _worker:
         _worker.clear()
-        _worker[frequent.id] = Counts(vocabulary.value, frequent.value)
-    return _worker[frequent.id]
+        _worker[run] = Counts(vocabulary.value, frequent.value)
+    return _worker[run]
 
 
 def frequent_pre_tokens(docs: DataFrame, text_col: str, vocabulary: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> Frequent:
@@ -122,11 +123,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = prepared(docs.sparkSession)
     vocabulary = read_vocabulary(path)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(vocabulary)
     frequent = spark.sparkContext.broadcast(frequent_pre_tokens(docs, text_col, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts(shared, frequent)
+        counts = _counts(name, shared, frequent)
         for batch in batches:
             text = batch.column("text")
             n = [counts.of(t) if t else 0 for t in text.to_pylist()]
