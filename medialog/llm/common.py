@@ -23,7 +23,7 @@ _BUCKET_BITS = 32_768
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows and, where Spark knows the setting, by bytes."""
+    """Bound Arrow batches by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.llm import bpe, decontaminate, exact_dedup, token_counts
-from medialog.llm.common import table
+from medialog.llm import bpe, decontaminate, exact_dedup, language_id, quality, token_counts, warc
+from medialog.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,40 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query(
+    "op4_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM d""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive and read back."""
+    path = shared_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z")
+    back = warc.read_archive(spark, path, payload_bytes=F.octet_length("payload").cast("long"), payload_digest=F.sha1("payload"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 5, 0)
+    found = language_id.predict(docs, language_id.fit(docs.where(~out)))
+    return found.select(F.col("id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", out)
+
+
+@_query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from two thirds of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out("doc_id", 3, 1)
+    found = quality.score(docs, quality.fit(docs, labels.where(~out)))
+    return found.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).withColumn("held_out", out)
