@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, prepared, row_hash
+from medialog.llm.common import as_bytes, prepared, row_hash, slices
 from medialog.llm.vocabulary import COMPOSED, read_vocabulary, shown, tokenizer
 
 # Entries in a worker's caches.
-CACHED = 700_000
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 500_000
+CACHED = 300_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 300_000
+# Bytes of text whose words share a trie; a longer text has one of its own.
+SLICE = 2 << 20
 
 _BASE = -1  # rank of a token that no merge makes
 _WORD = 0  # key of a trie node that ends a word
@@ -228,7 +230,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = encoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE):
             ids = rules.encode(as_bytes(batch.column("text")))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
