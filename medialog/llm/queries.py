@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.llm import bpe, decontaminate, exact_dedup, language_id, quality, token_counts, warc
+from medialog.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, token_counts, warc
 from medialog.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.held_out("doc_id", 3, 1)
     found = quality.score(docs, quality.fit(docs, labels.where(~out)))
     return found.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).withColumn("held_out", out)
+
+
+@_query("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
