@@ -15,9 +15,10 @@ encodings of pieces that it has met.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from medialog.llm.common import as_bytes, prepared, row_hash, slices
 from medialog.llm.vocabulary import COMPOSED, read_vocabulary, shown, tokenizer
 
 # Entries in a worker's caches.
-CACHED = 300_000
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 300_000
+CACHED = 200_000
+CACHED_WORDS = 500_000
+CACHED_PAIRS = 200_000
 # Bytes of text whose words share a trie; a longer text has one of its own.
 SLICE = 2 << 20
 
@@ -105,18 +106,16 @@ class Merges:
                 before = self.rank[right] + 1
                 right = self.parts[right][0]
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct words, without the word-end mark, by one walk over their trie."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids, as bytes of 32-bit numbers, of distinct words, without the word-end mark, by one walk over their trie."""
         trie: dict = {}
         for word in words:
             node = trie
             for c in word[:-1]:
                 node = node.setdefault(c, {})
             node.setdefault(word[-1] + self.end, {})[_WORD] = word
-        if len(self.holds_cache) > CACHED_PAIRS:
-            self.holds_cache.clear()
-        out: dict[str, tuple[int, ...]] = {}
-        ids, whole, starts, holds, known = self.ids, self.whole, self.starts, self.holds, self.holds_cache.get
+        out: dict[str, bytes] = {}
+        whole, starts, holds, known = self.whole, self.starts, self.holds, self.holds_cache.get
         # Of the prefix on the way down, by depth: last token, its start in symbols.
         last, start = [0], [0]
         # Node, its depth, its text, and where the earliest token starts that may still be open.
@@ -145,7 +144,7 @@ class Merges:
                         tokens.append(last[at])
                         at = start[at]
                     tokens.reverse()
-                    out[child] = tuple(tokens)
+                    out[child] = array("i", tokens).tobytes()
                 else:
                     stack.append((child, depth + 1, text + edge, low))
         return out
@@ -153,18 +152,26 @@ class Merges:
 
 # fixed: the split of this family of vocabularies before merges
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECES_AND_LINES = regex.compile(_PIECES.pattern + r"|\n")
 _OTHER = regex.compile(f"[^{COMPOSED}]")
 
 
+def _trim(cache: dict, most: int) -> None:
+    """Forget the older half of a cache that has grown beyond ``most``."""
+    if len(cache) > most:
+        for key in list(islice(cache, len(cache) - most // 2)):
+            del cache[key]
+
+
 class Encoder:
-    """Encodings of pieces of text in one worker process."""
+    """Encodings in one worker process; ids are kept as the bytes of 32-bit numbers."""
 
     def __init__(self, vocabulary: str):
         self.merges, self.library = Merges(vocabulary), tokenizer(vocabulary)
-        self.special = {x["content"]: x["id"] for x in json.loads(vocabulary)["added_tokens"]}
+        self.special = {x["content"]: np.int32(x["id"]).tobytes() for x in json.loads(vocabulary)["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special strings, in the vocabulary's byte letters."""
@@ -173,30 +180,42 @@ class Encoder:
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return [w if w.isascii() and w.isprintable() else shown(w) for w in _PIECES.findall(text.lower())]
 
-    def parts(self, piece: bytes) -> list[str | int]:
-        text, at = piece.decode(), 0
-        out: list[str | int] = []
-        for m in self.cut.finditer(text) if b"<" in piece else ():
-            out += [*self.split(text[at : m.start()]), self.special[m.group()]]
+    def parts(self, piece: str) -> list[str | bytes]:
+        """Words, and the ids of special strings between them."""
+        at, out = 0, []
+        for m in self.cut.finditer(piece):
+            out += [*self.split(piece[at : m.start()]), self.special[m.group()]]
             at = m.end()
-        return out + self.split(text[at:])
+        return out + self.split(piece[at:])
+
+    def new_parts(self, pieces: list[bytes]) -> list[list[str | bytes]]:
+        """:meth:`parts` of many pieces; those of plain characters are split in one go."""
+        text = b"\n".join(pieces).decode()
+        if _OTHER.search(text) or self.cut.search(text):
+            return [self.parts(p.decode()) for p in pieces]
+        out: list[list[str | bytes]] = [[]]
+        for w in _PIECES_AND_LINES.findall(text.lower()):
+            if w == "\n":
+                out.append([])
+            else:
+                out[-1].append(w if w.isascii() and w.isprintable() else shown(w))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        pieces = [t.split() for t in texts]
         cache, words = self.cache, self.words
-        new = {p: self.parts(p) for p in set(chain.from_iterable(pieces)).difference(cache)}
-        distinct = {w for parts in new.values() for w in parts if type(w) is str}
+        _trim(cache, CACHED)
+        _trim(words, CACHED_WORDS)
+        _trim(self.merges.holds_cache, CACHED_PAIRS)
+        pieces = [t.split() for t in texts]
+        new = list(set(chain.from_iterable(pieces)).difference(cache))
+        found = []
+        for k in range(0, len(new), 1000):
+            found += self.new_parts(new[k : k + 1000])
+        distinct = {w for parts in found for w in parts if type(w) is str}
         words.update(self.merges.encode_words(distinct.difference(words)))
-        for piece, parts in new.items():
-            if len(parts) == 1 and type(parts[0]) is str:
-                cache[piece] = words[parts[0]]
-            else:
-                cache[piece] = tuple(chain.from_iterable((w,) if type(w) is int else words[w] for w in parts))
-        return [np.fromiter(chain.from_iterable(map(cache.__getitem__, p)), dtype=np.int32) for p in pieces]
+        for piece, parts in zip(new, found, strict=True):
+            cache[piece] = words[parts[0]] if len(parts) == 1 and type(parts[0]) is str else b"".join([words[w] if type(w) is str else w for w in parts])
+        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype=np.int32) for p in pieces]
 
 
 @lru_cache(maxsize=2)
@@ -216,8 +235,9 @@ def _check(vocabulary: str) -> None:
         raise ValueError("a vocabulary without decoder and post-processor is asked for")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: ``id``, ``row`` (hash of the text), ``ids`` (array of int).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", and_decode: bool = False) -> DataFrame:
+    """A row per row of ``docs``: ``id``, ``row`` (hash of the text), ``ids`` (array of int). With
+    ``and_decode`` also ``text``, what :func:`decode` makes of the ids, in the same pass.
 
     ``path`` names a vocabulary with word ends of the tokenizers library on the driver. Null, empty
     and blank texts have no tokens. Repeated rows and null ids are rows like others; an empty table
@@ -229,15 +249,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = encoder(shared.value)
+        rules, names = encoder(shared.value), _names(shared.value)
         for batch in slices(batches, "text", SLICE):
             ids = rules.encode(as_bytes(batch.column("text")))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
-            yield pa.record_batch([batch.column("id"), batch.column("row"), lists], ["id", "row", "ids"])
+            columns = [batch.column("id"), batch.column("row"), lists]
+            yield pa.record_batch([*columns, _decoded(lists, names)] if and_decode else columns, ["id", "row", "ids", "text"][: 3 + and_decode])
 
     texts = docs.select(F.col(id_col).alias("id"), row_hash(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, row long, ids array<int>")
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, row long, ids array<int>"
+    return texts.mapInArrow(run, schema + ", text string" * and_decode)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -250,15 +272,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(shared.value)
         for batch in batches:
-            texts = [" ".join([names[i] for i in ids]) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            yield pa.record_batch([*batch.columns, _decoded(batch.column("ids"), names)], [*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, text string")
 
 
 @lru_cache(maxsize=2)
-def _names(vocabulary: str) -> list[str]:
+def _names(vocabulary: str) -> pa.Array:
+    """The string of each token by id."""
     spec = json.loads(vocabulary)
     found = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-    return [found.get(i, "") for i in range(max(found) + 1)]
+    return pa.array([found.get(i, "") for i in range(max(found) + 1)], pa.string())
+
+
+def _decoded(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The names of each list joined by spaces."""
+    lists = pa.ListArray.from_arrays(ids.offsets, names.take(ids.values))
+    return pa.compute.fill_null(pa.compute.binary_join(lists, " "), "")

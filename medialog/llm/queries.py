@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, token_counts, warc
+from medialog.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, token_counts, warc
 from medialog.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +98,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with a word-end vocabulary, and decoded again."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), path, and_decode=True)
     return decoded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
@@ -149,3 +149,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates among all documents."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+@_query("op2_chat_format")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
+    formatted = chat_format.format_conversations(turns.union(spark.createDataFrame(extra, turns.schema)))
+    return chat_format.sum_up(formatted)
