@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, token_counts, warc
+from medialog.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, quality, token_counts, warc
 from medialog.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
     formatted = chat_format.format_conversations(turns.union(spark.createDataFrame(extra, turns.schema)))
     return chat_format.sum_up(formatted)
+
+
+@_query("op5_license_scan", license_scan.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, laid out as files."""
+    files = license_scan.document_paths(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licences(files).join(files.select("doc_id", "path"), "path")
