@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,17 @@ def pick_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
     return once.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def filter_texts(docs: DataFrame, keeps: Callable[[list[bytes]], list[bool]], text_col: str = "text", most: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole texts ``keeps`` approves; nothing moves."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place, most):
+            yield batch.filter(pa.array(keeps(as_bytes(batch.column(place).cast(pa.string()))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def bit_filter(keys: DataFrame, hash_col: str) -> np.ndarray:
     """A filter of fixed size over 64-bit hashes: bit (hash mod ``FILTER_BITS``) is set.
 
@@ -106,7 +117,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each come to ``most`` bytes or are a single row."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -12,16 +12,16 @@ of them the documents are searched once a block and the spans united by document
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, pick_rows, prepared, row_hash, written
+from medialog.llm.common import as_bytes, filter_texts, prepared, row_hash, written
 
 WINDOW = 10
 BLOCK = 200_000
@@ -112,7 +112,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = compile_patterns(shared.value)
+        patterns = _compiled(shared)
         for batch in batches:
             counts, spans, items = [], [], []
             for text in as_bytes(batch.column("text")):
@@ -136,6 +136,22 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return pairs.groupBy("window").agg(F.collect_list("item").alias("items"))
 
 
+def _shared_block(windows: DataFrame, part: int, blocks: int) -> Broadcast:
+    """One block of windows, of ``BLOCK`` or so, sent to all tasks."""
+    rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == part).collect()
+    return windows.sparkSession.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
+
+
+_last: list = [None, []]
+
+
+def _compiled(shared: Broadcast) -> list[Patterns]:
+    """The tables of a block, made once a worker process."""
+    if _last[0] is not shared.value:
+        _last[:] = [shared.value, compile_patterns(shared.value)]
+    return _last[1]
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, block: int = BLOCK
 ) -> DataFrame:
@@ -153,9 +169,7 @@ def find_passages(
     schema = f"id {id_type}, row long, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
     def searched(part: int) -> DataFrame:
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
-        return texts.mapInArrow(_search(shared), schema)
+        return texts.mapInArrow(_search(_shared_block(windows, part, blocks)), schema)
 
     if blocks == 1:
         return searched(0)
@@ -184,11 +198,20 @@ def find_passages(
     return again.select("id", "row", "n_words", merged.alias("spans"), "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, with all their columns; repeated rows once."""
-    clean = find_passages(docs, benchmark, id_col, text_col).where(F.size("spans") == 0).select("id", "row")
-    return pick_rows(docs, clean, id_col, text_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` without a benchmark passage, with all their columns."""
+    prepared(docs.sparkSession)
+    windows = written(benchmark_windows(benchmark, "item_id", "text", width), "windows")
+    blocks = max(1, math.ceil(windows.count() / block))
+    for part in range(blocks):
+        cleaned = filter_texts(docs, _clean(_shared_block(windows, part, blocks)), text_col)
+        docs = written(cleaned, "clean") if blocks > 1 else cleaned
+    return docs
+
 
+def _clean(shared: Broadcast):
+    def keeps(texts: list[bytes]) -> list[bool]:
+        patterns = _compiled(shared)
+        return [not any(next(p.search(words), None) for p in patterns) for words in map(words_of, texts)]
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return keeps
