@@ -6,14 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialog.functions.calendar import in_range
 from medialog.operators.joins import lookup_join
 from medialog.schemas import ACCESS_KINDS, MEDIA_KINDS
 
-MAX_ROWS = 50_000
 RETENTION_DAYS = 365
 COMPLETE_SHARE = 0.98
 
@@ -104,7 +103,7 @@ SORTS = {
 }
 
 
-def _order(sort: str, direction: str) -> tuple[Column, bool, list[Column]]:
+def sort_order(sort: str, direction: str) -> tuple[Column, bool, list[Column]]:
     key = F.expr(SORTS.get(sort, SORTS["time"]))
     ascending = str(direction).lower() == "asc"
     # NULLs come first ascending and last descending. The id always breaks ties downwards.
@@ -112,45 +111,13 @@ def _order(sort: str, direction: str) -> tuple[Column, bool, list[Column]]:
     return key, ascending, [first, F.col("id").desc()]
 
 
-# From this many rows on, a page is cut roughly by a histogram before it is sorted.
-LARGE_PAGE = 1000
-
-
-def _coarse(sort: str) -> Column | None:
-    """A step function of the sort key with few values, for the keys that have many."""
-    if sort in ("status", "kind", "client"):
-        return None
-    if sort == "bytes":
-        return F.floor(F.log2(F.coalesce(F.col("bytes_sent"), F.lit(0)) + 1)).cast("bigint")
-    return F.floor(F.unix_micros("requested_at") / 3_600_000_000).cast("bigint")
-
-
-def narrow(log: DataFrame, rows: int, sort: str, direction: str) -> DataFrame:
-    """The log without rows that cannot be among the first ``rows``.
-
-    A top-k merges k rows of every task in one task, which is too much when k is large and the
-    log has very many partitions. The exact counts per hour (or power of two of bytes) tell
-    where the first rows must end; later rows are filtered out beforehand.
-    """
-    step = _coarse(sort)
-    if step is None:
-        return log
-    sign = 1 if str(direction).lower() == "asc" else -1
-    counts = log.groupBy((step * sign).alias("step")).agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy("step"))
-    enough = counts.withColumn("running", running).where(F.col("running") >= rows)
-    last = enough.agg(F.min("step")).scalar()
-    return log.where(last.isNull() | (step * sign <= last))
-
-
 def page(
     log: DataFrame, sort: str = "time", direction: str = "desc", limit: int = 50, offset: int = 0
 ) -> DataFrame:
-    """One page by position, in a total order. For pages far down use :func:`page_after`."""
-    _, _, order = _order(sort, direction)
-    limit, offset = min(max(1, int(limit)), MAX_ROWS), max(0, int(offset))
-    if limit + offset > LARGE_PAGE:
-        log = narrow(log, limit + offset, sort, direction)
+    """One page by position, in a total order. For pages far down use :func:`page_after`, for a
+    whole log the export."""
+    _, _, order = sort_order(sort, direction)
+    limit, offset = max(1, int(limit)), max(0, int(offset))
     out = log.orderBy(*order)
     return (out.offset(offset) if offset else out).limit(limit)
 
@@ -159,7 +126,7 @@ def page_after(
     log: DataFrame, last_value, last_id: int, sort: str = "time", direction: str = "desc", limit: int = 50
 ) -> DataFrame:
     """The page that follows a known last row: cost does not grow with depth."""
-    key, ascending, order = _order(sort, direction)
+    key, ascending, order = sort_order(sort, direction)
     tie = F.col("id") < last_id
     if last_value is None:
         follows = key.isNull() & tie
@@ -170,7 +137,7 @@ def page_after(
         follows = (key > value if ascending else key < value) | ((key == value) & tie)
         if not ascending:
             follows = follows | key.isNull()
-    return log.where(follows).orderBy(*order).limit(min(max(1, int(limit)), MAX_ROWS))
+    return log.where(follows).orderBy(*order).limit(max(1, int(limit)))
 
 
 def list_log(

@@ -1,68 +1,35 @@
 """Joining large facts to keyed lookup tables without a hot partition.
 
-A lookup side of proven small size is left to Spark, which broadcasts it. A larger one is
-replicated over a small salt range and the facts are spread over the same range, so that one
-key (or NULL) holding a third of the facts ends in many tasks. Results are the same on both
-routes.
+As a rule the join is left to Spark: it broadcasts a side whose size it knows to be small, and
+otherwise splits the partitions of a hot key as it runs. Where the caller knows better, ``salts``
+spreads the facts of every key, NULL included, over a range that the lookup side is copied to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SALTS = 16
 _SALT = "__salt"
 _SALTABLE = ("inner", "left", "left_semi", "left_anti")
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a frame, or None where it cannot be asked."""
-    jdf = getattr(df, "_jdf", None)
-    return None if jdf is None else int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = text.rstrip("b")
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
-
-
-def row_width(df: DataFrame) -> int:
-    """Rough bytes of a row in memory."""
-    return sum(64 if isinstance(f.dataType, (T.StringType, T.StructType, T.ArrayType)) else 16 for f in df.schema.fields)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether a lookup side is small enough for every executor.
-
-    Catalyst estimates from compressed files, which may grow tenfold and more in memory. A
-    tenth of the limit is taken as small; up to the limit the rows are counted, a scan of that
-    size at most; anything above is too large.
-    """
-    size, limit = estimated_bytes(df), broadcast_limit(df)
-    if size is None or size > limit:
-        return False
-    return size <= limit // 10 or df.count() * row_width(df) <= 10 * limit
-
-
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: list[str],
     spread_by: list[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equally named columns.
 
-    ``spread_by`` names fact columns that differ inside a hot key, such as the row id.
+    ``spread_by`` names fact columns that differ inside a hot key, such as the row id; with ``salts``
+    the facts are spread by them.
     """
     if how not in _SALTABLE:
         raise ValueError(f"how must be one of {_SALTABLE}")
-    if fits_broadcast(lookup):
+    if not salts:
         return facts.join(lookup, on, how)
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from medialog.schemas import SCAN_OUTCOMES, SCAN_TRIGGERS
 
 MAX_PAGE = 200
 MAX_DIAGNOSTICS = 50
-KEEP_SCANS = 500
 ENTRY = "file STRING, message STRING, code STRING"
 _COUNTERS = ("added", "updated", "missing", "removed")
 
@@ -87,8 +88,8 @@ def latest_scan(scans: DataFrame) -> DataFrame:
     )
 
 
-def trim_scans(scans: DataFrame, keep: int = KEEP_SCANS) -> DataFrame:
-    """The newest ``keep`` scans."""
+def trim_scans(scans: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` rows of the scan log. A pass writes a row per show."""
     return scans.orderBy(F.desc("started_at"), F.desc("id")).limit(keep)
 
 
@@ -145,7 +146,10 @@ def capped_diagnostics(diagnostics: DataFrame, by: list[str], order: list[str],
         F.lit(None).cast("string").alias("code"),
     )
     entries = F.transform("kept", lambda k: k["entry"])
-    return kept.join(sizes, by).select(
+    # NULL is a group like others.
+    sized = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], "n")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return kept.join(sized, same).select(
         *by,
         "n",
         F.when(F.col("n") > n, F.concat(entries, F.array(rest))).otherwise(entries).alias("entries"),

@@ -42,18 +42,16 @@ def login_backoff(attempts: DataFrame, now) -> DataFrame:
 def trailing_failures(attempts: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """Per attempt, the user's failures in the minutes up to it.
 
-    A user may hold a third of all attempts, so the window runs over (user, hour). Attempts of
-    the last minutes of an hour are copied into the next one as context and dropped afterwards.
+    A user may hold a third of all attempts, so the window runs over blocks of that many minutes of
+    a user. An attempt counts in its own block and the next, where it is dropped afterwards.
     """
-    hour = F.date_trunc("hour", F.col("attempted_at"))
-    next_hour = hour + F.expr("INTERVAL 1 HOUR")
-    overlaps = F.col("attempted_at") >= next_hour - F.expr(f"INTERVAL {minutes} MINUTE")
-    blocks = F.when(overlaps, F.array(hour, next_hour)).otherwise(F.array(hour))
-    copied = attempts.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == hour)
+    length = minutes * 60 * 1_000_000
+    block = F.floor(F.unix_micros("attempted_at") / length)
+    copied = attempts.withColumn("block", F.explode(F.array(block, block + 1))).withColumn("own", F.col("block") == block)
     span = (
         Window.partitionBy("username", "block")
         .orderBy(F.unix_micros("attempted_at"))
-        .rangeBetween(-minutes * 60 * 1_000_000, 0)
+        .rangeBetween(-length, 0)
     )
     counted = copied.withColumn("trailing_failures", F.count_if(F.col("succeeded") == 0).over(span))
     return counted.where("own").drop("block", "own")

@@ -100,12 +100,19 @@ def sweep(
     return Sweep(shows_now, fresh, done.changes, done.counters, done.diagnostics, verdicts)
 
 
-def store_sweep(store: Store, result: Sweep, started_at: datetime, finished_at: datetime, trigger: str, base: int) -> None:
-    """Write the snapshots and append the scan log. ``base`` is the episodes version read."""
-    store.write_snapshot("episodes", result.episodes, expected=base)
-    store.write_snapshot("shows", result.shows)
+def store_sweep(
+    store: Store, result: Sweep, started_at: datetime, finished_at: datetime, trigger: str, base: dict[str, int], keep_scans: int | None = None
+) -> None:
+    """Write the snapshots and append the scan log.
+
+    ``base`` has the version read of each of ``episodes``, ``shows`` and ``scan_log``; a table that another
+    writer moved on since then fails. ``keep_scans`` limits the rows of the scan log, all shows
+    together; by default none is dropped.
+    """
+    store.write_snapshot("episodes", result.episodes, expected=base["episodes"])
+    store.write_snapshot("shows", result.shows, expected=base["shows"])
     rows = to_scan_rows(result.counters, result.diagnostics, started_at, finished_at, trigger)
     stamp = int(started_at.replace(tzinfo=timezone.utc).timestamp() * 1000)
-    keyed = rows.withColumn("id", F.lit(stamp) * 1_000_000 + F.pmod(F.xxhash64("show_id"), F.lit(1_000_000)))
-    log = store.read("scan_log").unionByName(conform(keyed, SCAN_LOG))
-    store.write_snapshot("scan_log", trim_scans(log))
+    keyed = rows.withColumn("id", F.xxhash64(F.lit(stamp), "show_id"))
+    log = store.read("scan_log", base["scan_log"]).unionByName(conform(keyed, SCAN_LOG))
+    store.write_snapshot("scan_log", trim_scans(log, keep_scans) if keep_scans else log, expected=base["scan_log"])

@@ -163,12 +163,12 @@ def _(t):
   CASE WHEN NOT ok THEN 'failed' WHEN incomplete THEN 'partial' ELSE 'ok' END AS result,
   COALESCE(CAST(bytes_sent AS VARCHAR), '') AS bytes_sent, COALESCE(CAST(total_bytes AS VARCHAR), '') AS total_bytes,
   COALESCE(range_header, '') AS range_header, COALESCE(client, '') AS app, COALESCE(error, '') AS error
-FROM ({ENRICHED} WHERE {PERIOD} AND {MEDIA} ORDER BY requested_at DESC, a.id DESC LIMIT 50000)""",
+FROM ({ENRICHED} WHERE {PERIOD} AND {MEDIA})""",
     ALL,
 )
 def _(t):
     wanted = AccessFilter(frm=FRM, to=TO, kinds=["download", "stream"])
-    rows = access_log.list_log(t.media_access, t.episodes, t.shows, wanted, limit=access_log.MAX_ROWS)
+    rows = access_log.with_outcome_flags(access_log.enrich_log(wanted.apply(t.media_access), t.episodes, t.shows))
     return rows.select(*[csv_cell(column).alias(name) for name, column in access_log.export_columns().items()])
 
 

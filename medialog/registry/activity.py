@@ -63,7 +63,7 @@ def _(t):
 
 @REGISTRY.add("scan_log_retained", "SELECT * FROM scan_log ORDER BY started_at DESC, id DESC LIMIT 500", ("scan_log",))
 def _(t):
-    return scan_log.trim_scans(t.scan_log)
+    return scan_log.trim_scans(t.scan_log, 500)
 
 
 DIAGNOSTICS = """dg AS (SELECT id AS scan_id, show_id, level, json_extract_string(e, '$.file') AS file,
@@ -80,13 +80,13 @@ def _(t):
 @REGISTRY.add(
     "diagnostics_capped",
     f"""WITH {DIAGNOSTICS}, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY show_id, level ORDER BY scan_id, file, message) AS r,
-  COUNT(*) OVER (PARTITION BY show_id, level) AS n FROM dg WHERE show_id IS NOT NULL)
+  COUNT(*) OVER (PARTITION BY show_id, level) AS n FROM dg)
 SELECT show_id, level, n, CAST(r - 1 AS INT) AS position, file, message, code FROM rk WHERE r <= 50
 UNION ALL SELECT show_id, level, n, 50, NULL, '…and ' || (n - 50) || ' more like these.', NULL FROM rk WHERE r = 1 AND n > 50""",
     ("scan_log",),
 )
 def _(t):
-    rows = scan_log.explode_diagnostics(t.scan_log.where("show_id IS NOT NULL"))
+    rows = scan_log.explode_diagnostics(t.scan_log)
     capped = scan_log.capped_diagnostics(rows, ["show_id", "level"], ["scan_id", "file", "message"])
     return capped.select("show_id", "level", "n", F.posexplode("entries").alias("position", "e")).select(
         "show_id", "level", "n", "position", "e.file", "e.message", "e.code"
@@ -146,6 +146,16 @@ def _(t):
     return signin.trailing_failures(t.login_attempts)
 
 
+@REGISTRY.add(
+    "login_failures_90_minutes",
+    """SELECT id, username, attempted_at, succeeded, COUNT(*) FILTER (WHERE succeeded = 0) OVER (PARTITION BY username ORDER BY attempted_at
+  RANGE BETWEEN INTERVAL 90 MINUTE PRECEDING AND CURRENT ROW) AS trailing_failures FROM login_attempts""",
+    LOGIN,
+)
+def _(t):
+    return signin.trailing_failures(t.login_attempts, minutes=90)
+
+
 @REGISTRY.add(
     "attempts_retained", "SELECT * FROM login_attempts WHERE attempted_at >= TIMESTAMP '2024-01-29 22:48:10'", LOGIN
 )

@@ -10,6 +10,8 @@ from medialog.registry.core import NOW, REGISTRY
 from medialog.registry.publishing import BASE, BOTH, FEED_SQL, VERSION_SQL
 from medialog.session import workspace
 from medialog.sources.fixtures import streamed
+from medialog.sources.requests import enrich_requests
+from medialog.sources.store import read_log
 from medialog.streaming import daily, feed_versions, ingest, signin_alerts
 
 
@@ -17,13 +19,23 @@ def _drain(query) -> None:
     query.awaitTermination()
 
 
+def _deliver(rows, path: str) -> None:
+    """Rows in three deliveries, a file each: by the last digit of their id, some of them twice.
+
+    Each delivery spans all days, so the later ones are late by days.
+    """
+    digit = F.col("request_id") % 10
+    for wanted in (digit < 6, digit.isin(4, 5, 6, 7), digit > 6):
+        rows.where(wanted).coalesce(1).write.mode("append").parquet(path)
+
+
 @REGISTRY.add("stream_ingest", ENRICH_SQL, ("raw_request",))
 def _(t):
     path = workspace(t.spark, "ingest")
-    raw = streamed(t.spark, t.sf_dir, "raw_request")
-    # Every response end is reported twice; the log must hold it once.
-    _drain(ingest.ingest(raw.unionByName(raw), f"{path}/log", f"{path}/checkpoint", lateness="60 days"))
-    return t.spark.read.parquet(f"{path}/log").drop("requested_date")
+    _deliver(t.raw_request, f"{path}/in")
+    raw = ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1)
+    _drain(ingest.ingest(raw, f"{path}/log", f"{path}/checkpoint"))
+    return read_log(t.spark, f"{path}/log").drop("requested_date", "batch")
 
 
 @REGISTRY.add(
@@ -35,7 +47,9 @@ FROM en WHERE kind IN ('download', 'stream') GROUP BY ALL""",
 )
 def _(t):
     path = workspace(t.spark, "daily")
-    log = ingest.enrich_requests(streamed(t.spark, t.sf_dir, "raw_request"))
+    for part in (0, 1):
+        t.raw_request.where(F.col("request_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    log = enrich_requests(ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1))
     _drain(daily.follow(log, f"{path}/steps", f"{path}/checkpoint"))
     return daily.daily_by_show(t.spark.read.parquet(f"{path}/steps"), "America/New_York")
 
@@ -67,7 +81,11 @@ def _(t):
     observed = feeds.feed_versions(lines).select("show_id", "version").join(
         built.select("show_id", "last_build_at"), "show_id"
     )
-    observed.withColumn("observed_at", F.lit(NOW).cast("timestamp")).write.parquet(f"{path}/observed")
-    stream = t.spark.readStream.schema(feed_versions.OBSERVED).parquet(f"{path}/observed")
+    now = F.lit(NOW).cast("timestamp")
+    # An hour ago every show had another version, built the day before that of now.
+    earlier = observed.select("show_id", F.lit("old").alias("version"), (F.col("last_build_at") - F.expr("INTERVAL 1 DAY")).alias("last_build_at"))
+    for rows, at in ((earlier, now - F.expr("INTERVAL 1 HOUR")), (observed, now)):
+        rows.withColumn("observed_at", at).coalesce(1).write.mode("append").parquet(f"{path}/observed")
+    stream = t.spark.readStream.schema(feed_versions.OBSERVED).option("maxFilesPerTrigger", 1).parquet(f"{path}/observed")
     _drain(feed_versions.follow_versions(stream, f"{path}/state", f"{path}/checkpoint"))
     return feed_versions.read_state(t.spark, f"{path}/state")

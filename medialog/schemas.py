@@ -27,7 +27,7 @@ LOGIN_ATTEMPTS = """id BIGINT, username STRING, attempted_at TIMESTAMP, succeede
 
 REMOVED_FOLDERS = "slug STRING, removed_at TIMESTAMP"
 
-SETTINGS = "key STRING, value STRING"
+SETTINGS = "instance_id STRING, key STRING, value STRING"
 
 # One response as the web tier reports it, before enrichment.
 RAW_REQUESTS = """request_id BIGINT, requested_at TIMESTAMP, show_id STRING, episode_id STRING,

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from medialog.functions.text import csv_cell
 from medialog.operators.access_log import (
-    MAX_ROWS,
+    SORTS,
     AccessFilter,
     enrich_log,
     export_columns,
-    list_log,
     with_outcome_flags,
 )
 from medialog.operators.feeds import document_order
@@ -19,14 +18,15 @@ from medialog.operators.feeds import document_order
 BYTE_ORDER_MARK = "﻿"
 
 
-def csv_lines(rows: DataFrame) -> DataFrame:
-    """(section, requested_at, id, line): the header, then one line per enriched log row."""
+def csv_lines(rows: DataFrame, sort: str = "time") -> DataFrame:
+    """(section, key, id, line): the header, then one line per enriched log row with its sort key."""
     columns = export_columns()
     line = F.concat_ws(",", *[csv_cell(column) for column in columns.values()])
-    body = rows.select(F.lit(1).alias("section"), "requested_at", "id", line.alias("line"))
+    key = F.expr(SORTS.get(sort, SORTS["time"]))
+    body = rows.select(F.lit(1).alias("section"), key.alias("key"), "id", line.alias("line"))
     head = rows.sparkSession.range(1).select(
         F.lit(0).alias("section"),
-        F.lit(None).cast("timestamp").alias("requested_at"),
+        F.lit(None).cast(body.schema["key"].dataType).alias("key"),
         F.lit(None).cast("bigint").alias("id"),
         F.lit(BYTE_ORDER_MARK + ",".join(columns)).alias("line"),
     )
@@ -37,19 +37,11 @@ def export_access_log(
     log: DataFrame, episodes: DataFrame, shows: DataFrame, path: str, filters: AccessFilter = AccessFilter(),
     sort: str = "time", direction: str = "desc",
 ) -> None:
-    """The filtered log, newest first, as one CRLF file of at most MAX_ROWS rows."""
-    rows = list_log(log, episodes, shows, filters, sort, direction, limit=MAX_ROWS)
-    ordered = csv_lines(rows).coalesce(1).sortWithinPartitions("section", F.desc("requested_at"), F.desc("id"))
-    ordered.select("line").write.mode("errorifexists").option("lineSep", "\r\n").text(path)
-
-
-def export_whole_log(
-    log: DataFrame, episodes: DataFrame, shows: DataFrame, path: str, filters: AccessFilter = AccessFilter()
-) -> None:
-    """The filtered log without a row limit, as many files whose names give the order."""
+    """Every row of the filtered log in the chosen order, as CRLF files whose names give the order."""
     rows = with_outcome_flags(enrich_log(filters.apply(log), episodes, shows))
-    order = ["section", F.desc("requested_at"), F.desc("id")]
-    ordered = csv_lines(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    ascending = str(direction).lower() == "asc"
+    order = ["section", F.asc_nulls_first("key") if ascending else F.desc_nulls_last("key"), F.desc("id")]
+    ordered = csv_lines(rows, sort).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("line").write.mode("errorifexists").option("lineSep", "\r\n").text(path)
 
 

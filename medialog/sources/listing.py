@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialog.sources.files import file_system
+
 WINDOW_BYTES = 1024 * 1024
 WHOLE_BYTES = 2 * WINDOW_BYTES
 
@@ -46,12 +47,7 @@ def content_identity(content: Column, window: int = WINDOW_BYTES) -> Column:
 
 
 def _file_identity(path: str, size: int) -> str:
-    from pyarrow import fs
-
-    # Spark names files by unescaped path; an address wants it escaped.
-    scheme, rest = path.split(":", 1)
-    local = scheme == "file"
-    system, name = fs.FileSystem.from_uri(f"{scheme}:{'//' if local else ''}{quote('/' + rest.lstrip('/') if local else rest)}")
+    system, name = file_system(path)
     digest = hashlib.sha256()
     with system.open_input_file(name) as handle:
         if size <= WHOLE_BYTES:
@@ -70,7 +66,7 @@ def _identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 keys.append(_file_identity(path, int(size)))
                 errors.append(None)
-            except OSError as err:
+            except Exception as err:  # any failure of a single file is its error code
                 keys.append(None)
                 errors.append(type(err).__name__)
         yield batch.assign(identity_key=keys, error_code=errors)

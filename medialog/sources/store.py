@@ -1,21 +1,23 @@
-"""Tables on shared storage: append-only logs by day, and versioned snapshots.
+"""Tables on shared storage: an append-only log by day, and snapshots by number.
 
-Parquet has no in-place update, so a changed table is written as a new snapshot folder and
-then announced by one appended row. Readers take the latest announced version; a write that
-died half-way is never announced.
+Parquet has no in-place update, so a changed table is written whole as the next number, a folder of
+its own that must not exist yet: of two writers that start from the same number the second fails.
+Which number is to be read is the caller's to keep; :meth:`Store.current` finds the highest.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialog import schemas
+from medialog.sources.files import file_system
 
-_ANNOUNCED = "table_name STRING, version BIGINT, path STRING, written_at TIMESTAMP"
 TABLES = {
     "shows": schemas.SHOWS,
     "episodes": schemas.EPISODES,
@@ -24,7 +26,30 @@ TABLES = {
     "removed_folders": schemas.REMOVED_FOLDERS,
     "settings": schemas.SETTINGS,
 }
-LOG_PARTITIONS = ("requested_date",)
+DAY, BATCH = "requested_date", "batch"
+
+
+def append_log(rows: DataFrame, path: str, batch: str) -> None:
+    """Add rows to a log: a folder per day, in it one per batch.
+
+    Writing a batch again replaces it, and adds to no other. Rows are dealt by ranges of day, show and
+    time, so that a batch has about as many files as it has days and tasks.
+    """
+    order = [DAY, "show_id", "requested_at"]
+    dated = rows.withColumn(DAY, F.to_date("requested_at")).withColumn(BATCH, F.lit(batch))
+    ranged = dated.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, BATCH).parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log with its day and batch columns, for pruning; empty where nothing was written yet."""
+    schema = f"{schemas.MEDIA_ACCESS}, {DAY} DATE, {BATCH} STRING"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 class Store:
@@ -33,63 +58,51 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _announcements(self) -> DataFrame:
-        return self.spark.read.schema(_ANNOUNCED).json(f"{self.root}/_versions")
-
-    def current(self, name: str) -> tuple[int, str | None]:
-        """Latest version number and path of a snapshot table; (0, None) before the first."""
+    def current(self, name: str) -> int:
+        """The highest number of a snapshot table; 0 before the first."""
         try:
-            rows = self._announcements().where(F.col("table_name") == name)
-            latest = rows.agg(F.max_by(F.struct("version", "path"), F.struct("version", "written_at"))).first()[0]
-        except Exception as err:
-            if "PATH_NOT_FOUND" not in str(err):
+            files = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}").inputFiles()
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
                 raise
-            latest = None
-        return (latest["version"], latest["path"]) if latest else (0, None)
+            return 0
+        return max((int(m[1]) for f in files if (m := re.search(r"/version=(\d+)/", f))), default=0)
 
-    def read(self, name: str) -> DataFrame:
-        _, path = self.current(name)
-        if path is None:
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        version = self.current(name) if version is None else version
+        if not version:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/version={version}")
 
     def write_snapshot(self, name: str, df: DataFrame, expected: int | None = None) -> int:
-        """Write a new version; with ``expected``, only if nobody wrote since that one."""
-        version, _ = self.current(name)
-        if expected is not None and version != expected:
-            raise RuntimeError(f"{name} moved from version {expected} to {version}")
-        path = f"{name}/v{version + 1:08d}-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.root}/{path}")
-        row = [(name, version + 1, path, datetime.now(timezone.utc).replace(tzinfo=None))]
-        self.spark.createDataFrame(row, _ANNOUNCED).coalesce(1).write.mode("append").json(f"{self.root}/_versions")
-        return version + 1
-
-    def append_access(self, rows: DataFrame) -> None:
-        """Append log rows, a folder per day, sorted for row-group pruning by show and time."""
-        dated = rows.withColumn("requested_date", F.to_date("requested_at"))
-        dated.sortWithinPartitions("requested_date", "show_id", "requested_at").write.mode("append").partitionBy(
-            *LOG_PARTITIONS
-        ).parquet(f"{self.root}/media_access")
+        """Write the number after ``expected``, by default after the highest; fails if it is there."""
+        version = (self.current(name) if expected is None else expected) + 1
+        df.write.mode("errorifexists").parquet(f"{self.root}/{name}/version={version}")
+        return version
+
+    def append_access(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Append log rows; a batch of the same name is replaced."""
+        append_log(rows, f"{self.root}/media_access", batch or uuid.uuid4().hex)
 
     def access_log(self) -> DataFrame:
         """The log, with its day column for partition pruning."""
-        schema = f"{schemas.MEDIA_ACCESS}, requested_date DATE"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/media_access")
+        return read_log(self.spark, f"{self.root}/media_access").drop(BATCH)
 
     def drop_days_before(self, now: datetime, days: int) -> list[str]:
         """Delete whole day folders of the log that are past their retention.
 
         The day the cutoff falls on stays; ``trim_access`` filters it.
         """
+        from pyarrow.fs import FileSelector
+
         first_kept = (now - timedelta(days=days)).date().isoformat()
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.root}/media_access")
-        files = root.getFileSystem(conf)
-        prefix = f"{LOG_PARTITIONS[0]}="
+        system, root = file_system(f"{self.root}/media_access")
         dropped = []
-        for entry in files.listStatus(root):
-            name = entry.getPath().getName()
-            if name.startswith(prefix) and name.removeprefix(prefix) < first_kept:
-                files.delete(entry.getPath(), True)
-                dropped.append(name.removeprefix(prefix))
+        for entry in system.get_file_info(FileSelector(root)):
+            day = entry.base_name.removeprefix(f"{DAY}=")
+            if re.fullmatch(r"\d{4}-\d\d-\d\d", day) and day < first_kept:
+                system.delete_dir(entry.path)
+                dropped.append(day)
+        # Spark may hold a listing of the folder.
+        self.spark.catalog.refreshByPath(f"{self.root}/media_access")
         return sorted(dropped)

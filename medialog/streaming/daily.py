@@ -12,40 +12,42 @@ from medialog.operators.rollups import COUNTERS, media_measures, named
 
 # Quarter hours tile local days in every zone in use today.
 STEP = "15 minutes"
-LATENESS = "1 hour"
 
 
-def step_totals(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Counters per show and quarter hour; the watermark bounds the state."""
+def step_totals(log: DataFrame) -> DataFrame:
+    """Counters per show and quarter hour."""
     return (
-        log.withWatermark("requested_at", lateness)
-        .where(is_media())
+        log.where(is_media())
         .groupBy(F.window("requested_at", STEP), "show_id")
         .agg(*named(media_measures()))
         .select(F.col("window.start").alias("step_start"), "show_id", *COUNTERS)
     )
 
 
-def follow(log: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS) -> StreamingQuery:
-    """Keep the totals at ``path`` up to date: each batch writes the steps it changed."""
+def follow(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the totals at ``path`` up to date: each batch adds what it counted.
+
+    Counters add up, so a late row needs no state: it is counted in the batch that brings it.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         # A replayed batch overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        step_totals(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
-        step_totals(log, lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        log.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def merged(totals: DataFrame) -> DataFrame:
+    """Written steps of many batches as one row per show and quarter hour, to be stored in their place."""
+    return totals.groupBy("show_id", "step_start").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
 def daily_by_show(totals: DataFrame, zone: str) -> DataFrame:
-    """Local-day counters from the written steps; the last write of a step counts."""
-    latest = F.max_by(F.struct(*COUNTERS), F.col("epoch"))
-    steps = totals.groupBy("show_id", "step_start").agg(latest.alias("c")).select("show_id", "step_start", "c.*")
+    """Local-day counters from the written steps."""
     day = local_date(F.col("step_start"), zone).alias("local_date")
-    return steps.groupBy(day, "show_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return totals.groupBy(day, "show_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])

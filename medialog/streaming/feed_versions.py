@@ -10,34 +10,42 @@ from medialog.operators.feeds import advance_versions
 
 STATE = "show_id STRING, version STRING, modified_at TIMESTAMP"
 OBSERVED = "show_id STRING, version STRING, last_build_at TIMESTAMP, observed_at TIMESTAMP"
+_STORED = f"{STATE}, epoch BIGINT"
 
 
-def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Current state of every show, from all batches or those before one."""
-    rows = spark.read.schema(f"{STATE}, epoch BIGINT").parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("epoch") < before)
-    latest = F.max_by(F.struct("version", "modified_at"), F.col("epoch"))
-    return rows.groupBy("show_id").agg(latest.alias("s")).select("show_id", "s.*")
+def _folder(path: str, epoch: int) -> str:
+    """Two folders take turns: a batch reads the one before its own, and no more are kept."""
+    return f"{path}/turn={epoch % 2}"
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Current state of every show: the rows of the last batch."""
+    rows = spark.read.schema(_STORED).parquet(path)
+    last = rows.agg(F.max("epoch").alias("last"))
+    return rows.join(F.broadcast(last), F.col("epoch") == F.col("last")).drop("epoch", "last")
 
 
 def follow_versions(observed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Advance the state with every batch of observed documents.
 
     A busy show may have many observations in a batch; only its last one counts, found by a
-    grouped maximum, so no group is gathered. The observation time stands for now.
+    grouped maximum, so no group is gathered. The observation time stands for now. A batch
+    reads the whole state that the one before it left, a row per show, and writes the next.
     """
 
     def advance(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        before = spark.read.schema(_STORED).parquet(_folder(path, epoch - 1)).where(F.col("epoch") == epoch - 1)
         last = F.max_by(F.struct("version", "last_build_at", "observed_at"), F.struct("observed_at", "version"))
         current = batch.groupBy("show_id").agg(last.alias("o")).select("show_id", "o.*")
-        moved = advance_versions(current, read_state(spark, path, before=epoch), F.col("observed_at"))
-        moved.select("show_id", "version", "modified_at").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        moved = advance_versions(current, before, F.col("observed_at")).select("show_id", "version", "modified_at")
+        kept = before.select("show_id", "version", "modified_at").join(moved, "show_id", "left_anti")
+        state = kept.unionByName(moved).withColumn("epoch", F.lit(epoch).cast("bigint"))
+        state.write.mode("overwrite").parquet(_folder(path, epoch))
 
     # An empty first folder lets the first batch read its state.
     spark = observed.sparkSession
-    spark.createDataFrame([], STATE).write.mode("ignore").parquet(f"{path}/epoch=-1")
+    spark.createDataFrame([], _STORED).write.mode("ignore").parquet(_folder(path, -1))
     return (
         observed.writeStream.foreachBatch(advance)
         .option("checkpointLocation", checkpoint)

@@ -1,4 +1,4 @@
-"""Continuous ingestion of raw responses into the access log."""
+"""Continuous ingestion of raw responses into the access log. No row is dropped for being late."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from medialog.schemas import RAW_REQUESTS
 from medialog.sources.requests import enrich_requests
-
-LATENESS = "1 hour"
+from medialog.sources.store import BATCH, DAY, append_log, read_log
 
 
 def raw_stream(spark: SparkSession, path: str, kind: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -20,25 +19,32 @@ def raw_stream(spark: SparkSession, path: str, kind: str = "json", files_per_bat
     return reader.load(path)
 
 
-def once_per_response(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One row per response, however often its end was reported within the lateness."""
-    return raw.withWatermark("requested_at", lateness).dropDuplicatesWithinWatermark(["request_id"])
+def not_stored(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows whose id the log does not hold on the same day; only the days at hand are read."""
+    dated = rows.withColumn(DAY, F.to_date("requested_at"))
+    days = dated.select(DAY).distinct()
+    stored = log.select("id", DAY).join(days, DAY, "left_semi")
+    return dated.join(stored, ["id", DAY], "left_anti").drop(DAY)
+
 
+def ingest(raw: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Append what has arrived to the log at ``path`` and stop.
 
-def access_stream(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    rows = enrich_requests(once_per_response(raw, lateness))
-    return rows.withColumn("requested_date", F.to_date("requested_at"))
+    A response may be reported any number of times and as late as it likes; the log holds it
+    once. A batch that is run again leaves itself out of the comparison and replaces its own
+    folders. Several streams into one log need a ``name`` each, and should not report the same
+    responses at the same time.
+    """
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        label = f"{name}-{epoch}"
+        others = read_log(batch.sparkSession, path).where(F.col(BATCH) != label)
+        rows = enrich_requests(batch.dropDuplicates(["request_id"]))
+        append_log(not_stored(rows, others), path, label)
 
-def ingest(raw: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS) -> StreamingQuery:
-    """Append what has arrived to the log at ``path``, a folder per day, and stop."""
     return (
-        access_stream(raw, lateness)
-        .writeStream.format("parquet")
-        .partitionBy("requested_date")
-        .option("path", path)
+        raw.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -7,10 +7,12 @@ from pathlib import Path
 
 import pytest
 from conftest import at
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from test_access import BASE, log_of
 from test_feeds import shows
 from test_reconcile import NOW, T0, episodes, files
+from test_streaming import raw
 
 from medialog.operators import artwork, discover, lifecycle, patches
 from medialog.operators.access_log import AccessFilter, trim_access, within
@@ -19,7 +21,9 @@ from medialog.plans.library_scan import listed_files, listed_folders, store_swee
 from medialog.plans.stats_page import stats_page
 from medialog.schemas import EPISODES, REMOVED_FOLDERS, SCAN_LOG
 from medialog.sources import export, listing, show_config
-from medialog.sources.store import Store
+from medialog.sources.requests import enrich_requests
+from medialog.sources.store import TABLES, Store
+from medialog.streaming import ingest
 
 
 def put(path: Path, data: bytes) -> None:
@@ -82,8 +86,8 @@ def test_csv_file(spark, tmp_path):
     ])
     eps = episodes(spark, dict(id="e1", filename="a.mp3", identity_key="1", title='Say "hi", now'), dict(id="e2", filename="b.mp3", identity_key="2", title="=1+1\nx"))
     export.export_access_log(log, eps, shows(spark, dict(id="s", slug="s")), f"{tmp_path}/csv")
-    (part,) = (tmp_path / "csv").glob("*.txt")
-    assert part.read_bytes().decode("utf8") == (
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("*.txt")))
+    assert whole.decode("utf8") == (
         "﻿requested_at_utc,show,episode,filename,kind,status_code,result,bytes_sent,total_bytes,range_header,app,error\r\n"
         "2024-03-01T00:01:00.000Z,Show & <Co>,\"'=1+1\nx\",b.mp3,download,404,failed,,9,,VLC,\r\n"
         "2024-03-01T00:00:00.000Z,Show & <Co>,,,stream,206,ok,5,1000,,,\r\n"
@@ -91,25 +95,64 @@ def test_csv_file(spark, tmp_path):
     )
 
 
-def test_whole_log_export_is_ordered(spark, tmp_path):
-    log = log_of(spark, [(i, i % 50, "download", 200, 5, 5, None, "e", "s") for i in range(500)])
-    export.export_whole_log(log, episodes(spark), shows(spark), f"{tmp_path}/csv", AccessFilter())
+@pytest.mark.parametrize("sort, column", [("time", 0), ("bytes", 7), ("status", 5), ("kind", 4), ("client", 10)])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_export_has_every_row_in_order(spark, tmp_path, sort, column, direction):
+    log = log_of(spark, [(i, i % 50, ("download", "stream")[i % 2], 200 + i % 3, 100 + i % 7, 5, f"c{i % 4}", "e", "s") for i in range(500)])
+    export.export_access_log(log, episodes(spark), shows(spark), f"{tmp_path}/csv", AccessFilter(), sort, direction)
     lines = [ln for f in sorted((tmp_path / "csv").glob("*.txt")) for ln in f.read_text("utf8").split("\n") if ln]
-    stamps = [ln.split(",")[0] for ln in lines[1:]]
-    assert len(stamps) == 500 and stamps == sorted(stamps, reverse=True) and lines[0].startswith("﻿requested_at_utc")
+    keys = [ln.split(",")[column] for ln in lines[1:]]
+    assert len(keys) == 500 and keys == sorted(keys, reverse=direction == "desc") and lines[0].startswith("﻿requested_at_utc")
 
 
 def test_snapshots_are_versioned(spark, scratch):
     store = Store(spark, scratch)
-    assert store.current("episodes") == (0, None) and store.read("episodes").count() == 0
+    assert store.current("episodes") == 0 and store.read("episodes").count() == 0
     first = store.write_snapshot("episodes", episodes(spark, dict(id="e", filename="a", identity_key="1")))
     # A table may be replaced by a change of itself.
     store.write_snapshot("episodes", store.read("episodes").withColumn("title", F.lit("new")), expected=first)
-    assert store.read("episodes").first().title == "new" and store.current("episodes")[0] == 2
-    with pytest.raises(RuntimeError):
+    assert store.read("episodes").first().title == "new" and store.current("episodes") == 2
+    with pytest.raises(AnalysisException):
         store.write_snapshot("episodes", store.read("episodes"), expected=first)
 
 
+def test_every_table_comes_back_as_it_went(spark, scratch):
+    store = Store(spark, scratch)
+    for name, schema in TABLES.items():
+        empty = spark.createDataFrame([], schema)
+        assert store.write_snapshot(name, empty) == 1 and store.current(name) == 1
+        assert store.read(name).schema == empty.schema and store.read(name).count() == 0
+    rows = spark.createDataFrame([("i", "public_base_url", "u")], TABLES["settings"])
+    store.write_snapshot("settings", rows, expected=1)
+    assert store.read("settings").collect() == rows.collect() and store.read("settings", 1).count() == 0
+
+
+def test_stream_appends_and_retention_on_one_log(spark, scratch):
+    store = Store(spark, scratch)
+    store.append_access(log_of(spark, [(i, i * 720, "download", 200, 1, 1, None, "e", "s") for i in range(10)]), "first")
+    put_raw = raw(spark, [3, 3, 50, 51])
+    put_raw.coalesce(1).write.json(f"{scratch}/in")
+    stream = ingest.raw_stream(spark, f"{scratch}/in")
+    ingest.ingest(stream, f"{scratch}/media_access", f"{scratch}/check").awaitTermination()
+    ids = lambda: sorted(r.id for r in store.access_log().collect())
+    # Response 3 of the stream is of another day than row 3 of the log.
+    assert ids() == sorted([*range(10), *[r.id for r in enrich_requests(raw(spark, [3, 50, 51])).collect()]])
+    store.append_access(log_of(spark, [(99, 0, "download", 200, 1, 1, None, "e", "s")]))
+    assert 99 in ids()
+    store.append_access(log_of(spark, [(98, 1, "download", 200, 1, 1, None, "e", "s")]), "first")
+    assert 98 in ids() and 9 in ids(), "a batch replaces its own rows of the days it has"
+    store.drop_days_before(BASE + timedelta(days=3, hours=6), days=1)
+    assert min(r.requested_at for r in store.access_log().collect()) >= BASE + timedelta(days=2)
+    store.append_access(log_of(spark, [(97, 9 * 720, "download", 200, 1, 1, None, "e", "s")]))
+    assert 97 in ids()
+
+
+def test_appends_make_few_files(spark, scratch):
+    store = Store(spark, scratch)
+    store.append_access(log_of(spark, [(i, i * 60, "download", 200, 1, 1, None, "e", f"s{i % 9}") for i in range(240)]).repartition(8))
+    assert len(list(Path(scratch).rglob("*.parquet"))) <= 10 + 8
+
+
 def test_day_partitions_are_pruned(spark, scratch):
     store = Store(spark, scratch)
     store.append_access(log_of(spark, [(i, i * 600, "download", 200, 1, 1, None, "e", "s") for i in range(20)]))
@@ -127,8 +170,8 @@ def test_sweep_stores_a_whole_library(spark, scratch):
         dict(id="far", show_id="g", filename="c.mp3", identity_key="c"),
         dict(id="old", filename="o.mp3", identity_key="o", status="missing", missing_since=T0),
     )
-    store.write_snapshot("shows", dims)
-    base = store.write_snapshot("episodes", eps)
+    base = {"scan_log": 0, "shows": store.write_snapshot("shows", dims)}
+    base["episodes"] = store.write_snapshot("episodes", eps)
     found = files(spark, dict(filename="a.mp3", identity_key="a"), dict(filename="n.mp3", identity_key="n"), dict(filename="n.JPG"), dict(filename="x.wma"))
     folders = spark.createDataFrame([("on-disk",), ("fresh",), ("bad name",)], "slug STRING")
     images = spark.createDataFrame([("s", "n.JPG", "sidecar", "n.jpg", 1500, 1500, "tag")],

@@ -12,6 +12,7 @@ from medialog.operators.series import daily_totals
 from medialog.operators.signin import trailing_failures
 from medialog.schemas import LOGIN_ATTEMPTS, MEDIA_ACCESS, RAW_REQUESTS
 from medialog.sources.requests import enrich_requests
+from medialog.sources.store import read_log
 from medialog.streaming import daily, feed_versions, ingest, signin_alerts
 
 
@@ -36,13 +37,14 @@ def test_ingest_equals_batch_and_survives_repeats(spark, scratch):
         ingest.ingest(stream, f"{scratch}/log", f"{scratch}/check").awaitTermination()
 
     drain()
-    # A second delivery: repeats within the lateness, and new rows.
-    raw(spark, [30, 35, 39, 40, 41]).coalesce(1).write.mode("append").json(f"{scratch}/in")
+    # A second delivery: repeats, new rows, and one that is a day late.
+    raw(spark, [30, 35, 39, 40, 41, -1440]).coalesce(1).write.mode("append").json(f"{scratch}/in")
     drain()
-    got = spark.read.schema(MEDIA_ACCESS).parquet(f"{scratch}/log").drop("requested_date").orderBy("id").collect()
+    log = read_log(spark, f"{scratch}/log").select(*spark.createDataFrame([], MEDIA_ACCESS).columns)
+    got = log.orderBy("id").collect()
     batch = spark.read.schema(RAW_REQUESTS).json(f"{scratch}/in").dropDuplicates(["request_id"])
     assert got == enrich_requests(batch).orderBy("id").collect()
-    assert len(got) == len({r.id for r in got}) == 33
+    assert len(got) == len({r.id for r in got}) == enrich_requests(batch).count()
 
 
 def test_outcomes(spark):
@@ -55,12 +57,14 @@ def test_outcomes(spark):
 def test_daily_totals_follow_late_rows(spark, scratch):
     zone = "Asia/Kolkata"
     first = log_of(spark, [(i, i * 13, ("download", "stream", "feed")[i % 3], 200 if i % 4 else 500, i, 9, None, "e", f"s{i % 2}") for i in range(300)])
-    late = log_of(spark, [(900, 299 * 13 - 30, "download", 200, 5, 9, None, "e", "s0")])
+    late = log_of(spark, [(901, -3000, "stream", 200, 5, 9, None, "e", "s1"), (900, 299 * 13 - 30, "download", 200, 5, 9, None, "e", "s0")])
     for part in (first, late):
         part.coalesce(1).write.mode("append").parquet(f"{scratch}/log")
         stream = spark.readStream.schema(MEDIA_ACCESS).parquet(f"{scratch}/log")
         daily.follow(stream, f"{scratch}/steps", f"{scratch}/check").awaitTermination()
-    got = daily.daily_by_show(spark.read.parquet(f"{scratch}/steps"), zone)
+    steps = spark.read.parquet(f"{scratch}/steps")
+    got = daily.daily_by_show(steps, zone)
+    assert sorted(daily.daily_by_show(daily.merged(steps), zone).collect()) == sorted(got.collect())
     everything = first.unionByName(late)
     want = everything.where(F.col("kind").isin("download", "stream")).groupBy(local_date(F.col("requested_at"), zone).alias("local_date"), "show_id").agg(
         F.count_if((F.col("kind") == "download") & (F.col("status_code") < 400)).alias("downloads"),
@@ -88,6 +92,8 @@ def test_version_state_is_monotone(spark, scratch):
         state = {r.show_id: r for r in feed_versions.read_state(spark, f"{scratch}/state").collect()}
         times.append(state["s"].modified_at)
     assert times == [t, t, t + timedelta(days=2), t + timedelta(days=9)]
+    # However many batches, two states are kept.
+    assert spark.read.parquet(f"{scratch}/state").select("epoch").distinct().count() == 2
     assert state["s"].version == "v3" and state["z"].modified_at == t
 
 
