@@ -37,6 +37,32 @@ def cover_pick(listing: DataFrame) -> DataFrame:
     )
 
 
+def apply_covers(shows: DataFrame, listing: DataFrame, scanned: DataFrame, now) -> DataFrame:
+    """Shows with the cover file that the listing has for them.
+
+    Only shows in ``scanned`` (show_id) are judged. A cover that is another file, or the same file
+    changed, loses its measures until the image is read again; an unchanged one keeps its row as it is.
+    """
+    picks = cover_pick(listing)
+    times = listing.select("show_id", F.col("filename").alias("cover_filename"), F.col("mtime").alias("cover_mtime"))
+    found = scanned.join(picks, "show_id", "left").join(times, ["show_id", "cover_filename"], "left")
+    named = found.select(F.col("show_id").alias("id"), F.lit(True).alias("judged"), F.col("cover_filename").alias("__file"), F.col("cover_mtime").alias("__time"))
+    same = F.col("cover_filename").eqNullSafe(F.col("__file")) & F.col("cover_mtime").eqNullSafe(F.col("__time"))
+    moved = F.coalesce("judged", F.lit(False)) & ~same
+    suffix = F.regexp_replace(extension(F.col("__file")), r"^\.", "")
+    kind = F.when(suffix == "jpg", "jpeg").otherwise(suffix)
+    updates = {
+        "cover_filename": F.col("__file"),
+        "cover_mtime": F.col("__time"),
+        "cover_format": kind,
+        "cover_width": F.lit(None).cast("int"),
+        "cover_height": F.lit(None).cast("int"),
+        "updated_at": instant(now),
+    }
+    joined = shows.join(named, "id", "left").withColumn("__moved", moved)
+    return joined.select(*[F.when(F.col("__moved"), updates[c]).otherwise(F.col(c)).alias(c) if c in updates else F.col(c) for c in shows.columns])
+
+
 def sidecar_art(listing: DataFrame) -> DataFrame:
     """Audio file to the image beside it with the same stem, in any case, best extension."""
     images = (

@@ -167,8 +167,10 @@ def to_scan_rows(counters: DataFrame, diagnostics: DataFrame, started_at, finish
             for level in ("error", "warning")
         ]
     )
-    return counters.join(lists, "show_id", "full").select(
-        "show_id",
+    found = lists.withColumnRenamed("show_id", "__show")
+    # The row of the whole library has no show.
+    return counters.join(found, F.col("show_id").eqNullSafe(F.col("__show")), "full").select(
+        F.coalesce("show_id", "__show").alias("show_id"),
         instant(started_at).alias("started_at"),
         instant(finished_at).alias("finished_at"),
         F.lit(trigger).alias("trigger"),
@@ -178,6 +180,13 @@ def to_scan_rows(counters: DataFrame, diagnostics: DataFrame, started_at, finish
     )
 
 
+def with_total(counters: DataFrame) -> DataFrame:
+    """Counters per show, and a row without a show that sums them up."""
+    names = [c for c in ("files_found", *_COUNTERS) if c in counters.columns]
+    total = counters.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).withColumn("show_id", F.lit(None).cast("string"))
+    return counters.select("show_id", *names).unionByName(total)
+
+
 def scan_totals(results: DataFrame, by: list[str]) -> DataFrame:
     """Library totals of per-show results, with how many problems they report."""
     return results.groupBy(*by).agg(

@@ -5,51 +5,51 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialog.functions.text import audio_type
-from medialog.operators.artwork import apply_art, art_changes, choose_art, sidecar_art
-from medialog.operators.discover import apply_discovery, discover
+from medialog.operators.artwork import apply_art, apply_covers, art_changes, choose_art, sidecar_art
+from medialog.operators.discover import apply_discovery, discover, new_shows
 from medialog.operators.joins import lookup_join
 from medialog.operators.lifecycle import sweep_missing
 from medialog.operators.reconcile import conform, fast_match, reconcile
-from medialog.operators.scan_log import to_scan_rows, trim_scans
-from medialog.schemas import LISTING, SCAN_LOG
+from medialog.operators.scan_log import to_scan_rows, trim_scans, with_total
+from medialog.schemas import LISTING, SCAN_LOG, SHOWS
 from medialog.session import workspace
-from medialog.sources.listing import read_listing, with_identity
+from medialog.sources.listing import files_of, with_identity
 from medialog.sources.store import Store
 
 
-def listed_files(spark: SparkSession, root: str, shows: DataFrame, episodes: DataFrame, rehash: bool = False) -> DataFrame:
-    """The listing of a library folder, with the identity of every audio file.
+def listed_files(library: DataFrame, shows: DataFrame, episodes: DataFrame, rehash: bool = False) -> DataFrame:
+    """The files of a library (:func:`read_library`), with the identity of every audio file.
 
     Files that equal their catalogue row by name, size, time and type take its identity; only
-    the rest are opened.
+    the rest are opened. Files of folders that are no show yet have a slug and no show id.
     """
     slugs = shows.select("slug", F.col("id").alias("show_id"))
-    found = lookup_join(read_listing(spark, root), slugs, ["slug"], ["filename"], "inner").drop("slug")
+    found = lookup_join(files_of(library), slugs, ["slug"], ["filename"])
     typed = found.withColumn("mime_type", audio_type(F.col("filename"))).withColumn(
         "identity_key", F.lit(None).cast("string")
     )
+    schema = f"{LISTING}, slug STRING"
     other = typed.where("mime_type IS NULL")
     audio = typed.where("mime_type IS NOT NULL")
     if rehash:
         parts = [with_identity(audio.drop("identity_key"))]
     else:
-        matched = fast_match(audio, episodes)
-        parts = [matched.where("fast"), with_identity(matched.where(~F.col("fast")).drop("identity_key"))]
-    out = conform(other, LISTING)
+        known = audio.where("show_id IS NOT NULL")
+        matched = fast_match(known, episodes)
+        unseen = matched.where(~F.col("fast")).drop("identity_key", "fast").unionByName(
+            audio.where("show_id IS NULL").drop("identity_key"), allowMissingColumns=True
+        )
+        parts = [matched.where("fast"), with_identity(unseen)]
+    out = conform(other, schema)
     for part in parts:
-        out = out.unionByName(conform(part, LISTING))
+        out = out.unionByName(conform(part, schema))
     return out
 
 
-def listed_folders(spark: SparkSession, root: str) -> DataFrame:
-    """The show folders of a library that hold any file."""
-    return read_listing(spark, root).select("slug").distinct()
-
-
 @dataclass(frozen=True)
 class Sweep:
     """What a sweep produced, before it is stored."""
@@ -60,6 +60,41 @@ class Sweep:
     counters: DataFrame
     diagnostics: DataFrame
     folder_verdicts: DataFrame
+    #: Folders that could not be read.
+    unread: DataFrame
+
+
+@dataclass(frozen=True)
+class NewShows:
+    """What a sweep needs to make shows of new folders."""
+
+    #: Parsed config files by slug.
+    configs: DataFrame
+    defaults: dict[str, str]
+    #: Feed tokens are derived with it; it must not be stored beside the data.
+    token_secret: str
+
+
+def folder_diagnostics(verdicts: DataFrame, unread: DataFrame) -> DataFrame:
+    """Warnings and errors of a sweep that belong to no show."""
+    told = {
+        "vanished": "The folder `{}` is gone; its show stays, its feed rests.",
+        "ignored": "The folder `{}` was removed by hand before and is left out.",
+        "skipped": "The folder `{}` is left out: its name is not usable in addresses.",
+    }
+
+    def lines(rows: DataFrame, level: str, code: str, text: str) -> DataFrame:
+        before, after = text.split("{}")
+        message = F.concat(F.lit(before), "slug", F.lit(after))
+        return rows.select(
+            F.lit(None).cast("string").alias("show_id"), F.lit(level).alias("level"), F.lit(code).alias("code"),
+            F.col("slug").alias("file"), message.alias("message"),
+        )
+
+    out = lines(unread, "error", "unreadable", "The folder `{}` could not be read; nothing in it was changed.")
+    for verdict, text in told.items():
+        out = out.unionByName(lines(verdicts.where(F.col("verdict") == verdict), "warning", verdict, text))
+    return out
 
 
 def sweep(
@@ -73,16 +108,27 @@ def sweep(
     scan_key: str,
     grace_seconds: int = 24 * 3600,
     rehash: bool = False,
+    create: NewShows | None = None,
 ) -> Sweep:
     """Bring shows and episodes into line with what is on disk.
 
-    Episodes of shows whose folder is gone are left alone: nothing was seen of them.
+    With ``create``, new folders become shows and their files episodes. Episodes of shows whose
+    folder is gone, or could not be read (``error_code`` of ``folders``), are left alone: nothing was
+    seen of them. Covers follow the cover files found.
     """
     spark = listing.sparkSession
-    verdicts = discover(folders, shows, tombstones)
+    verdicts = discover(folders.select("slug"), shows, tombstones)
     shows_now = apply_discovery(shows, verdicts, now)
-    active = shows_now.where(F.col("status") == "active").select(F.col("id").alias("show_id"))
+    if create is not None:
+        fresh_shows = new_shows(verdicts, create.configs, create.defaults, now, scan_key, create.token_secret)
+        shows_now = conform(shows_now, SHOWS).unionByName(fresh_shows)
+        if "slug" in listing.columns:
+            ids = fresh_shows.select("slug", F.col("id").alias("new_id"))
+            listing = lookup_join(listing, ids, ["slug"], ["filename"]).withColumn("show_id", F.coalesce("show_id", "new_id"))
+    unread = folders.where("error_code IS NOT NULL").select("slug") if "error_code" in folders.columns else folders.where("false").select("slug")
+    active = shows_now.where(F.col("status") == "active").join(unread, "slug", "left_anti").select(F.col("id").alias("show_id"))
     files = lookup_join(conform(listing, LISTING), active, ["show_id"], ["filename"], "left_semi")
+    shows_now = apply_covers(shows_now, files, active, now)
     scanned = lookup_join(episodes, active, ["show_id"], ["id"], "left_semi")
     untouched = lookup_join(episodes, active, ["show_id"], ["id"], "left_anti")
 
@@ -97,7 +143,7 @@ def sweep(
         wanted = choose_art(fresh, sidecar_art(files), images)
         fresh = apply_art(fresh, art_changes(fresh, wanted), now)
     fresh = sweep_missing(fresh.unionByName(untouched, allowMissingColumns=True), now, grace_seconds)
-    return Sweep(shows_now, fresh, done.changes, done.counters, done.diagnostics, verdicts)
+    return Sweep(shows_now, fresh, done.changes, done.counters, done.diagnostics, verdicts, unread)
 
 
 def store_sweep(
@@ -111,7 +157,11 @@ def store_sweep(
     """
     store.write_snapshot("episodes", result.episodes, expected=base["episodes"])
     store.write_snapshot("shows", result.shows, expected=base["shows"])
-    rows = to_scan_rows(result.counters, result.diagnostics, started_at, finished_at, trigger)
+    rows = to_scan_rows(
+        with_total(result.counters),
+        result.diagnostics.unionByName(folder_diagnostics(result.folder_verdicts, result.unread), allowMissingColumns=True),
+        started_at, finished_at, trigger,
+    )
     stamp = int(started_at.replace(tzinfo=timezone.utc).timestamp() * 1000)
     keyed = rows.withColumn("id", F.xxhash64(F.lit(stamp), "show_id"))
     log = store.read("scan_log", base["scan_log"]).unionByName(conform(keyed, SCAN_LOG))

@@ -15,27 +15,60 @@ WINDOW_BYTES = 1024 * 1024
 WHOLE_BYTES = 2 * WINDOW_BYTES
 
 
-def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files one level below the folders of ``root``: slug, filename, path, size_bytes, mtime.
+_ENTRY = "slug STRING, filename STRING, path STRING, size_bytes BIGINT, mtime TIMESTAMP, error_code STRING"
+
 
-    File contents are never read. Hidden names and deeper files are left out. So are empty
-    files and names starting with an underscore, which Spark's file sources pass over; a
-    listing table made elsewhere may hold them.
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSelector, FileType
+
+    for batch in batches:
+        for slug, folder in zip(batch["slug"], batch["path"]):
+            rows = []
+            try:
+                system, name = file_system(folder)
+                for entry in system.get_file_info(FileSelector(name)):
+                    if entry.type == FileType.File and not entry.base_name.startswith("."):
+                        rows.append((slug, entry.base_name, f"{folder}/{entry.base_name}", entry.size, pd.Timestamp(entry.mtime_ns // 1000, unit="us"), None))
+                error = None
+            except Exception as err:  # any failure of a folder is its error code, and it lists nothing
+                rows, error = [], type(err).__name__
+            # The folder itself, with or without files.
+            rows.append((slug, None, folder, None, None, error))
+            out = pd.DataFrame(rows, columns=["slug", "filename", "path", "size_bytes", "mtime", "error_code"])
+            yield out.astype({"size_bytes": "Int64"})
+
+
+def read_library(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Folders below ``root`` and the files in them: slug, filename, path, size_bytes, mtime, error_code.
+
+    A folder is a row without a filename, whether it holds files or not; one that cannot be read has
+    an error code and no files. File contents are never read. Names that start with a dot and
+    deeper files are left out. The driver sees the folders' names only; the folders are listed in
+    the tasks.
     """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path", "length", "modificationTime")
-    below = F.substring_index(F.col("path"), "/", -2)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    return (
-        files.where(F.element_at(F.split("path", "/"), -3) == base)
-        .select(
-            F.substring_index(below, "/", 1).alias("slug"),
-            F.substring_index("path", "/", -1).alias("filename"),
-            "path",
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("mtime"),
-        )
-        .where(~F.col("filename").startswith(".") & ~F.col("slug").startswith("."))
-    )
+    from pyarrow.fs import FileSelector, FileType
+
+    root = root.rstrip("/")
+    system, name = file_system(root)
+    slugs = [e.base_name for e in system.get_file_info(FileSelector(name)) if e.type == FileType.Directory and not e.base_name.startswith(".")]
+    folders = spark.createDataFrame([(s, f"{root}/{s}") for s in sorted(slugs)], "slug STRING, path STRING")
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    return folders.repartition(tasks, "slug").mapInPandas(_entries, _ENTRY)
+
+
+def files_of(library: DataFrame) -> DataFrame:
+    """The files of :func:`read_library`."""
+    return library.where("filename IS NOT NULL").select("slug", "filename", "path", "size_bytes", "mtime")
+
+
+def folders_of(library: DataFrame) -> DataFrame:
+    """The folders of :func:`read_library`: slug, error_code."""
+    return library.where("filename IS NULL").select("slug", "error_code")
+
+
+def read_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Files one level below the folders of ``root``: slug, filename, path, size_bytes, mtime."""
+    return files_of(read_library(spark, root))
 
 
 def content_identity(content: Column, window: int = WINDOW_BYTES) -> Column:

@@ -17,7 +17,7 @@ from test_streaming import raw
 from medialog.operators import artwork, discover, lifecycle, patches
 from medialog.operators.access_log import AccessFilter, trim_access, within
 from medialog.operators.reconcile import conform
-from medialog.plans.library_scan import listed_files, listed_folders, store_sweep, sweep
+from medialog.plans.library_scan import NewShows, listed_files, store_sweep, sweep
 from medialog.plans.stats_page import stats_page
 from medialog.schemas import EPISODES, REMOVED_FOLDERS, SCAN_LOG
 from medialog.sources import export, listing, show_config
@@ -41,17 +41,17 @@ def test_listing_and_identity(spark, tmp_path):
     root = tmp_path / "shows root"
     big = os.urandom(3 * 1024 * 1024)
     same_ends = big[: 2**20] + b"x" * (len(big) - 2**21) + big[-(2**20):]
-    content = {"a/one two.mp3": b"abc", "a/big.mp3": big, "a/ends.mp3": same_ends, "b/empty.mp3": b"", "b/é.wav": b"abc"}
+    content = {"a/one two.mp3": b"abc", "a/big.mp3": big, "a/ends.mp3": same_ends, "b/empty.mp3": b"", "b/é.wav": b"abc", "b/_x.mp3": b"x"}
     for name, data in content.items():
         put(root / name, data)
     put(root / "a/deeper/x.mp3", b"no")
     put(root / "a/.hidden.mp3", b"no")
     put(root / ".cache/y.mp3", b"no")
     put(root / "top.mp3", b"no")
-    found = listing.read_listing(spark, str(root))
-    assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
-    # Spark's file sources pass over empty files.
-    del content["b/empty.mp3"]
+    (root / "empty").mkdir()
+    library = listing.read_library(spark, str(root))
+    assert {tuple(r) for r in listing.folders_of(library).collect()} == {("a", None), ("b", None), ("empty", None)}
+    found = listing.files_of(library)
     rows = {f"{r.slug}/{r.filename}": r for r in listing.with_identity(found).collect()}
     assert {n: r.identity_key for n, r in rows.items()} == {n: identity(d) for n, d in content.items()}
     assert {n: r.size_bytes for n, r in rows.items()} == {n: len(d) for n, d in content.items()}
@@ -64,6 +64,12 @@ def test_unreadable_file_is_reported(spark, tmp_path):
     assert row.identity_key is None and row.error_code == "FileNotFoundError"
 
 
+def test_unreadable_folder_is_reported(spark, tmp_path):
+    folder = spark.createDataFrame([("a", f"{tmp_path}/gone"), ("b", "nosuchstore://x/y")], "slug STRING, path STRING")
+    rows = {r.slug: r for r in folder.mapInPandas(listing._entries, listing._ENTRY).collect()}
+    assert rows["a"].error_code == "FileNotFoundError" and rows["b"].error_code and rows["a"].filename is None
+
+
 def test_identity_windows_of_bytes_at_hand(spark):
     data = [b"", b"abc", b"abcdefgh", b"abcdefghi"]
     df = spark.createDataFrame([(bytearray(d),) for d in data], "c BINARY")
@@ -186,7 +192,10 @@ def test_sweep_stores_a_whole_library(spark, scratch):
     assert {r.slug: r.verdict for r in result.folder_verdicts.collect()} == {
         "on-disk": "present", "fresh": "new", "bad name": "skipped", "gone": "vanished"}
     assert {r.id: r.status for r in store.read("shows").collect()} == {"s": "active", "g": "folder_missing"}
-    (scan,) = store.read("scan_log").collect()
+    scans = {r.show_id: r for r in store.read("scan_log").collect()}
+    whole, scan = scans[None], scans["s"]
+    assert len(scans) == 2 and whole.id != scan.id and (whole.files_found, whole.added) == (2, 1)
+    assert all(word in whole.warnings_json for word in ("gone", "bad name"))
     assert (scan.show_id, scan.files_found, scan.added, scan.missing, scan.trigger) == ("s", 2, 1, 2, "manual")
     assert "b.mp3" in scan.warnings_json and "x.wma" in scan.warnings_json and scan.errors_json is None
 
@@ -267,9 +276,10 @@ def test_a_folder_scanned_twice(spark, tmp_path):
     dims = shows(spark, dict(id="c", slug="club"), dict(id="o", slug="other"))
     none = spark.createDataFrame([], REMOVED_FOLDERS)
 
-    def run(catalogue, key):
-        files_now = listed_files(spark, str(root), dims, catalogue)
-        out = sweep(files_now, listed_folders(spark, str(root)), dims, catalogue, none, None, NOW, key)
+    def run(catalogue, key, dims=dims, folders=None, create=None):
+        library = listing.read_library(spark, str(root))
+        files_now = listed_files(library, dims, catalogue)
+        out = sweep(files_now, folders or listing.folders_of(library), dims, catalogue, none, None, NOW, key, create=create)
         return files_now, out, {r.filename: r for r in out.episodes.collect()}
 
     _, _, first = run(episodes(spark), "k1")
@@ -290,3 +300,19 @@ def test_a_folder_scanned_twice(spark, tmp_path):
     assert {r.show_id: (r.files_found, r.added, r.updated, r.missing) for r in out.counters.collect()} == {
         "c": (3, 1, 1, 1), "o": (1, 0, 0, 0)}
     assert {r.verdict for r in out.folder_verdicts.collect()} == {"present"}
+
+    # An emptied folder: its episodes go missing. One that cannot be read: they stay as they are.
+    (root / "other/x.mp3").unlink()
+    put(root / "fresh/_new.mp3", b"new")
+    put(root / "fresh/cover.png", b"png")
+    put(root / "fresh/show.json", b'{"title": "Brand new", "author": "A"}')
+    unread = spark.createDataFrame([("club", "PermissionError"), ("other", None), ("fresh", None)], "slug STRING, error_code STRING")
+    configs = show_config.parse_show_config(show_config.read_show_config(spark, str(root)))
+    saved = spark.createDataFrame(list(second.values()), EPISODES)
+    _, out, third = run(saved, "k3", folders=unread, create=NewShows(configs, {"language": "de"}, "secret"))
+    assert third["x.mp3"].status == "missing" and third["uno.mp3"] == second["uno.mp3"]
+    found = {r.slug: r for r in out.shows.collect()}
+    assert (found["fresh"].title, found["fresh"].author_name, found["fresh"].language) == ("Brand new", "A", "de")
+    assert (found["fresh"].cover_filename, found["fresh"].cover_format) == ("cover.png", "png")
+    assert third["_new.mp3"].show_id == found["fresh"].id and third["_new.mp3"].status == "active"
+    assert found["club"].updated_at == {r.slug: r for r in dims.collect()}["club"].updated_at
