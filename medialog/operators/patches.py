@@ -13,7 +13,8 @@ from medialog.functions.taxonomy import is_category, is_subcategory
 from medialog.functions.text import blank_to_null, is_blank
 from medialog.schemas import DIRECTORY_LISTINGS, EPISODE_TYPES, SHOW_TYPES
 
-EMAIL = r"\A[^\s@]+@[^\s@]+\.[^\s@]+\z"
+# A name, one @, and a domain of two labels or more; no white space.
+EMAIL = r"\A(?!.*\s)[^@]+@(?:[^@.]+\.)+[^@.]+\z"
 LANGUAGE = r"\A[a-z]{2}(-[a-z]{2})?\z"
 INHERIT = "inherit"
 
@@ -31,10 +32,15 @@ class Rule:
     value: Callable[[Column], Column]
     valid: Callable[[Column], Column] = lambda raw: F.lit(True)
     complaint: str = ""
+    #: Characters that the trimmed text may have; a longer one is refused, never cut.
+    most: int | None = None
 
-
-def _trimmed(limit: int):
-    return lambda raw: F.substring(F.trim(raw), 1, limit)
+    def error(self, raw: Column) -> Column:
+        """The complaint about a raw value, NULL when there is none."""
+        bad = F.when(~F.coalesce(self.valid(raw), F.lit(False)), F.lit(self.complaint))
+        if self.most is not None:
+            bad = F.when(F.length(F.trim(raw)) > self.most, F.lit(f"Use at most {self.most} characters.")).otherwise(bad)
+        return F.when(raw.isNotNull(), bad)
 
 
 def _folded(raw: Column) -> Column:
@@ -59,12 +65,12 @@ def show_rules() -> list[Rule]:
         F.col("patch.category").isNotNull() & is_category(F.trim("patch.category")), F.trim("patch.category")
     ).otherwise(F.col("itunes_category"))
     return [
-        Rule("title", "title", _trimmed(300), lambda r: ~is_blank(r), "A show needs a name."),
-        Rule("description", "description", _trimmed(8000)),
-        Rule("author_name", "author_name", _trimmed(200)),
+        Rule("title", "title", F.trim, lambda r: ~is_blank(r), "A show needs a name.", 300),
+        Rule("description", "description", F.trim, most=8000),
+        Rule("author_name", "author_name", F.trim, most=200),
         Rule(
-            "author_email", "author_email", _trimmed(200),
-            lambda r: is_blank(r) | F.trim(r).rlike(EMAIL), "This is not an email address.",
+            "author_email", "author_email", F.trim,
+            lambda r: is_blank(r) | F.trim(r).rlike(EMAIL), "This is not an email address.", 200,
         ),
         Rule(
             "language", "language", lambda r: F.coalesce(F.nullif(_folded(r), F.lit("")), F.lit("en")),
@@ -90,17 +96,16 @@ def show_rules() -> list[Rule]:
 
 
 def episode_rules(zone: str) -> list[Rule]:
-    title = _trimmed(400)
-    own_title = lambda r: F.when(title(r).eqNullSafe(F.col("tag_title")), 0).otherwise(1)
+    own_title = lambda r: F.when(F.trim(r).eqNullSafe(F.col("tag_title")), 0).otherwise(1)
     has_title = lambda r: ~is_blank(r)
     date = lambda r: parse_local_input(r, zone)
     has_date = lambda r: date(r).isNotNull()
     inherit = lambda r: is_blank(r) | (r == INHERIT)
     return [
-        Rule("title", "title", title, has_title, "An episode needs a title."),
+        Rule("title", "title", F.trim, has_title, "An episode needs a title.", 400),
         # A title typed by hand is locked against the scanner.
-        Rule("title", "title_is_custom", own_title, has_title, "An episode needs a title."),
-        Rule("description", "description", _trimmed(20000)),
+        Rule("title", "title_is_custom", own_title, has_title, "An episode needs a title.", 400),
+        Rule("description", "description", F.trim, most=20000),
         Rule("season", "season", _whole, _is_whole, "Season must be a whole number."),
         Rule("episode_number", "episode_number", _whole, _is_whole, "Episode number must be a whole number."),
         Rule(
@@ -127,8 +132,8 @@ def apply_patches(table: DataFrame, patches: DataFrame, rules: list[Rule], now)
 
     complaints = {}
     for rule in rules:
-        bad = raw(rule).isNotNull() & ~F.coalesce(rule.valid(raw(rule)), F.lit(False))
-        complaints[rule.source] = F.when(bad, F.struct(F.lit(rule.source), F.lit(rule.complaint)))
+        error = rule.error(raw(rule))
+        complaints[rule.source] = F.when(error.isNotNull(), F.struct(F.lit(rule.source), error))
     errors = F.map_from_entries(F.array_compact(F.array(*complaints.values())))
     out = out.withColumn("errors", errors)
     valid = F.col("patch").isNotNull() & (F.size("errors") == 0)

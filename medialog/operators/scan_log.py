@@ -16,7 +16,6 @@ from medialog.operators.access_log import within
 from medialog.operators.joins import lookup_join
 from medialog.schemas import SCAN_OUTCOMES, SCAN_TRIGGERS
 
-MAX_PAGE = 200
 MAX_DIAGNOSTICS = 50
 ENTRY = "file STRING, message STRING, code STRING"
 _COUNTERS = ("added", "updated", "missing", "removed")
@@ -68,7 +67,11 @@ def page_scans(scans: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     out = scans.orderBy(F.desc("started_at"), F.desc("id"))
     if offset > 0:
         out = out.offset(int(offset))
-    return out.limit(min(max(1, int(limit)), MAX_PAGE))
+    return out.limit(max(1, int(limit)))
+
+
+def count_scans(scans: DataFrame, filters: ScanFilter = ScanFilter()) -> DataFrame:
+    return filters.apply(scans).agg(F.count("*").alias("n"))
 
 
 def list_scans(scans: DataFrame, shows: DataFrame, filters=ScanFilter(), limit: int = 25, offset: int = 0) -> DataFrame:

@@ -11,8 +11,6 @@ from medialog.operators.access_log import within
 from medialog.operators.joins import lookup_join
 from medialog.schemas import TIMELINE_EVENTS
 
-MAX_PAGE = 200
-
 
 def episode_events(episodes: DataFrame) -> DataFrame:
     """One to three events per row, from a single scan."""
@@ -58,7 +56,7 @@ def page_timeline(timeline: DataFrame, limit: int = 25, offset: int = 0) -> Data
     out = timeline.orderBy(F.desc("event_at"), F.desc("episode_id"), F.asc("event"))
     if offset > 0:
         out = out.offset(int(offset))
-    return out.limit(min(max(1, int(limit)), MAX_PAGE))
+    return out.limit(max(1, int(limit)))
 
 
 def count_timeline(episodes: DataFrame, shows: DataFrame, **filters) -> DataFrame:

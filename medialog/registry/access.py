@@ -75,7 +75,7 @@ FROM raw_request WHERE NOT is_owner"""
 
 @REGISTRY.add("enrich_requests", ENRICH_SQL, ("raw_request",))
 def _(t):
-    return requests.enrich_requests(t.raw_request)
+    return requests.enrich_requests(t.raw_request, range_chars=80, error_chars=500)
 
 
 @REGISTRY.add(
@@ -418,13 +418,17 @@ def _(t):
 
 # --- calendar
 
+def _midnight(day: str) -> str:
+    """UTC instant of a local midnight: summer time of 2023 ran from 13 March to 5 November."""
+    hours = f"CASE WHEN CAST({day} AS DATE) BETWEEN DATE '2023-03-13' AND DATE '2023-11-05' THEN 4 ELSE 5 END"
+    return f"CAST({day} AS TIMESTAMP) + to_hours({hours})"
+
+
 RANGES_SQL = " UNION ALL ".join(
-    f"""SELECT show_id, '{key}' AS range_key,
-  CAST(d - INTERVAL {days - 1} DAY AS TIMESTAMP) + INTERVAL 5 HOUR AS range_from,
-  CAST(d + INTERVAL 1 DAY AS TIMESTAMP) + INTERVAL 5 HOUR AS range_to,
-  CAST(d - INTERVAL {2 * days - 1} DAY AS TIMESTAMP) + INTERVAL {{shift{days}}} HOUR AS prev_from FROM l"""
-    for key, days in (("7d", 7), ("30d", 30))
-).format(shift7=5, shift30=5)
+    f"""SELECT show_id, '{key}' AS range_key, {_midnight(f"(d - INTERVAL {days - 1} DAY)")} AS range_from,
+  {_midnight("(d + INTERVAL 1 DAY)")} AS range_to, {_midnight(f"(d - INTERVAL {2 * days - 1} DAY)")} AS prev_from FROM l"""
+    for key, days in (("7d", 7), ("30d", 30), ("90d", 90))
+)
 
 
 @REGISTRY.add(
@@ -436,9 +440,9 @@ def _(t):
     last = t.media_access.groupBy("show_id").agg(F.max("requested_at").alias("at"))
     frames = [
         last.select("show_id", F.lit(key).alias("range_key"), *[c.alias(n) for n, c in range_columns(key, F.col("at"), ZONE).items()])
-        for key in ("7d", "30d")
+        for key in ("7d", "30d", "90d")
     ]
-    return frames[0].unionByName(frames[1])
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @REGISTRY.add(

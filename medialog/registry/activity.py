@@ -61,6 +61,11 @@ def _(t):
     return scan_log.latest_scan(t.scan_log)
 
 
+@REGISTRY.add("scan_log_count", f"SELECT COUNT(*) AS n FROM scan_log WHERE {FILTERED}", ("scan_log",))
+def _(t):
+    return scan_log.count_scans(t.scan_log, FILTER)
+
+
 @REGISTRY.add("scan_log_retained", "SELECT * FROM scan_log ORDER BY started_at DESC, id DESC LIMIT 500", ("scan_log",))
 def _(t):
     return scan_log.trim_scans(t.scan_log, 500)

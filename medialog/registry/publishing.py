@@ -13,6 +13,8 @@ from medialog.plans.show_overview import show_overview
 from medialog.registry.access import MEASURES, MEDIA
 from medialog.registry.catalogue import COUNTS_SQL, LIVE, NOW_SQL
 from medialog.registry.core import NOW, REGISTRY
+from medialog.session import workspace
+from medialog.sources.export import write_feeds
 
 BASE = "https://pods.example.com/x/"
 BASE_SQL = "https://pods.example.com/x"
@@ -162,6 +164,13 @@ def _(t):
     return feeds.feed_lines(t.episodes, t.shows, BASE, NOW)
 
 
+@REGISTRY.add("feed_files", f"{FEED_SQL} SELECT slug, line FROM ln", BOTH)
+def _(t):
+    path = workspace(t.spark, "feeds")
+    write_feeds(feeds.feed_lines(t.episodes, t.shows, BASE, NOW), path)
+    return t.spark.read.schema("line STRING, slug STRING").text(path).select("slug", "line")
+
+
 PARTS = [f"CAST('0x' || substr(sha256(line), {1 + 15 * i}, 15) AS BIGINT)" for i in range(4)]
 SUMS = " || '|' || ".join(f"CAST(SUM({p}) AS VARCHAR)" for p in PARTS)
 XORS = " || '|' || ".join(f"CAST(BIT_XOR({p}) AS VARCHAR)" for p in PARTS)

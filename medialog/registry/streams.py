@@ -29,7 +29,11 @@ def _deliver(rows, path: str) -> None:
         rows.where(wanted).coalesce(1).write.mode("append").parquet(path)
 
 
-@REGISTRY.add("stream_ingest", ENRICH_SQL, ("raw_request",))
+# Ingestion keeps texts whole.
+WHOLE_SQL = ENRICH_SQL.replace("LEFT(range_header, 80)", "range_header").replace(", 500) AS error", ", 1000000) AS error")
+
+
+@REGISTRY.add("stream_ingest", WHOLE_SQL, ("raw_request",))
 def _(t):
     path = workspace(t.spark, "ingest")
     _deliver(t.raw_request, f"{path}/in")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from medialog.functions.text import client_family, redact_url
 
-RANGE_CHARS = 80
-ERROR_CHARS = 500
 ABORTED = "The client hung up before the transfer was complete, so this download is incomplete."
 
 
@@ -41,11 +39,16 @@ def derive_outcome(raw: DataFrame) -> DataFrame:
     )
 
 
-def enrich_requests(raw: DataFrame) -> DataFrame:
+def shortened(column: str, most: int | None) -> Column:
+    return F.col(column) if most is None else F.substring(column, 1, most)
+
+
+def enrich_requests(raw: DataFrame, range_chars: int | None = None, error_chars: int | None = None) -> DataFrame:
     """Access-log rows of raw responses.
 
     The owner's own requests are dropped, a media request with a Range header is a stream, and
-    the user agent is reduced to a client family.
+    the user agent is reduced to a client family. Range headers and errors are kept whole unless a
+    number of characters is given.
     """
     ranged = F.col("range_header").isNotNull() & (F.col("range_header") != "")
     kind = F.when(F.col("route") == "media", F.when(ranged, "stream").otherwise("download")).otherwise(F.col("route"))
@@ -59,9 +62,9 @@ def enrich_requests(raw: DataFrame) -> DataFrame:
         "status_code",
         "bytes_sent",
         F.col("total_bytes").cast("bigint").alias("total_bytes"),
-        F.nullif(F.substring("range_header", 1, RANGE_CHARS), F.lit("")).alias("range_header"),
+        F.nullif(shortened("range_header", range_chars), F.lit("")).alias("range_header"),
         client_family(F.col("user_agent")).alias("client"),
-        F.nullif(F.substring("error", 1, ERROR_CHARS), F.lit("")).alias("error"),
+        F.nullif(shortened("error", error_chars), F.lit("")).alias("error"),
     )
 
 

@@ -22,7 +22,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Current state of every show: the rows of the last batch."""
     rows = spark.read.schema(_STORED).parquet(path)
     last = rows.agg(F.max("epoch").alias("last"))
-    return rows.join(F.broadcast(last), F.col("epoch") == F.col("last")).drop("epoch", "last")
+    return rows.join(F.broadcast(last), F.col("epoch") == F.col("last")).drop("epoch", "last", "turn")
 
 
 def follow_versions(observed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
