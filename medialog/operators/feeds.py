@@ -82,9 +82,12 @@ def order_items(items: DataFrame) -> DataFrame:
     return items.orderBy("show_id", F.desc("pub_date"), F.desc("created_at"), "episode_id")
 
 
-def last_build(items: DataFrame, shows: DataFrame, base_url: str, now) -> DataFrame:
-    """Per published show: its latest change among show, item dates and updates, never after now."""
-    newest = items.groupBy("show_id").agg(
+def last_build(episodes: DataFrame, shows: DataFrame, base_url: str, now) -> DataFrame:
+    """Per published show: its latest change among show, item dates and updates, never after now.
+
+    The dates come from the episodes alone, which are counted before they meet the shows.
+    """
+    newest = episodes.where(feed_eligible(now)).groupBy("show_id").agg(
         F.max(F.greatest("pub_date", "updated_at")).alias("newest"), F.count("*").alias("items")
     )
     dims = publishable(shows, base_url).select(F.col("id").alias("show_id"), F.col("updated_at").alias("show_updated_at"))
@@ -198,7 +201,7 @@ def feed_lines(
     episode_id.
     """
     items = feed_items(episodes, shows, base_url, now)
-    built = last_build(items, shows, base_url, now)
+    built = last_build(episodes, shows, base_url, now)
     heads = publishable(shows, base_url).join(built.select(F.col("show_id").alias("id"), "last_build_at"), "id")
     none = {"pub_date": F.lit(None).cast("timestamp"), "created_at": F.lit(None).cast("timestamp"),
             "episode_id": F.lit(None).cast("string")}

@@ -70,14 +70,48 @@ def show_stats(shows: DataFrame, log: DataFrame, frm=None, to=None) -> DataFrame
     return zero_fill(dim, show_rollup(log, frm, to), "show_id", SHOW_COUNTERS)
 
 
+def _moment() -> Column:
+    """Time and id packed into one decimal, which a hash aggregate keeps in place."""
+    micros, scale = F.unix_micros("requested_at").cast("decimal(19,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (micros * scale + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def show_figures(log: DataFrame, frm=None, to=None) -> DataFrame:
+    """:func:`show_rollup` and the client of :func:`last_feed_fetch`, from one scan of the log.
+
+    The log is reduced to shows, clients and episodes once, and that to shows.
+    """
+    is_feed = (F.col("kind") == "feed") & succeeded()
+    rows = within(log, frm, to).where(is_media() | is_feed)
+    parts = rows.groupBy("show_id", "client", F.when(is_media(), F.col("episode_id")).alias("episode")).agg(
+        *named(media_measures()),
+        F.max(F.when(is_media(), F.col("requested_at"))).alias("last_at"),
+        F.count_if(is_feed).alias("feed_fetches"),
+        F.max(F.when(is_feed, F.col("requested_at"))).alias("feed_last_at"),
+        F.max(F.when(is_feed, _moment())).alias("moment"),
+    )
+    # The episodes are counted in a step of their own, so that the rest is not copied for it.
+    episodes = parts.groupBy("show_id", "episode").agg(
+        *[F.sum(c).alias(c) for c in (*COUNTERS, "feed_fetches")],
+        *[F.max(c).alias(c) for c in ("last_at", "feed_last_at")],
+        F.max(F.struct("moment", "client")).alias("hit"),
+    )
+    return episodes.groupBy("show_id").agg(
+        *[F.sum(c).alias(c) for c in COUNTERS],
+        F.count("episode").alias("episodes_touched"),
+        F.max("last_at").alias("last_at"),
+        F.sum("feed_fetches").alias("feed_fetches"),
+        F.max("feed_last_at").alias("feed_last_at"),
+        F.max(F.when(F.col("hit.moment").isNotNull(), F.col("hit"))).alias("hit"),
+    ).withColumn("feed_last_client", F.col("hit.client")).drop("hit")
+
+
 def last_feed_fetch(log: DataFrame, frm=None, to=None) -> DataFrame:
     """Which client last fetched each show's feed, and when; among equal times the highest id.
 
-    Time and id are packed into one decimal, which a hash aggregate keeps in place. The facts
-    are first reduced to shows and clients.
+    The facts are first reduced to shows and clients.
     """
-    micros, scale = F.unix_micros("requested_at").cast("decimal(19,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")
-    moment = (micros * scale + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
+    moment = _moment()
     rows = within(log, frm, to).where((F.col("kind") == "feed") & succeeded())
     per_client = rows.groupBy("show_id", "client").agg(
         F.max(moment).alias("moment"), F.max("requested_at").alias("requested_at")
@@ -107,8 +141,7 @@ def show_cards(log: DataFrame, frm=None, to=None) -> DataFrame:
         .groupBy("show_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "client", "n"))).alias("clients"))
     )
-    fetch = last_feed_fetch(log, frm, to).select("show_id", "feed_last_client")
-    return show_rollup(log, frm, to).join(fetch, "show_id", "left").join(clients, "show_id", "left")
+    return show_figures(log, frm, to).join(clients, "show_id", "left")
 
 
 def overview(log: DataFrame, frm: datetime | None = None, to=None, prev_from=None) -> DataFrame:

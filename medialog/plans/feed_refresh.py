@@ -36,7 +36,7 @@ def refresh_feeds(
     rendered = workspace(spark, "feed-lines")
     feeds.feed_lines(episodes, shows, base_url, now, announce_move).write.parquet(rendered)
     lines = spark.read.parquet(rendered)
-    built = feeds.last_build(feeds.feed_items(episodes, shows, base_url, now), shows, base_url, now)
+    built = feeds.last_build(episodes, shows, base_url, now)
     current = feeds.feed_versions(lines).select("show_id", "version").join(
         built.select("show_id", "last_build_at"), "show_id"
     )

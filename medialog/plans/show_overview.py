@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medialog.functions import urls
 from medialog.operators.catalogue import episode_counts
 from medialog.operators.readiness import badge_warnings, show_health, with_readiness
-from medialog.operators.rollups import SHOW_COUNTERS, last_feed_fetch, show_rollup, zero_fill
+from medialog.operators.rollups import SHOW_COUNTERS, show_figures, zero_fill
 from medialog.operators.scan_log import latest_scan, parse_entries
 
 
@@ -28,8 +28,7 @@ def show_overview(
         F.size(parse_entries(F.col("warnings_json"))).alias("scan_warnings"),
     )
     rows = rows.join(last, "show_id", "left")
-    rows = zero_fill(rows, show_rollup(log), "show_id", SHOW_COUNTERS)
-    rows = rows.join(last_feed_fetch(log).select("show_id", "feed_last_client"), "show_id", "left")
+    rows = zero_fill(rows, show_figures(log), "show_id", SHOW_COUNTERS)
     address = urls.feed_url(F.lit(base), F.col("slug"), F.col("feed_token"))
     return rows.select(
         "show_id", "slug", "title", "status",

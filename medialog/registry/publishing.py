@@ -128,7 +128,7 @@ FROM shows s LEFT JOIN it ON it.show_id = s.id WHERE s.status <> 'folder_missing
 
 @REGISTRY.add("feed_last_build", f"WITH {ITEMS_SQL}, {BUILD_SQL} SELECT * FROM lb", BOTH)
 def _(t):
-    return feeds.last_build(feeds.feed_items(t.episodes, t.shows, BASE, NOW), t.shows, BASE, NOW)
+    return feeds.last_build(t.episodes, t.shows, BASE, NOW)
 
 
 def _esc(x: str) -> str:
@@ -199,7 +199,7 @@ def _(t):
     from datetime import datetime
 
     lines = feeds.feed_lines(t.episodes, t.shows, BASE, NOW)
-    built = feeds.last_build(feeds.feed_items(t.episodes, t.shows, BASE, NOW), t.shows, BASE, NOW)
+    built = feeds.last_build(t.episodes, t.shows, BASE, NOW)
     versions = feeds.feed_versions(lines)
     current = versions.select("show_id", "version").join(built.select("show_id", "last_build_at"), "show_id")
     n = F.replace("show_id", F.lit("show-"), F.lit("")).cast("int")

@@ -81,7 +81,7 @@ def _(t):
 def _(t):
     path = workspace(t.spark, "versions")
     lines = feeds.feed_lines(t.episodes, t.shows, BASE, NOW)
-    built = feeds.last_build(feeds.feed_items(t.episodes, t.shows, BASE, NOW), t.shows, BASE, NOW)
+    built = feeds.last_build(t.episodes, t.shows, BASE, NOW)
     observed = feeds.feed_versions(lines).select("show_id", "version").join(
         built.select("show_id", "last_build_at"), "show_id"
     )

@@ -89,7 +89,7 @@ def test_in_feed_equals_items_and_live_rows_split(spark):
 def test_build_date_never_after_now(spark):
     eps = episodes(spark, dict(id="e", filename="a", identity_key="1", updated_at=LATER))
     dims = shows(spark, dict(id="s", slug="s"), dict(id="quiet", slug="q"))
-    got = {r.show_id: (r.items, r.last_build_at) for r in feeds.last_build(feeds.feed_items(eps, dims, BASE, NOW), dims, BASE, NOW).collect()}
+    got = {r.show_id: (r.items, r.last_build_at) for r in feeds.last_build(eps, dims, BASE, NOW).collect()}
     assert got == {"s": (1, NOW), "quiet": (0, T0)}
 
 

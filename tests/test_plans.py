@@ -68,3 +68,10 @@ def test_capped_diagnostics_limit_groups_before_the_shuffle(spark):
     rows = spark.range(10_000).select(*[word.alias(c) for c in ("show_id", "level", "file", "message", "code")])
     text = plan(scan_log.capped_diagnostics(rows, ["show_id", "level"], ["file"]))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_figures_of_shows_scan_the_log_once(spark, scratch):
+    store = Store(spark, scratch)
+    store.append_access(log_of(spark, [(i, i * 60, ("download", "feed")[i % 2], 200, 1, 1, "Castro", "e", "s") for i in range(20)]))
+    plan = rollups.show_figures(store.access_log())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
