@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, prepared, row_hash, slices
+from medialog.llm.common import as_bytes, prepared, row_hash, slices, worker_tables
 from medialog.llm.vocabulary import COMPOSED, read_vocabulary, shown, tokenizer
 
 # Entries in a worker's caches.
 CACHED = 200_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CACHED_PAIRS = 200_000
 # Bytes of text whose words share a trie; a longer text has one of its own.
 SLICE = 2 << 20
@@ -218,11 +218,6 @@ class Encoder:
         return [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype=np.int32) for p in pieces]
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
-
-
 def _check(vocabulary: str) -> None:
     """Refuse vocabularies of another build than the one these rules are for."""
     spec = json.loads(vocabulary)
@@ -249,7 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, names = encoder(shared.value), _names(shared.value)
+        rules, names = worker_tables("bpe", shared.value, lambda: Encoder(shared.value)), _names(shared.value)
         for batch in slices(batches, "text", SLICE):
             ids = rules.encode(as_bytes(batch.column("text")))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)

@@ -53,6 +53,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: dict = {}
+
+
+def worker_tables(owner: str, key, make: Callable[[], object]):
+    """Tables of a worker process that outlive a task. It holds those of one operator at a time."""
+    if _tables.get("of") != (owner, key):
+        _tables.clear()
+        _tables.update({"of": (owner, key), "tables": make()})
+    return _tables["tables"]
+
+
+def forget_tables() -> None:
+    """Let go of what an earlier operator left in this worker process."""
+    _tables.clear()
+
+
 def row_hash(text: str) -> Column:
     """Tells rows apart that share an id, or have none."""
     return F.xxhash64(F.col(text))
@@ -81,6 +97,7 @@ def filter_texts(docs: DataFrame, keeps: Callable[[list[bytes]], list[bool]], te
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in slices(batches, place, most):
             yield batch.filter(pa.array(keeps(as_bytes(batch.column(place).cast(pa.string()))), pa.bool_()))
 

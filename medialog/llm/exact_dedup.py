@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, bit_filter, passes, pick_rows, prepared, row_hash, written
+from medialog.llm.common import as_bytes, bit_filter, forget_tables, passes, pick_rows, prepared, row_hash, written
 
 WHITE = b" \t\n\v\f\r"
 PREFIX_BYTES = 64
@@ -34,6 +34,7 @@ def _prefix_hash(text: bytes) -> int:
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for batch in batches:
         bare = [t.translate(None, WHITE) for t in as_bytes(batch.column("text"))]
         yield pa.record_batch(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, bit_filter, passes, pick_rows, prepared, row_hash, written
+from medialog.llm.common import as_bytes, bit_filter, forget_tables, passes, pick_rows, prepared, row_hash, written
 from medialog.llm.components import components
 from medialog.llm.shingles import Bands, band_hashes, estimates, minima, packed, set_digest, shingle_set, word_hashes
 
@@ -41,6 +41,7 @@ def _class(shingles: np.ndarray) -> int:
 
 def _sign(size: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             sets = [shingle_set(w, size) for w in word_hashes(as_bytes(batch.column("text")))]
             full = [s for s in sets if len(s)]
@@ -63,6 +64,7 @@ def _sign(size: int, bands: Bands):
 
 def _sets(size: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         known = bits.value
         for batch in batches:
             batch = batch.filter(pa.array(passes(known, batch.column("key").to_numpy())))
@@ -76,6 +78,7 @@ def _sets(size: int, bits):
 
 def _estimate(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("centre_signature", "signature"))
             yield pa.record_batch([batch.column("centre"), batch.column("class"), pa.array(estimates(a, b, bands))], ["centre", "class", "estimate"])
@@ -96,6 +99,7 @@ def _confirm(percent: int):
     """Rows come by centre and block, the centre's set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         centre, whole = None, np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
@@ -137,6 +141,7 @@ def _flag(bands: Bands):
     """Members that are near one of another component, by their estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for (centre, _), rows in _grouped(batches):
             sign = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows["class"]), -1)
             names, parts = np.array(rows["class"]), np.array(rows["component"])
@@ -157,6 +162,7 @@ def _confirm_block(percent: int):
     """Links between components, found on whole sets; one is enough for two components to meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for _, rows in _grouped(batches):
             sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
             sizes = np.array([len(s) for s in sets])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import as_bytes, prepared, row_hash, slices
+from medialog.llm.common import as_bytes, forget_tables, prepared, row_hash, slices
 from medialog.llm.hashing import PIECE, mixed, pieces, tokens
 
 FEATURE_BITS = 18
@@ -165,6 +165,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in slices(batches, "text"):
             scores = pa.array(shared.value.score(as_bytes(batch.column("text"))), pa.float64())
             yield pa.record_batch([batch.column("id"), batch.column("row"), scores], ["id", "row", "score"])

@@ -17,11 +17,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialog.llm.common import prepared, row_hash
+from medialog.llm.common import prepared, row_hash, worker_tables
 from medialog.llm.vocabulary import AGREED, read_vocabulary, shown, tokenizer
 
 # Documents in the sample, pre-tokens in the table, entries in a worker's cache.
@@ -77,17 +76,6 @@ class Counts:
         return len(self.tokenizer.model.tokenize(shown(piece)))
 
 
-# A worker's tables outlive a task; those of another run replace them.
-_worker: dict[str, Counts] = {}
-
-
-def _counts(run: str, vocabulary: Broadcast, frequent: Broadcast) -> Counts:
-    if run not in _worker:
-        _worker.clear()
-        _worker[run] = Counts(vocabulary.value, frequent.value)
-    return _worker[run]
-
-
 def frequent_pre_tokens(docs: DataFrame, text_col: str, vocabulary: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> Frequent:
     """Lengths of the most frequent pre-tokens of about ``sample_docs`` documents chosen by hash.
 
@@ -127,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     frequent = spark.sparkContext.broadcast(frequent_pre_tokens(docs, text_col, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts(name, shared, frequent)
+        counts = worker_tables("token counts", name, lambda: Counts(shared.value, frequent.value))
         for batch in batches:
             text = batch.column("text")
             n = [counts.of(t) if t else 0 for t in text.to_pylist()]

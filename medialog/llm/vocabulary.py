@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from tokenizers import Tokenizer
 
 # Characters on whose class (letter, number, space) and lower case all Unicode versions in use agree.
@@ -36,9 +34,8 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-@lru_cache(maxsize=4)
 def tokenizer(text: str) -> Tokenizer:
-    """One per worker process. Padding and truncation are off."""
+    """Of a vocabulary's text. Padding and truncation are off."""
     found = Tokenizer.from_str(text)
     found.no_padding()
     found.no_truncation()
