@@ -38,12 +38,6 @@ def test_pages_are_cut_before_titles_are_joined(spark, scratch):
     assert text.index("Join") < text.index("TakeOrderedAndProject(limit=40"), "joins sit above the cut"
 
 
-def test_large_pages_filter_before_sorting(spark, scratch):
-    log = stored(spark, scratch)
-    assert "scalar-subquery" in plan(access_log.page(log, limit=50_000)) or "Subquery" in plan(access_log.page(log, limit=50_000))
-    assert "ubquery" not in plan(access_log.page(log, limit=40))
-
-
 def test_feed_fetch_stays_in_hash_aggregates_over_the_log(spark, scratch):
     text = plan(rollups.last_feed_fetch(stored(spark, scratch)))
     lines = [ln for ln in text.splitlines() if "Aggregate" in ln]
