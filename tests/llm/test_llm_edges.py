@@ -260,6 +260,14 @@ def test_licences(spark):
     assert license_scan.scan_licences(files.where("false")).count() == 0
 
 
+def test_first_notices_are_found(spark):
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    files = spark.createDataFrame([("a/x.c", f"code\n{header}\nmore")], "path string, text string")
+    assert [(r.own_licence, r.own_score) for r in license_scan.scan_licences(files).collect()] == [("Apache-2.0", 1.0)]
+    common = license_scan.scan_licences(files, (("X", "for the use of this file by any and all"),))
+    assert [r.licence for r in common.collect()] == [None]
+
+
 def test_passages(docs, empty, spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = spark.createDataFrame([(1, item), (2, "Short item"), (None, "no id here"), (4, None), (5, "..."), (2, "Short item")], "item_id long, text string")
