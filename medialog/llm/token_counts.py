@@ -26,6 +26,8 @@ from medialog.llm.vocabulary import AGREED, read_vocabulary, shown, tokenizer
 # Documents in the sample, pre-tokens in the table, entries in a worker's cache.
 SAMPLE_DOCS = 1_000
 FREQUENT = 30_000
+# Characters of a pre-token in the table; longer ones are left to the workers' caches.
+LONGEST = 100
 CACHED = 400_000
 
 # fixed: the split of byte-level vocabularies before merges
@@ -38,8 +40,8 @@ class Frequent:
 
     def __init__(self, lengths: dict[str, int]):
         self.text = "".join(lengths)
-        self.ends = np.cumsum([len(k) for k in lengths], dtype=np.int32)
-        self.tokens = np.fromiter(lengths.values(), dtype=np.uint16, count=len(lengths))
+        self.ends = np.cumsum([len(k) for k in lengths], dtype=np.int64)
+        self.tokens = np.fromiter(lengths.values(), dtype=np.int64, count=len(lengths))
 
     def table(self) -> dict[str, int]:
         ends = self.ends.tolist()
@@ -77,20 +79,19 @@ class Counts:
 
 
 def frequent_pre_tokens(docs: DataFrame, text_col: str, vocabulary: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> Frequent:
-    """Lengths of the most frequent pre-tokens of about ``sample_docs`` documents chosen by hash.
+    """Lengths of the most frequent pre-tokens of about ``sample_docs`` documents, drawn row by row.
 
-    Tasks send at most ``most`` counts each, and only those that read a chosen document send any.
+    Copies of a text are drawn each on its own, so that they do not enter the sample as a whole. Tasks send at most ``most`` counts each, and only those that read a chosen document send any.
     """
     chosen = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     share = min(1.0, sample_docs / max(1, docs.count()))
-    limit = int(share * (1 << 30))
-    sample = chosen.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= limit)
+    sample = chosen.where(F.rand(7) < share) if share < 1 else chosen
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             texts = [t for t in batch.column("text").to_pylist() if not _OTHER.search(t)]
-            counts.update(chain.from_iterable(map(PRE_TOKENS.findall, texts)))
+            counts.update(p for p in chain.from_iterable(map(PRE_TOKENS.findall, texts)) if len(p) <= LONGEST)
         pairs = counts.most_common(most)
         if pairs:
             yield pa.record_batch([pa.array([p for p, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int64())], ["piece", "n"])

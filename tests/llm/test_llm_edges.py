@@ -149,6 +149,16 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, BYTE_BPE).count() == 0
 
 
+def test_copies_of_a_very_long_run_are_counted(spark):
+    text = "z" * 140_000
+    rows = spark.createDataFrame([(1, text), (2, text), (3, "short")], "doc_id long, text string").coalesce(1)
+    library = Tokenizer.from_file(BYTE_BPE)
+    want = len(library.encode(text, add_special_tokens=False))
+    assert want > 65_535
+    assert {r.id: r.n_tokens for r in token_counts.count_tokens(rows, BYTE_BPE).collect()} == {1: want, 2: want, 3: 1}
+    assert token_counts.Frequent({text: want}).table() == {text: want}
+
+
 def test_bpe(docs, empty):
     library = Tokenizer.from_file(WORD_BPE)
     got = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE).collect()
