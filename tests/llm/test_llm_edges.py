@@ -131,6 +131,32 @@ def test_language(docs, empty, spark):
     assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_is_learned_from_texts_not_copies(spark):
+    page, words = "qqq " * 20, [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rnd = random.Random(5)
+    other = [" ".join(rnd.sample(words, 12)) for _ in range(40)]
+    rows = [("aa", page)] * 4_000 + [("aa", t) for t in other] + [("bb", f"xyz{k} zyx yxz") for k in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4), rows_per_language=100)
+    unseen = spark.createDataFrame([(k, " ".join(rnd.sample(words, 12))) for k in range(50)], "doc_id long, text string")
+    assert {r.lang_pred for r in language_id.predict(unseen, model).collect()} == {"aa"}
+    # The page counts once among the 41 texts, so its letter is not the most of the language.
+    matrix = model.parts[0].value
+    grams = language_id.features(["q"])[0]
+    assert np.exp(matrix[grams[3], 0]) < 0.1
+
+
+def test_no_label_is_left_out_of_the_model(spark, monkeypatch):
+    rows = [(f"l{k}", f"{chr(97 + k) * 3} {chr(98 + k) * 2}") for k in range(7)] + [("l0", "aaaa bbb")]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    whole = language_id.fit(labelled)
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    parts = language_id.fit(labelled)
+    assert len(parts.parts) == 3 and parts.languages == whole.languages == [f"l{k}" for k in range(7)]
+    docs = labelled.withColumn("doc_id", F.monotonically_increasing_id())
+    found = [{(r.id, r.lang_pred, round(r.score, 9)) for r in language_id.predict(docs, m).collect()} for m in (whole, parts)]
+    assert found[0] == found[1] and len({f[1] for f in found[1]}) == 7
+
+
 def test_quality(docs, empty, spark):
     texts = spark.createDataFrame([(k, "good fine text" if k % 2 else "!! ## !!") for k in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1), (3, None), (5, 7)], "doc_id long, quality int")
