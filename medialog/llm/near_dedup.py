@@ -10,8 +10,8 @@ A bucket of a band may hold very many classes, so not all its pairs are looked a
 1. Each member is compared with one of the bucket, that of the most rows. Confirmed links make
    components.
 2. What is left are pairs of different components. Members that meet the same such centre are a group:
-   those outside its largest component are compared with all others, in blocks of bounded size, first by
-   estimate. Of those that pass the sets are fetched, once a block, and all overlaps counted.
+   those outside its largest component are compared with all others, in pairs of blocks of bounded size,
+   first by estimate. Of those that pass the sets are fetched, once a pair, and all overlaps counted.
 
 So every pair that shares a bucket is confirmed, ruled out by its estimate, or already linked through
 others; no pair is left out for the size of its bucket. At the threshold a pair shares no bucket, or
@@ -24,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialog.llm.common import as_bytes, bit_filter, forget_tables, passes, pick_rows, prepared, row_hash, written
 from medialog.llm.components import components
 from medialog.llm.shingles import Bands, band_hashes, estimates, minima, packed, set_digest, shingle_set, word_hashes
 
-# Members of the largest component in one block of a group.
+# Members of a group in a block whose sets are compared, and bytes of their sets, about.
 BLOCK = 512
+BLOCK_BYTES = 32 << 20
+# Members of a group in a block that is compared by estimates.
+SIGNED_BLOCK = 4096
 
 
 def _class(shingles: np.ndarray) -> int:
@@ -137,6 +140,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
         yield key, rows
 
 
+def _others(own: np.ndarray) -> np.ndarray:
+    """Places of the rows that those of a pair's first block meet: all, if it is paired with itself."""
+    return np.arange(len(own)) if own.all() else np.flatnonzero(~own)
+
+
 def _flag(bands: Bands):
     """Members that are near one of another component, by their estimates."""
 
@@ -146,12 +154,13 @@ def _flag(bands: Bands):
             sign = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows["class"]), -1)
             names, parts = np.array(rows["class"]), np.array(rows["component"])
             flagged = np.zeros(len(names), bool)
-            for s in np.flatnonzero(np.array(rows["own"])):
-                near = (parts != parts[s]) & (names != centre) & (names[s] != centre)
-                near &= estimates(sign[s][None], sign, bands) >= bands.least_estimate
+            own = np.array(rows["own"])
+            others = _others(own)
+            for s in np.flatnonzero(own):
+                near = (parts[others] != parts[s]) & (names[others] != centre) & (names[s] != centre)
+                near &= estimates(sign[s][None], sign[others], bands) >= bands.least_estimate
                 if near.any():
-                    flagged |= near
-                    flagged[s] = True
+                    flagged[others[near]] = flagged[s] = True
             found = names[flagged]
             yield pa.record_batch([pa.array(np.full(len(found), centre), pa.int64()), pa.array(found, pa.int64())], ["centre", "class"])
 
@@ -165,20 +174,23 @@ def _confirm_block(percent: int):
         forget_tables()
         for _, rows in _grouped(batches):
             sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
-            sizes = np.array([len(s) for s in sets])
+            own = np.array(rows["own"])
+            others = _others(own)
+            _, every = np.unique(np.concatenate(sets), return_inverse=True)
+            places = np.split(every, np.cumsum([len(s) for s in sets])[:-1])
+            sizes = np.array([len(sets[m]) for m in others])
             starts = np.cumsum([0, *sizes[:-1]])
-            _, place = np.unique(np.concatenate(sets), return_inverse=True)
+            place = np.concatenate([places[m] for m in others])
             part = np.array(rows["component"])
-            mark = np.zeros(int(place.max()) + 1, bool)
+            mark = np.zeros(int(every.max()) + 1, bool)
             a, b = [], []
-            for s in np.flatnonzero(np.array(rows["own"])):
-                if not (part != part[s]).any():
+            for s in np.flatnonzero(own):
+                if not (part[others] != part[s]).any():
                     continue
-                own = place[starts[s] : starts[s] + sizes[s]]
-                mark[own] = True
+                mark[places[s]] = True
                 overlap = np.add.reduceat(mark[place], starts, dtype=np.int64)
-                mark[own] = False
-                for m in np.flatnonzero(_linked(overlap, sizes, sizes[s], percent)):
+                mark[places[s]] = False
+                for m in others[_linked(overlap, sizes, len(sets[s]), percent)]:
                     if part[m] != part[s]:
                         a.append(rows["class"][s])
                         b.append(rows["class"][m])
@@ -188,6 +200,36 @@ def _confirm_block(percent: int):
     return run
 
 
+def dealt(rows: DataFrame, sizes: DataFrame, most: int, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``rows`` (``centre``, ``class``, ``component``, ``largest``) with ``block`` and ``own``, once for each
+    pair of blocks they belong to; ``sizes`` has the same rows with their ``bytes``.
+
+    Members outside the largest component, the strays of a group, are dealt into blocks of about ``most`` rows or
+    ``most_bytes``, and so are the others. Each block of strays is paired with itself, the later ones and those of
+    the largest component; ``own`` are the rows of the first block of a pair. So two members meet
+    once, if one is a stray, and no pair holds more than two blocks.
+    """
+    stray = F.col("component") != F.col("largest")
+
+    def blocks(of: Column) -> Column:
+        n, size = F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("bytes"))), F.lit(0))
+        return F.ceil(F.greatest(n / most, size / most_bytes, F.lit(1.0))).cast("long")
+
+    groups = sizes.groupBy("centre").agg(blocks(stray).alias("strays"), blocks(~stray).alias("rest"))
+    hashed = F.xxhash64("class")
+    at = F.when(stray, F.pmod(hashed, F.col("strays"))).otherwise(F.col("strays") + F.pmod(hashed, F.col("rest")))
+    spread = rows.join(groups, "centre").withColumn("at", at).withColumn("all", F.col("strays") + F.col("rest"))
+    # Blocks of strays come first, so a row is second to those of strays before its own.
+    last = F.least("at", "strays") - 1
+    second = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
+    first = F.when(stray, F.sequence(F.col("at"), F.col("all") - 1)).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.concat(
+        F.transform(first, lambda t: F.struct((F.col("at") * F.col("all") + t).alias("block"), F.lit(True).alias("own"))),
+        F.transform(second, lambda b: F.struct((b * F.col("all") + F.col("at")).alias("block"), F.lit(False).alias("own"))),
+    )
+    return spread.withColumn("pair", F.explode(pairs)).select(*rows.columns, "pair.block", "pair.own")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """A row per row of ``docs``: ``id``, ``row`` (hash of the text), ``n_shingles``, ``component_id``, ``kept``.
 
@@ -254,25 +296,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.join(first.toDF("class", "root"), "class", "left").select("centre", "class", F.coalesce("root", "class").alias("component"))
     shares = placed.groupBy("centre", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND all > 2")
-    groups = mixed.select("centre", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("blocks"))
+    members = placed.join(mixed.select("centre", F.col("top.component").alias("largest")), "centre")
 
-    def blocked(rows: DataFrame) -> DataFrame:
-        """Members of the largest component go to one block of their group, others to all."""
-        at = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        spread = rows.join(groups, "centre").withColumn("at", at).withColumn("stray", F.col("component") != F.col("largest"))
-        every = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
-        out = spread.withColumn("block", F.explode(every)).drop("largest", "blocks")
-        # Rows of their own are those to be compared with all of the block.
-        return out.withColumn("own", F.col("stray")).drop("stray", "at").repartition(parallel, "centre", "block").sortWithinPartitions("centre", "block")
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parallel, "centre", "block").sortWithinPartitions("centre", "block")
 
     flags = written(
-        blocked(placed.join(signatures, "class")).select("centre", "block", "class", "component", "own", "signature").mapInArrow(_flag(bands), "centre long, class long").distinct(),
+        in_order(dealt(members.join(signatures, "class"), members.withColumn("bytes", F.lit(0)), SIGNED_BLOCK))
+        .select("centre", "block", "class", "component", "own", "signature")
+        .mapInArrow(_flag(bands), "centre long, class long")
+        .distinct(),
         "near-flags",
     )
     named = flags.select("class").distinct()
     more = sets.join(named, "class", "left_semi").unionByName(sets_of(named.join(sets, "class", "left_anti")))
+    flagged = members.join(flags, ["centre", "class"], "left_semi")
     second_links = (
-        blocked(placed.join(flags, ["centre", "class"], "left_semi").join(more, "class"))
+        in_order(dealt(flagged.join(more, "class"), flagged.join(more.select("class", F.octet_length("set").alias("bytes")), "class"), BLOCK))
         .select("centre", "block", "class", "component", "own", "set")
         .mapInArrow(_confirm_block(percent), "a long, b long")
     )

@@ -98,6 +98,22 @@ def test_near_copies_of_one_centre_meet(spark):
     assert got == plain.components(texts, 3, 85)
 
 
+def test_no_block_holds_a_group_of_strays(spark):
+    rows = spark.createDataFrame([(0, k, max(k, 20), 20) for k in range(200)], "centre long, class long, component long, largest long")
+    sizes = rows.withColumn("bytes", F.lit(100))
+    for most, most_bytes in ((16, 1 << 20), (1000, 1600)):
+        blocks = {}
+        for r in near_dedup.dealt(rows, sizes, most, most_bytes).collect():
+            blocks.setdefault(r.block, []).append((r["class"], r.own))
+        assert max(map(len, blocks.values())) <= 4 * 16
+        met = []
+        for members in blocks.values():
+            own = [c for c, mine in members if mine]
+            others = [c for c, mine in members if not mine]
+            met += [(a, b) for a in own for b in others] if others else [(a, b) for a in own for b in own if a < b]
+        assert sorted((min(p), max(p)) for p in met) == [(a, b) for a in range(200) for b in range(a + 1, 200) if b > 20]
+
+
 def test_estimates_are_near_the_similarity():
     bands = Bands(0.85)
     assert (1 - 0.85**bands.rows) ** bands.count <= bands.miss
