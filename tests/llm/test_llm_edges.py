@@ -320,6 +320,19 @@ def test_first_notices_are_found(spark):
     assert [r.licence for r in common.collect()] == [None]
 
 
+def test_wrapped_notices_sentences_and_tags_are_found(spark):
+    rows = [
+        ("a/bsd.c", "/* Redistribution and use in source and\n * binary forms, with or without\n * modification, are permitted. */\nint x;"),
+        ("b/sentence.md", "A tool for many small tasks of all kinds. Released under the MIT License. It runs on most machines."),
+        ("c/tag.py", "# SPDX-License-Identifier: MIT\nx = 1"), ("d/none.py", "nothing\nof the kind"),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.licence for r in license_scan.scan_licences(files).collect()}
+    assert got == {"a/bsd.c": "BSD-3-Clause", "b/sentence.md": "MIT", "c/tag.py": "MIT", "d/none.py": None}
+    lines = {r.path: r.licence for r in license_scan.scan_licences(files, lines_only=True).collect()}
+    assert set(lines.values()) == {None}
+
+
 def test_passages(docs, empty, spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = spark.createDataFrame([(1, item), (2, "Short item"), (None, "no id here"), (4, None), (5, "..."), (2, "Short item")], "item_id long, text string")
