@@ -31,7 +31,7 @@ def ingest(raw: DataFrame, path: str, checkpoint: str, name: str = "stream") ->
     """Append what has arrived to the log at ``path`` and stop.
 
     A response may be reported any number of times and as late as it likes; the log holds it
-    once. A batch that is run again leaves itself out of the comparison and replaces its own
+    once. Responses without an id cannot be told apart: all are appended. A batch that is run again leaves itself out of the comparison and replaces its own
     folders. Several streams into one log need a ``name`` each, and should not report the same
     responses at the same time.
     """
@@ -39,7 +39,8 @@ def ingest(raw: DataFrame, path: str, checkpoint: str, name: str = "stream") ->
     def write(batch: DataFrame, epoch: int) -> None:
         label = f"{name}-{epoch}"
         others = read_log(batch.sparkSession, path).where(F.col(BATCH) != label)
-        rows = enrich_requests(batch.dropDuplicates(["request_id"]))
+        named = batch.where("request_id IS NOT NULL").dropDuplicates(["request_id"])
+        rows = enrich_requests(named.unionByName(batch.where("request_id IS NULL")))
         append_log(not_stored(rows, others), path, label)
 
     return (

@@ -47,6 +47,13 @@ def test_ingest_equals_batch_and_survives_repeats(spark, scratch):
     assert len(got) == len({r.id for r in got}) == enrich_requests(batch).count()
 
 
+def test_responses_without_an_id_are_all_kept(spark, scratch):
+    rows = raw(spark, [1, 1, 2, 3, 4]).withColumn("request_id", F.when(F.col("request_id") < 3, F.col("request_id")))
+    rows.coalesce(1).write.json(f"{scratch}/in")
+    ingest.ingest(ingest.raw_stream(spark, f"{scratch}/in"), f"{scratch}/log", f"{scratch}/check").awaitTermination()
+    assert sorted((r.id or 0) for r in read_log(spark, f"{scratch}/log").collect()) == [0, 0, 1, 2]
+
+
 def test_outcomes(spark):
     rows = {r.id: r for r in enrich_requests(raw(spark, [1, 2, 7, 10])).collect()}
     assert set(rows) == {1, 2, 7}
