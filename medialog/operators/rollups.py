@@ -18,7 +18,6 @@ from medialog.operators.joins import lookup_join
 
 COUNTERS = ("downloads", "streams", "failures", "bytes")
 SHOW_COUNTERS = (*COUNTERS, "episodes_touched", "feed_fetches")
-MAX_BUSIEST = 100
 
 
 def media_measures(when: Column | None = None) -> dict[str, Column]:
@@ -186,7 +185,7 @@ def busiest(
     joined = per_episode.join(titles, "episode_id")
     joined = lookup_join(joined, names, ["show_id"], ["episode_id"], "inner").drop("show_id")
     order = [F.desc("downloads"), F.desc("streams"), F.desc("bytes"), F.asc("episode_id")]
-    return joined.orderBy(*order).limit(min(max(1, k), MAX_BUSIEST))
+    return joined.orderBy(*order).limit(max(1, k))
 
 
 def by_client(log: DataFrame, frm=None, to=None, show_id=None) -> DataFrame:

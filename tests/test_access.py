@@ -150,3 +150,10 @@ def test_last_feed_fetch_breaks_ties_by_id(spark):
     ])
     row = rollups.last_feed_fetch(log).first()
     assert (row.feed_last_client, row.feed_last_at) == (None, BASE + timedelta(minutes=5))
+
+
+def test_busiest_gives_as_many_as_asked(spark):
+    log = log_of(spark, [(i, i, "download", 200, 1, 9, None, f"e{i}", "s") for i in range(130)])
+    episodes = spark.createDataFrame([(f"e{i}", "t") for i in range(130)], "id string, title string")
+    shows = spark.createDataFrame([("s", "S", "s")], "id string, title string, slug string")
+    assert rollups.busiest(log, episodes, shows, 120).count() == 120
