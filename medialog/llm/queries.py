@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialog.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, quality, token_counts, warc
-from medialog.llm.common import shared_path, table
+from medialog.llm import (
+    bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, prefix_trie, quality, resampling, token_counts,
+    warc,
+)
+from medialog.llm.common import shared_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +31,13 @@ def _query(name: str, sql: str | None = None):
 # fixed: white space and words as the contracts define them
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# A one-row table with the remainders of CRC-32 by byte, and the checksum of a text's UTF-8 bytes with it.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1],
+                             lambda c, one: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+        FROM (SELECT unnest(range(0, 256)) AS i))"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(0, octet_length(encode({0}))),
+              lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))),
+              lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
 
 
 @_query(
@@ -166,3 +176,80 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents, laid out as files; by lines, as the SQL has them."""
     files = license_scan.document_paths(table(spark, sf_dir, "documents"))
     return license_scan.scan_licences(files, lines_only=True).join(files.select("doc_id", "path"), "path")
+
+
+@_query(
+    "op11_prefix_trie",
+    f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS donor, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM convs, crc),
+rebuilt AS (
+  SELECT ids.conv_id, k AS depth, role, text FROM ids JOIN turns ON turns.conv_id = donor AND k <= h
+  UNION ALL
+  SELECT conv_id, k - h + least(h, coalesce(convs.n, 0)), role, text
+  FROM ids JOIN turns USING (conv_id) LEFT JOIN convs ON convs.conv_id = donor WHERE k > h),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars,
+         sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up, max(depth) OVER (PARTITION BY conv_id) AS deepest FROM paths),
+nodes AS (SELECT node, any_value(depth) AS depth, any_value(chars) AS chars, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n FROM steps GROUP BY node),
+children AS (SELECT up AS node, count(*) AS n_children FROM nodes GROUP BY up),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+sums AS (
+  SELECT steps.node, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves, sum((n - 1) * v.chars) AS saved
+  FROM counted AS v JOIN steps ON steps.conv_id = v.conv_id AND steps.depth <= v.depth GROUP BY steps.node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM steps WHERE depth = deepest GROUP BY node)
+SELECT c.conv_id, c.depth, parents.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted AS c JOIN sums USING (node) LEFT JOIN nodes AS parents ON parents.node = c.up LEFT JOIN ends ON ends.node = c.node""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, begun as the contract has it, as a trie."""
+    numbered = written(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "numbered")
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(numbered))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+@_query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query(
+    "op13_resampling",
+    f"""
+WITH {_CRC_TABLE},
+doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+places AS (SELECT doc_id, unnest(w) AS word FROM doc_words),
+vocabulary AS (
+  SELECT word, {_CRC.format("word")} % 10000 AS bucket
+  FROM (SELECT word FROM places UNION SELECT word FROM item_words), crc),
+s AS (SELECT bucket, count(*) AS s FROM places JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM item_words JOIN vocabulary USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM places) + 10000)::DOUBLE
+                 / ((s + 1)::DOUBLE * ((SELECT count(*) FROM item_words) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM places JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                 / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc_words LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents drawn towards the benchmark."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")

@@ -34,7 +34,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_conversations_read_back(spark):
