@@ -21,3 +21,20 @@ def file_system(path: str):
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{quote(rest)}")
+
+
+def remove_folder(path: str) -> None:
+    """Delete a folder if it is there."""
+    from pyarrow.fs import FileType
+
+    system, name = file_system(path)
+    if system.get_file_info(name).type == FileType.Directory:
+        system.delete_dir(name)
+
+
+def subfolders(path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    from pyarrow.fs import FileSelector, FileType
+
+    system, name = file_system(path)
+    return sorted(f.base_name for f in system.get_file_info(FileSelector(name, allow_not_found=True)) if f.type == FileType.Directory)

@@ -11,6 +11,7 @@ from medialog.operators.rollups import COUNTERS
 from medialog.operators.series import daily_totals
 from medialog.operators.signin import trailing_failures
 from medialog.schemas import LOGIN_ATTEMPTS, MEDIA_ACCESS, RAW_REQUESTS
+from medialog.sources.files import subfolders
 from medialog.sources.requests import enrich_requests
 from medialog.sources.store import read_log
 from medialog.streaming import daily, feed_versions, ingest, signin_alerts
@@ -99,9 +100,32 @@ def test_version_state_is_monotone(spark, scratch):
         state = {r.show_id: r for r in feed_versions.read_state(spark, f"{scratch}/state").collect()}
         times.append(state["s"].modified_at)
     assert times == [t, t, t + timedelta(days=2), t + timedelta(days=9)]
-    # However many batches, two states are kept.
-    assert spark.read.parquet(f"{scratch}/state").select("epoch").distinct().count() == 2
     assert state["s"].version == "v3" and state["z"].modified_at == t
+    # A batch writes what it changed: nothing in the second, shows s and z in the third.
+    changes = [spark.read.parquet(f"{scratch}/state/changes-{k}").count() for k in range(4)]
+    assert changes == [1, 0, 2, 1]
+    feed_versions.settle(spark, f"{scratch}/state")
+    assert subfolders(f"{scratch}/state") == ["none", "settled-3-1"]
+    assert {r.show_id: r for r in feed_versions.read_state(spark, f"{scratch}/state").collect()} == state
+    # The keyed state is in the checkpoint: the job goes on from it.
+    spark.createDataFrame([("z", "v1", t, t + timedelta(days=20)), ("s", "v4", t, t + timedelta(days=20))], feed_versions.OBSERVED).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(feed_versions.OBSERVED).parquet(f"{scratch}/in")
+    feed_versions.follow_versions(stream, f"{scratch}/state", f"{scratch}/check").awaitTermination()
+    state = {r.show_id: (r.version, r.modified_at) for r in feed_versions.read_state(spark, f"{scratch}/state").collect()}
+    assert state == {"s": ("v4", t + timedelta(days=20)), "z": ("v1", t)}
+
+
+def test_a_busy_show_sends_few_rows_to_its_state(spark, scratch):
+    t = F.lit(BASE).cast("timestamp")
+    rows = spark.range(5_000).select(
+        F.lit("busy").alias("show_id"), F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("version"), t.alias("last_build_at"),
+        (t + F.make_dt_interval(secs=F.col("id").cast("int"))).alias("observed_at"),
+    )
+    rows.coalesce(1).write.parquet(f"{scratch}/in")
+    query = feed_versions.follow_versions(spark.readStream.schema(feed_versions.OBSERVED).parquet(f"{scratch}/in"), f"{scratch}/state", f"{scratch}/check")
+    query.awaitTermination()
+    assert [r.version for r in feed_versions.read_state(spark, f"{scratch}/state").collect()] == ["v04999"]
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) <= 2
 
 
 def test_alerts_equal_trailing_failures_at_window_ends(spark, scratch):
