@@ -1,8 +1,9 @@
 r"""Conversations as training text, assembled column by column.
 
 A turn is written ``### Role: text</turn>`` and a line end. Inside texts and roles a backslash is
-doubled, ``###`` becomes ``\#\#\#`` and ``</turn>`` becomes ``<\/turn>``, and inside roles a colon before a
-space is parted from it, so that no control string is ever found in them; taking every backslash away from the character after it gives the text back.
+doubled, ``##`` becomes ``\#\#`` and ``</turn>`` becomes ``<\/turn>``, and inside roles a colon before a
+space is parted from it. Of a run of signs at most the last one stays as it is, so no control string is ever found in them;
+taking every backslash away from the character after it gives the text back.
 
 Turns are dealt by ranges of (conversation, turn), so that a very long conversation is spread over
 tasks. A task turns each batch of rows into segments (a header for the role, the content, an
@@ -36,7 +37,7 @@ SPAN = 1 << 20
 def escaped(texts: pa.Array) -> pa.Array:
     """Control strings of a column of texts escaped; null as empty."""
     out = pa.compute.fill_null(texts, "")
-    for plain, safe in (("\\", "\\\\"), ("###", "\\#\\#\\#"), ("</turn>", "<\\/turn>")):
+    for plain, safe in (("\\", "\\\\"), ("##", "\\#\\#"), ("</turn>", "<\\/turn>")):
         out = pa.compute.replace_substring(out, plain, safe)
     return out
 

@@ -132,8 +132,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as an archive and read back."""
     path = shared_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z")
-    back = warc.read_archive(spark, path, payload_bytes=F.octet_length("payload").cast("long"), payload_digest=F.sha1("payload"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = warc.reconstructed(warc.read_archive(spark, path))
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    return back.select("page_id", size, F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
 @_query("op6_language_id")

@@ -104,16 +104,58 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def read_archive(spark: SparkSession, path: str, **measures: Column) -> DataFrame:
     """The records, by a join of headers and payloads: what :func:`read_headers` has and ``payload``.
 
-    With ``measures``, expressions over ``payload``, these are taken once from each stored payload
-    and joined instead of its bytes.
+    A record whose payload is not there ends the job. With ``measures``, expressions over ``payload``, these are taken once
+    from each stored payload and joined instead of its bytes.
     """
     payloads = read_payloads(spark, path)
     if measures:
         payloads = payloads.select("address", *[m.alias(name) for name, m in measures.items()])
-    return read_headers(spark, path).join(payloads, "address")
+    found = payloads.withColumn("there", F.lit(True))
+    records = read_headers(spark, path).join(found, "address", "left")
+    lost = F.raise_error(F.concat(F.lit("no payload has the digest "), F.col("address")))
+    first = next(iter(measures), "payload")
+    return records.withColumn(first, F.when(F.col("there"), F.col(first)).otherwise(lost)).drop("there")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
     """``page_id`` and the whole bytes of each record of :func:`read_archive`."""
+    return records.select("page_id", _bytes().alias("record"))
+
+
+def _bytes() -> Column:
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return F.concat("header", body, F.lit(b"\r\n\r\n"))
+
+
+def reconstructed(records: DataFrame) -> DataFrame:
+    """Records of :func:`read_archive` as their bytes have them: ``record``, ``page_id``, ``record_type``, ``refers_to``, ``payload``.
+
+    Each record is put together, and read again: its fields from the lines before the first empty one, its payload
+    from behind the second to the record's end. A revisit has none; its payload is the one joined
+    to it. A length or digest other than the header's ends the job.
+    """
+    gap = "\r\n\r\n"
+    text = F.col("record").cast("string")
+    head = F.substring_index(text, gap, 1)
+
+    def behind(x: Column) -> Column:
+        return F.substr(x, F.instr(x, gap) + len(gap))
+
+    def field(name: str) -> Column:
+        found = F.regexp_extract(F.col("head"), f"\r\n{name}: ([^\r\n]*)", 1)
+        return F.when(found != "", found)
+
+    whole = records.select(_bytes().alias("record"), F.col("payload").alias("joined")).withColumns({"head": head, "content": behind(text)})
+    content = F.left("content", F.length("content") - len(gap))
+    read = whole.withColumn("content", content).select(
+        "record",
+        field("X-Page-Id").cast("long").alias("page_id"),
+        field("WARC-Type").alias("record_type"),
+        field("X-Refers-To-Page-Id").cast("long").alias("refers_to"),
+        field("WARC-Payload-Digest").alias("stated"),
+        (field("Content-Length").cast("long") == F.octet_length("content")).alias("as_long"),
+        F.when(field("WARC-Type") == "response", behind(F.col("content")).cast("binary")).otherwise(F.col("joined")).alias("payload"),
+    )
+    right = F.col("as_long") & (F.concat(F.lit("sha1:"), F.sha1("payload")) == F.col("stated"))
+    wrong = F.raise_error(F.concat(F.lit("a record differs from its header: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("-"))))
+    return read.select("record", "page_id", "record_type", "refers_to", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"))

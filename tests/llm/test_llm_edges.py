@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -140,8 +141,9 @@ def test_language(docs, empty, spark):
     assert len(got) == len(ROWS)
     assert {r.id for r in got if r.lang_pred == "und"} == {3, 4, 5, 8} - {8} | {8}
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
-    kept = language_id.drop_unknown(docs, model)
+    kept = language_id.drop_unknown(docs, model, least=-1e9)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 4
+    assert language_id.drop_unknown(docs, model).count() == 0  # none is like the few words learned
     assert language_id.predict(empty, model).count() == 0
     none = language_id.fit(labelled.where("lang IS NULL"))
     assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
@@ -370,3 +372,44 @@ def test_search_finds_what_a_plain_search_finds(text, items):
 def test_rows_are_picked_once(docs):
     chosen = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"))
     assert pick_rows(docs, chosen).count() == len(set(ROWS))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["#", "##", "\\", "<", "/turn>", "</turn>", ": ", " ", "a", "\n"]), max_size=12).map("".join))
+def test_no_control_string_in_escaped_texts(text):
+    safe = chat_format.escaped(pa.array([text]))[0].as_py()
+    assert "###" not in safe and "</turn>" not in safe and chat_format.unescaped(safe) == text
+    role = chat_format._escaped_roles(pa.array([text]))[0].as_py()
+    assert "###" not in role and "</turn>" not in role and ": " not in role and chat_format.unescaped(role) == text
+
+
+def test_records_are_rebuilt_and_lost_or_changed_ones_refused(spark, tmp_path):
+    big = "ü<html>" + "x" * 2_000 + "\r\n\r\nmore"
+    rows = [(1, "http://a\r\nX: y", "small"), (2, None, big), (3, "u", big), (None, "v", big), (4, "w", None)]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a")
+    warc.write_archive(pages, path, "2024-01-01T00:00:00Z")
+    found = warc.reconstructed(warc.read_archive(spark, path)).collect()
+    assert sorted((r.page_id or 0, bytes(r.payload).decode()) for r in found) == sorted((i or 0, h or "") for i, _, h in rows)
+    whole = {r.page_id: bytes(r.record) for r in found}
+    assert whole[3].count(big.encode()) == 1 and big.encode() not in whole[2] and whole[4].endswith(b"utf-8\r\n\r\n\r\n\r\n")
+    headers = spark.read.parquet(f"{path}/headers")
+    changed = headers.withColumn("header", F.expr("cast(replace(cast(header as string), 'Content-Length: ', 'Content-Length: 1') as binary)"))
+    changed.write.parquet(str(tmp_path / "b/headers"))
+    spark.read.parquet(f"{path}/payloads").write.parquet(str(tmp_path / "b/payloads"))
+    with pytest.raises(Exception, match="differs from its header"):
+        warc.reconstructed(warc.read_archive(spark, str(tmp_path / "b"))).collect()
+    headers.write.parquet(str(tmp_path / "c/headers"))
+    spark.read.parquet(f"{path}/payloads").where("octet_length(payload) < 100").write.parquet(str(tmp_path / "c/payloads"))
+    with pytest.raises(Exception, match="no payload has the digest"):
+        warc.read_archive(spark, str(tmp_path / "c")).collect()
+
+
+def test_language_of_a_text_in_pieces(monkeypatch):
+    text = "Viele Wörter ΟΔΥΣΣΕΥΣ İstanbul und so weiter, " * 60
+    whole = np.concatenate(list(language_id.points_of(text)))
+    monkeypatch.setattr(language_id, "SLICE", 100)
+    for own in (text, text.replace("Σ", "s"), "x" * 1_000):
+        pieces = list(language_id.points_of(own))
+        joined = np.concatenate([pieces[0], *(p[2:] for p in pieces[1:])])
+        assert len(pieces) > 5 and joined.tolist() == [ord(c) for c in f"  {own.lower()} "]
+    assert len(whole) == len(f"  {text.lower()} ")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import sys
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -18,6 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from medialog.llm import chat_format, language_id  # noqa: E402
 from medialog.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -43,17 +47,23 @@ def test_conversations_read_back(spark):
         turns[r.conv_id].append((r.role, r.text or ""))
     turns[-7] = [(role, r"\### Assistant: </turn> ok") for role in ("user", "assistant")]
 
-    def escape(text):
-        return text.replace("\\", "\\\\").replace("###", "\\#\\#\\#").replace("</turn>", "<\\/turn>")
-
     def row(conv, rows):
         learned = "".join(t for r, t in rows if r == "assistant")
         whole = "".join(f"{r}\n{t}\n" for r, t in rows)
-        size = sum(len(f"### {r}: {escape(t)}</turn>\n") for r, t in rows)
-        return conv, len(rows), _sha(whole), len(learned), _sha(learned), size
+        return conv, len(rows), _sha(whole), len(learned), _sha(learned)
 
     got = QUERIES["op2_chat_format"](spark, SF).collect()
-    assert sorted(map(tuple, got)) == sorted(row(c, r) for c, r in turns.items())
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(row(c, r) for c, r in turns.items())
+    # The formatted texts, read by their marks alone.
+    rows = [(c, k, role, text) for c, own in turns.items() for k, (role, text) in enumerate(own)]
+    parts = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "part").collect()
+    for conv, own in turns.items():
+        formatted = "".join(r.text for r in parts if r.conv_id == conv)
+        found = re.findall(r"### ([^:]*): (.*?)</turn>\n", formatted, re.DOTALL)
+        assert len(formatted) == sum(len(r) + len(t) + len("### : </turn>\n") for r, t in found) == next(r.formatted_chars for r in got if r.conv_id == conv)
+        assert [(r, re.sub(r"\\(.)", r"\1", t, flags=re.DOTALL)) for r, t in found] == own
+        assert not any(x in t for _, t in found for x in ("###", "</turn>"))
 
 
 def _sha(text: str) -> str:
@@ -98,7 +108,9 @@ def test_encoding_as_the_library_has_it(spark, docs):
 
 
 def test_pipeline_against_its_plain_version(spark, docs):
-    left = {k: t for k, t in docs.items() if any(c.isalpha() for c in t or "")}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    bayes = plain.Bayes([(langs[k], t) for k, t in docs.items()])
+    left = {k: t for k, t in docs.items() if any(c.isalpha() for c in t or "") and bayes.likely(t) >= -15 * math.log(2)}
     groups = defaultdict(list)
     for k, t in left.items():
         groups[plain.bare(t)].append(k)
@@ -117,3 +129,23 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.where("kept <> 'mine'").count() == 0, name
+
+
+def test_language_against_a_plain_naive_bayes(spark, docs):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in docs}
+    langs = {r.doc_id: r.lang for r in rows.collect()}
+    bayes = plain.Bayes([(langs[k], t) for k, t in docs.items() if not out[k]])
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, SF).collect()}
+    for k, text in docs.items():
+        lang, score = bayes.predict(text)
+        assert (got[k].lang_pred, got[k].held_out) == (lang, out[k]) and abs(got[k].score - score) < 1e-3
+
+
+def test_gibberish_is_no_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "qqq zzz jjj xxk vvv"), (-2, "12 !!"), (-3, None), (-4, "xkqj zzvw " * 200_000)], "doc_id long, text string")
+    model = language_id.fit(docs)
+    left = language_id.drop_unknown(docs.select("doc_id", "text").union(odd), model)
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert language_id.drop_unknown(odd, language_id.fit(docs.where("false"))).count() == 2
