@@ -17,6 +17,7 @@ documents there are.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import uuid
 from bisect import bisect_right
@@ -25,19 +26,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialog.llm.common import prepared, row_hash, slices, worker_tables, written
 from medialog.llm.running import running
-from medialog.llm.vocabulary import read_vocabulary, tokenizer
+from medialog.llm.token_counts import PRE_TOKENS
+from medialog.llm.vocabulary import AGREED, byte_alphabet, read_vocabulary, tokenizer
 
 CAPACITY = 1024
 END_ID = 2
 # Dead ends of a search for a better packing before it is given up; fillings tried at each node.
 DEAD_ENDS = 60
 FILLINGS = 32
+# Fillings looked at for these, dominated ones included.
+LOOKED = 500
 # A search takes fillings with as much waste as a sequence may have on the average, times this, for equally good.
 SLACKS = (4, 2, 1, 8, 0)
 # Bytes of a worker's cache; characters of a chunk that is cached; of a text encoded at once.
@@ -137,15 +142,16 @@ def fillings(counts: dict[int, int], room: int, most: int, slack: int = 0) -> It
         if not least:
             yield chosen
 
-    found, slack = 0, min(slack, room)
+    found, looked, slack = 0, 0, min(slack, room)
     for least, top in [(room - slack, room), *((x, x) for x in range(room - slack - 1, -1, -1))]:
         for filling in grow(0, least, top, ()) if reached(0, least, top) else ():
+            looked += 1
             left = room - sum(s * n for s, n in filling)
             if not _dominated(counts, sizes, left, filling):
                 yield filling
                 found += 1
-                if found == most:
-                    return
+            if found == most or looked > LOOKED and found:
+                return
         if found and sizes and room - least >= sizes[0]:
             return  # any piece would still fit
 
@@ -251,17 +257,42 @@ def _complete(counts: dict[int, int], capacity: int, slack: float, fewest: int,
 # Tokens
 
 
+def ranks_of(vocabulary: str) -> dict[bytes, int] | None:
+    """Ids by bytes, if merging the pair of least id gives what the library gives; else nothing.
+
+    It does if merges come in the order of their ids and every token's own text becomes that token: two parts that make up a token
+    without being its merge then never stand side by side, as this token's text would have stopped there too.
+    """
+    spec = json.loads(vocabulary)
+    model, ids = spec["model"], spec["model"]["vocab"]
+    split = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    added = {x["content"] for x in spec["added_tokens"]}
+    tokens = {t: i for t, i in ids.items() if t not in added}
+    library = tokenizer(vocabulary).model
+    if merged != sorted(merged) or any([x.id for x in library.tokenize(t)] != [i] for t, i in tokens.items()):
+        return None
+    back = {c: b for b, c in byte_alphabet().items()}
+    return {bytes(back[c] for c in t): i for t, i in tokens.items()}
+
+
 class Encoder:
-    """Token ids of texts as the library gives them, by chunks that start at a space.
+    """Token ids of texts as the library gives them.
 
-    A space between two characters that are not white space starts a new pre-token in byte-level vocabularies, so chunks
-    are encoded apart. Chunks are kept, up to a number of bytes.
+    Texts are merged by ``ranks`` where these do as the library does and all characters are of one class in every
+    Unicode version. Others go to the library by chunks that start at a space, which are kept, up to a number of bytes. A
+    space between two characters that are not white space starts a new pre-token in byte-level vocabularies, so chunks, and blocks of a
+    long text, are encoded apart.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: dict[bytes, int] | None = None):
         self.library = tokenizer(vocabulary)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.merger = ranks and tiktoken.Encoding("ranks", pat_str=PRE_TOKENS.pattern, mergeable_ranks=ranks, special_tokens={})
         self.cache = _Cache(self.encoded)
 
     def encoded(self, text: str) -> bytes:
@@ -272,22 +303,25 @@ class Encoder:
         if self.special and self.special.search(text):
             return self.encoded(text)
         if len(text) <= PIECE:
-            return self._chunks(text)
+            return self._block(text)
         out, at = [], 0
         while at < len(text):
             cut = _SPACE.search(text, at + PIECE)
             end = cut.start() if cut else len(text)
-            out.append(self._chunks(text[at:end]))
+            out.append(self._block(text[at:end]))
             at = end
         return b"".join(out)
 
-    def _chunks(self, text: str) -> bytes:
+    def _block(self, text: str) -> bytes:
+        if self.merger and not _OTHER.search(text):
+            return self.merger.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         chunks = _SPACE.split(text) if "  " in text else text.split(" ")
         first = self.cache[chunks[0]] if chunks[0] else b""
         return first + b"".join(map(self.cache.__getitem__, [" " + c for c in chunks[1:]]))
 
 
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
+_OTHER = re.compile(f"[^{AGREED}]")
 
 
 class _Cache(dict):
@@ -312,10 +346,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """A row per piece: ``id``, ``row`` (hash of the text), ``nth`` (tells rows of ``docs`` apart), ``piece``, ``start``,
     ``length``, ``ids_crc32``. Written to the shared folder."""
     spark = prepared(docs.sparkSession)
-    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(read_vocabulary(path))
+    vocabulary = read_vocabulary(path)
+    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((vocabulary, ranks_of(vocabulary)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_tables("packing", name, lambda: Encoder(shared.value))
+        encoder = worker_tables("packing", name, lambda: Encoder(*shared.value))
         end, done = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             place, piece, start, length, crc = [], [], [], [], []
