@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from medialog.functions import taxonomy
 
 
+# Parts two texts; for matching it is a space.
+_UNIT = "\x1f"
+
+
 def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
@@ -19,15 +23,17 @@ def match_category(df: DataFrame, column: str) -> DataFrame:
     as a pair, any part as a subcategory, any part as a category. The whole job is one narrow
     pass over the rows.
     """
-    text = F.trim(F.col(column))
+    text = F.translate(F.trim(F.col(column)), _UNIT, " ")
     # Separators are recognised before decomposition, so parts are split first.
     parts_text = F.array_join(
         F.filter(F.transform(F.split(text, taxonomy.PATH_SEPARATOR), lambda p: F.trim(p)), lambda p: p != ""), "\n"
     )
-    keyed = df.withColumns(
+    # Whole text and parts are decomposed together, as that leaves Spark.
+    pieces = F.split(taxonomy.decomposed(F.concat(text, F.lit(_UNIT), parts_text)), _UNIT)
+    keyed = df.withColumn("__pieces", pieces).withColumns(
         {
-            "__whole": taxonomy.fold(taxonomy.decomposed(text)),
-            "__parts": F.transform(F.split(taxonomy.decomposed(parts_text), "\n"), lambda p: taxonomy.fold(p)),
+            "__whole": taxonomy.fold(F.get("__pieces", F.lit(0))),
+            "__parts": F.transform(F.split(F.get("__pieces", F.lit(1)), "\n"), lambda p: taxonomy.fold(p)),
         }
     )
     names = _map(taxonomy.category_names())

@@ -159,10 +159,18 @@ def capped_diagnostics(diagnostics: DataFrame, by: list[str], order: list[str],
     )
 
 
-def to_scan_rows(counters: DataFrame, diagnostics: DataFrame, started_at, finished_at, trigger: str) -> DataFrame:
-    """Log rows of one pass: a row per show, diagnostics as capped JSON lists."""
+def all_diagnostics(diagnostics: DataFrame) -> DataFrame:
+    """Every diagnostic of a pass as a table of its own; the log's lists are cut."""
+    return diagnostics.select("show_id", "level", F.col("file"), F.col("message"), F.col("code"))
+
+
+def to_scan_rows(counters: DataFrame, diagnostics: DataFrame, started_at, finished_at, trigger: str, n: int = MAX_DIAGNOSTICS) -> DataFrame:
+    """Log rows of one pass: a row per show, the first ``n`` diagnostics of each level as JSON lists, the rest counted.
+
+    :func:`all_diagnostics` has the rest.
+    """
     capped = capped_diagnostics(
-        diagnostics.withColumns({"code": F.col("code"), "file": F.col("file")}), ["show_id", "level"], ["code", "file"]
+        diagnostics.withColumns({"code": F.col("code"), "file": F.col("file")}), ["show_id", "level"], ["code", "file"], n
     )
     lists = capped.groupBy("show_id").agg(
         *[

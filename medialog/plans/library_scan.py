@@ -14,7 +14,7 @@ from medialog.operators.discover import apply_discovery, discover, new_shows
 from medialog.operators.joins import lookup_join
 from medialog.operators.lifecycle import sweep_missing
 from medialog.operators.reconcile import conform, fast_match, reconcile
-from medialog.operators.scan_log import to_scan_rows, trim_scans, with_total
+from medialog.operators.scan_log import all_diagnostics, to_scan_rows, trim_scans, with_total
 from medialog.schemas import LISTING, SCAN_LOG, SHOWS
 from medialog.session import workspace
 from medialog.sources.listing import files_of, with_identity
@@ -149,20 +149,20 @@ def sweep(
 def store_sweep(
     store: Store, result: Sweep, started_at: datetime, finished_at: datetime, trigger: str, base: dict[str, int], keep_scans: int | None = None
 ) -> None:
-    """Write the snapshots and append the scan log.
+    """Write the snapshots and append the scan log, with all diagnostics in a table of their own.
 
     ``base`` has the version read of each of ``episodes``, ``shows`` and ``scan_log``; a table that another
     writer moved on since then fails. ``keep_scans`` limits the rows of the scan log, all shows
-    together; by default none is dropped.
+    together; by default none is dropped. After a crash the sweep of the same start and ``base`` can be stored
+    again: what it has written is passed over.
     """
-    store.write_snapshot("episodes", result.episodes, expected=base["episodes"])
-    store.write_snapshot("shows", result.shows, expected=base["shows"])
-    rows = to_scan_rows(
-        with_total(result.counters),
-        result.diagnostics.unionByName(folder_diagnostics(result.folder_verdicts, result.unread), allowMissingColumns=True),
-        started_at, finished_at, trigger,
-    )
     stamp = int(started_at.replace(tzinfo=timezone.utc).timestamp() * 1000)
+    label = f"sweep-{stamp}"
+    store.write_snapshot("episodes", result.episodes, base["episodes"], label)
+    store.write_snapshot("shows", result.shows, base["shows"], label)
+    diagnostics = result.diagnostics.unionByName(folder_diagnostics(result.folder_verdicts, result.unread), allowMissingColumns=True)
+    store.write_diagnostics(all_diagnostics(diagnostics), label)
+    rows = to_scan_rows(with_total(result.counters), diagnostics, started_at, finished_at, trigger)
     keyed = rows.withColumn("id", F.xxhash64(F.lit(stamp), "show_id"))
     log = store.read("scan_log", base["scan_log"]).unionByName(conform(keyed, SCAN_LOG))
-    store.write_snapshot("scan_log", trim_scans(log, keep_scans) if keep_scans else log, expected=base["scan_log"])
+    store.write_snapshot("scan_log", trim_scans(log, keep_scans) if keep_scans else log, base["scan_log"], label)

@@ -11,7 +11,9 @@ from medialog.functions.moments import local_date, local_midnight
 from medialog.functions.text import csv_cell
 from medialog.operators import access_log, rollups, series
 from medialog.operators.access_log import AccessFilter
+from medialog.plans import buckets
 from medialog.registry.core import FRM, NOW, REGISTRY, TO
+from medialog.session import workspace
 from medialog.sources import requests
 
 LOG = ("media_access",)
@@ -296,16 +298,15 @@ def _(t):
     return out.select(*flat, "last_at", "last_ever_at")
 
 
-@REGISTRY.add(
-    "busiest_episodes",
-    f"""SELECT a.episode_id, e.title, s.title AS show_title, s.slug AS show_slug,
+BUSIEST = f"""SELECT a.episode_id, e.title, s.title AS show_title, s.slug AS show_slug,
   COUNT(*) FILTER (WHERE kind = 'download') AS downloads, COUNT(*) FILTER (WHERE kind = 'stream') AS streams,
   CAST(COALESCE(SUM(bytes_sent), 0) AS BIGINT) AS bytes, MAX(requested_at) AS last_at
 FROM media_access a JOIN episodes e ON e.id = a.episode_id JOIN shows s ON s.id = a.show_id
 WHERE {MEDIA} AND status_code < 400 AND {PERIOD} GROUP BY ALL
-ORDER BY downloads DESC, streams DESC, bytes DESC, episode_id LIMIT 10""",
-    ALL,
-)
+ORDER BY downloads DESC, streams DESC, bytes DESC, episode_id LIMIT 10"""
+
+
+@REGISTRY.add("busiest_episodes", BUSIEST, ALL)
 def _(t):
     return rollups.busiest(t.media_access, t.episodes, t.shows, 10, FRM, TO)
 
@@ -315,6 +316,20 @@ BY_CLIENT = f"""SELECT COALESCE(client, 'Unknown') AS client, COUNT(*) FILTER (W
 FROM media_access WHERE {MEDIA} AND status_code < 400 AND {PERIOD} GROUP BY 1"""
 
 
+def _buckets(t):
+    return buckets.write_buckets(t.media_access, t.episodes, workspace(t.spark, "buckets"), 16)
+
+
+@REGISTRY.add("bucketed_log_enriched", ENRICHED, ALL)
+def _(t):
+    return access_log.with_outcome_flags(buckets.enrich_log(_buckets(t), t.shows))
+
+
+@REGISTRY.add("bucketed_busiest", BUSIEST, ALL)
+def _(t):
+    return buckets.busiest(_buckets(t), t.shows, 10, FRM, TO)
+
+
 @REGISTRY.add("by_client", BY_CLIENT, LOG)
 def _(t):
     return rollups.by_client(t.media_access, FRM, TO)

@@ -10,7 +10,6 @@ from medialog.registry.core import NOW, REGISTRY
 from medialog.registry.publishing import BASE, BOTH, FEED_SQL, VERSION_SQL
 from medialog.session import workspace
 from medialog.sources.fixtures import streamed
-from medialog.sources.requests import enrich_requests
 from medialog.sources.store import read_log
 from medialog.streaming import daily, feed_versions, ingest, signin_alerts
 
@@ -51,11 +50,11 @@ FROM en WHERE kind IN ('download', 'stream') GROUP BY ALL""",
 )
 def _(t):
     path = workspace(t.spark, "daily")
-    for part in (0, 1):
-        t.raw_request.where(F.col("request_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    log = enrich_requests(ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1))
-    _drain(daily.follow(log, f"{path}/steps", f"{path}/checkpoint"))
-    return daily.daily_by_show(t.spark.read.parquet(f"{path}/steps"), "America/New_York")
+    _deliver(t.raw_request, f"{path}/in")
+    raw = ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1)
+    _drain(ingest.ingest(raw, f"{path}/log", f"{path}/ingested"))
+    _drain(daily.follow(daily.log_stream(t.spark, f"{path}/log"), lambda: read_log(t.spark, f"{path}/log"), f"{path}/steps", f"{path}/checkpoint"))
+    return daily.daily_by_show(daily.read_totals(t.spark, f"{path}/steps"), "America/New_York")
 
 
 @REGISTRY.add(
@@ -73,6 +72,26 @@ def _(t):
     return t.spark.read.schema("username STRING, window_end TIMESTAMP, failures BIGINT").parquet(f"{path}/alerts")
 
 
+@REGISTRY.add(
+    "stream_signin_attempts",
+    """WITH w AS (SELECT a.username, a.id, a.attempted_at, a.succeeded,
+    (SELECT COUNT(*) FROM login_attempts b WHERE b.username = a.username AND b.succeeded = 0
+     AND b.attempted_at <= a.attempted_at AND b.attempted_at >= a.attempted_at - INTERVAL 15 MINUTE) AS trailing_failures,
+    (SELECT COUNT(*) FROM login_attempts b WHERE b.username = a.username AND b.succeeded = 0
+     AND (b.attempted_at, b.id) <= (a.attempted_at, a.id) AND b.attempted_at >= a.attempted_at - INTERVAL 15 MINUTE
+     AND NOT EXISTS (SELECT 1 FROM login_attempts c WHERE c.username = a.username AND c.succeeded = 1
+       AND (c.attempted_at, c.id) >= (b.attempted_at, b.id) AND (c.attempted_at, c.id) <= (a.attempted_at, a.id))) AS failures
+  FROM login_attempts a)
+SELECT * FROM w WHERE trailing_failures >= 2
+AND date_trunc('minute', attempted_at + INTERVAL 59999 MILLISECOND) <= (SELECT MAX(attempted_at) - INTERVAL 10 MINUTE FROM login_attempts)""",
+    ("login_attempts",),
+)
+def _(t):
+    path = workspace(t.spark, "attempts")
+    _drain(signin_alerts.watch_attempts(streamed(t.spark, t.sf_dir, "login_attempts"), f"{path}/alerts", f"{path}/checkpoint"))
+    return t.spark.read.schema(signin_alerts.ALERT_SCHEMA).parquet(f"{path}/alerts")
+
+
 @REGISTRY.add(
     "stream_feed_versions",
     f"{FEED_SQL}, {VERSION_SQL} SELECT vs.show_id, vs.version, lb.last_build_at AS modified_at FROM vs JOIN lb USING (show_id)",

@@ -23,6 +23,8 @@ SCAN_LOG = """id BIGINT, show_id STRING, started_at TIMESTAMP, finished_at TIMES
   files_found INT, added INT, updated INT, missing INT, removed INT, errors_json STRING,
   warnings_json STRING, note STRING"""
 
+SCAN_DIAGNOSTICS = "show_id STRING, level STRING, file STRING, message STRING, code STRING"
+
 LOGIN_ATTEMPTS = """id BIGINT, username STRING, attempted_at TIMESTAMP, succeeded INT, source STRING"""
 
 REMOVED_FOLDERS = "slug STRING, removed_at TIMESTAMP"

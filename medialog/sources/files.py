@@ -38,3 +38,10 @@ def subfolders(path: str) -> list[str]:
 
     system, name = file_system(path)
     return sorted(f.base_name for f in system.get_file_info(FileSelector(name, allow_not_found=True)) if f.type == FileType.Directory)
+
+
+def is_file(path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    system, name = file_system(path)
+    return system.get_file_info(name).type == FileType.File

@@ -1,7 +1,8 @@
 """Tables on shared storage: an append-only log by day, and snapshots by number.
 
 Parquet has no in-place update, so a changed table is written whole as the next number, a folder of
-its own that must not exist yet: of two writers that start from the same number the second fails.
+its own: a writer that starts from a number after which another has been written fails. A folder counts once it is
+finished; one that is not is left from a crash, and the next writer replaces it.
 Which number is to be read is the caller's to keep; :meth:`Store.current` finds the highest.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialog import schemas
-from medialog.sources.files import file_system
+from medialog.sources.files import file_system, is_file, subfolders
 
 TABLES = {
     "shows": schemas.SHOWS,
@@ -27,6 +28,7 @@ TABLES = {
     "settings": schemas.SETTINGS,
 }
 DAY, BATCH = "requested_date", "batch"
+_MARK = "written_by"
 
 
 def append_log(rows: DataFrame, path: str, batch: str) -> None:
@@ -59,14 +61,15 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self, name: str) -> int:
-        """The highest number of a snapshot table; 0 before the first."""
-        try:
-            files = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}").inputFiles()
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
-        return max((int(m[1]) for f in files if (m := re.search(r"/version=(\d+)/", f))), default=0)
+        """The highest number of a snapshot table that is finished; 0 before the first."""
+        folders = [f for f in subfolders(f"{self.root}/{name}") if re.fullmatch(r"version=\d+", f)]
+        for version in sorted((int(f.split("=")[1]) for f in folders), reverse=True):
+            if self._finished(name, version):
+                return version
+        return 0
+
+    def _finished(self, name: str, version: int) -> bool:
+        return is_file(f"{self.root}/{name}/version={version}/_SUCCESS")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         version = self.current(name) if version is None else version
@@ -74,12 +77,37 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/version={version}")
 
-    def write_snapshot(self, name: str, df: DataFrame, expected: int | None = None) -> int:
-        """Write the number after ``expected``, by default after the highest; fails if it is there."""
+    def write_snapshot(self, name: str, df: DataFrame, expected: int | None = None, label: str | None = None) -> int:
+        """Write the number after ``expected``, by default after the highest; fails if it is there.
+
+        With a ``label`` that names what is written, a number that is there under this label is left as it is: what was
+        already written is passed over when a job is run again.
+        """
         version = (self.current(name) if expected is None else expected) + 1
-        df.write.mode("errorifexists").parquet(f"{self.root}/{name}/version={version}")
+        path = f"{self.root}/{name}/version={version}"
+        finished = self._finished(name, version)
+        if finished and label is not None and self._label(path) == label:
+            return version
+        # The label is part of the schema, so it is there exactly if the rows are.
+        mark = F.lit(True).alias(_MARK, metadata={"label": label or ""})
+        df.select("*", mark).write.mode("errorifexists" if finished else "overwrite").parquet(path)
         return version
 
+    def _label(self, path: str) -> str | None:
+        fields = {f.name: f for f in self.spark.read.parquet(path).schema.fields}
+        return fields[_MARK].metadata.get("label") if _MARK in fields else None
+
+    def write_diagnostics(self, rows: DataFrame, scan: str) -> None:
+        """All diagnostics of a scan; writing those of a scan again replaces them."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/scan_diagnostics/scan={scan}")
+
+    def diagnostics(self) -> DataFrame:
+        """Diagnostics of all scans, with the name of the ``scan``."""
+        schema = f"{schemas.SCAN_DIAGNOSTICS}, scan STRING"
+        if not subfolders(f"{self.root}/scan_diagnostics"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/scan_diagnostics")
+
     def append_access(self, rows: DataFrame, batch: str | None = None) -> None:
         """Append log rows; a batch of the same name is replaced."""
         append_log(rows, f"{self.root}/media_access", batch or uuid.uuid4().hex)

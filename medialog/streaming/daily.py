@@ -1,17 +1,41 @@
-"""Running daily figures of every show."""
+"""Running daily figures of every show.
+
+The job follows the log. Counters per show and quarter hour are kept in state while the quarter hour is recent, and each batch writes
+those that it changed. A row of an older quarter hour has no state to be added to: its quarter hour is counted anew from
+the log, which holds the row, and replaced.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from medialog.functions.moments import local_date
-from medialog.operators.access_log import is_media
+from medialog.operators.access_log import is_media, succeeded
 from medialog.operators.rollups import COUNTERS, media_measures, named
+from medialog.schemas import MEDIA_ACCESS
+from medialog.sources.store import BATCH, DAY
+from medialog.streaming.ingest import ARRIVED, HORIZON, once
+from medialog.streaming.state import keyed_state
 
 # Quarter hours tile local days in every zone in use today.
 STEP = "15 minutes"
+_STEP_MICROS = 15 * 60 * 1_000_000
+_TOTALS = "step_start TIMESTAMP, show_id STRING, downloads BIGINT, streams BIGINT, failures BIGINT, bytes BIGINT, epoch BIGINT"
+_COUNTED = "show_id STRING, step BIGINT, arrived BIGINT, downloads BIGINT, streams BIGINT, failures BIGINT, bytes BIGINT"
+_UNITS = {"day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1_000}
+
+
+def milliseconds(text: str) -> int:
+    """Of an interval like '2 days'."""
+    number, unit = re.fullmatch(r"(\d+) (\w+?)s?", text).groups()
+    return int(number) * _UNITS[unit]
 
 
 def step_totals(log: DataFrame) -> DataFrame:
@@ -24,27 +48,121 @@ def step_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def follow(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals at ``path`` up to date: each batch adds what it counted.
+def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Rows as they come into a stored log. Files that a repeated batch has replaced meanwhile are passed over."""
+    reader = spark.readStream.schema(f"{MEDIA_ACCESS}, {DAY} DATE, {BATCH} STRING").option("ignoreMissingFiles", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def _step(at: Column) -> Column:
+    return F.floor(F.unix_micros(at) / _STEP_MICROS)
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters added up in the task, so that a busy show sends few rows on."""
+    for batch in batches:
+        keys = ["show_id", "step", "arrived"]
+        sums = pa.Table.from_batches([batch]).group_by(keys).aggregate([(c, "sum") for c in COUNTERS])
+        yield from sums.select([*keys, *(f"{c}_sum" for c in COUNTERS)]).rename_columns([*keys, *COUNTERS]).to_batches()
+
+
+class Steps(StatefulProcessor):
+    """Counters of one show and quarter hour while it is recent; else word that it is to be counted anew.
+
+    The clock is the time of the batch that rows arrive in. The event-time watermark follows it, a horizon behind, and ends the state.
+    """
+
+    def __init__(self, horizon: int):
+        self.horizon = horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("counters", ", ".join(f"{c} BIGINT" for c in (*COUNTERS, "ends")))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sums, now = [0] * len(COUNTERS), 0
+        for frame in rows:
+            sums = [s + int(frame[c].sum()) for s, c in zip(sums, COUNTERS, strict=True)]
+            now = max(now, int(frame["arrived"].max()))
+        show, step = key
+        recent = step * (_STEP_MICROS // 1_000) >= now - self.horizon
+        if recent:
+            if self.state.exists():
+                *before, ends = self.state.get()
+                sums = [s + old for s, old in zip(sums, before, strict=True)]
+                self.handle.deleteTimer(ends)
+            # The watermark is here a horizon from now, when the quarter hour is no longer recent.
+            self.handle.registerTimer(now + _STEP_MICROS // 1_000)
+            self.state.update((*sums, now + _STEP_MICROS // 1_000))
+        yield pd.DataFrame({"show_id": [show], "step": [step], **{c: [s] for c, s in zip(COUNTERS, sums, strict=True)}, "anew": [not recent]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(log: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Of a stream of log rows the counters of what each batch changed; ``anew`` where they are not whole."""
+    keyed_state(log.sparkSession)
+    ok = F.coalesce(succeeded(), F.lit(False))
+    parts = {
+        "downloads": ok & (F.col("kind") == "download"),
+        "streams": ok & (F.col("kind") == "stream"),
+        "failures": ~F.coalesce(succeeded(), F.lit(True)),
+    }
+    rows = once(log, "id", horizon).where(is_media() & F.col("requested_at").isNotNull()).select(
+        "show_id", _step(F.col("requested_at")).alias("step"), F.unix_millis(ARRIVED).alias("arrived"), *[c.cast("bigint").alias(n) for n, c in parts.items()], F.coalesce("bytes_sent", F.lit(0)).cast("bigint").alias("bytes")
+    )
+    return rows.mapInArrow(_combined, _COUNTED).groupBy("show_id", "step").transformWithStateInPandas(
+        Steps(milliseconds(horizon)), f"show_id STRING, step BIGINT, {', '.join(f'{c} BIGINT' for c in COUNTERS)}, anew BOOLEAN", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def follow(log: DataFrame, stored: Callable[[], DataFrame], path: str, checkpoint: str, horizon: str = HORIZON) -> StreamingQuery:
+    """Keep the totals at ``path`` up to date with a stream of log rows; ``stored`` gives the log itself.
 
-    Counters add up, so a late row needs no state: it is counted in the batch that brings it.
+    A row counts once, however often its file is written again. What is older than the horizon when it arrives is counted
+    from the log, in the days it belongs to; so is everything when the job first meets a log.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # A replayed batch overwrites its own folder.
-        step_totals(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch = batch.persist()
+        try:
+            start = F.timestamp_micros(F.col("step") * _STEP_MICROS)
+            whole = batch.where("NOT anew").select(start.alias("step_start"), "show_id", *COUNTERS)
+            missing = batch.where("anew").select(F.col("show_id").alias("of_show"), F.col("step").alias("of_step"))
+            if not missing.isEmpty():
+                rows = stored().where(is_media())
+                if DAY in rows.columns:
+                    days = missing.select(F.to_date(F.timestamp_micros(F.col("of_step") * _STEP_MICROS)).alias(DAY)).distinct()
+                    rows = rows.join(days, DAY, "left_semi")
+                same = rows["show_id"].eqNullSafe(F.col("of_show")) & (_step(rows["requested_at"]) == F.col("of_step"))
+                whole = whole.unionByName(step_totals(rows.join(missing, same, "left_semi")))
+            whole.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/changes-{epoch}")
+        finally:
+            batch.unpersist()
 
+    log.sparkSession.createDataFrame([], _TOTALS).write.mode("ignore").parquet(f"{path}/none")
     return (
-        log.writeStream.foreachBatch(write)
+        running_totals(log, horizon)
+        .writeStream.foreachBatch(write)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def merged(totals: DataFrame) -> DataFrame:
-    """Written steps of many batches as one row per show and quarter hour, to be stored in their place."""
-    return totals.groupBy("show_id", "step_start").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Counters per show and quarter hour: the last that were written."""
+    rows = spark.read.schema(_TOTALS).option("recursiveFileLookup", "true").parquet(path)
+    last = F.max_by(F.struct(*COUNTERS), "epoch").alias("last")
+    return rows.groupBy("show_id", "step_start").agg(last).select("show_id", "step_start", "last.*")
 
 
 def daily_by_show(totals: DataFrame, zone: str) -> DataFrame:

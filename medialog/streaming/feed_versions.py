@@ -43,7 +43,7 @@ class Versions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("version", "version STRING, modified BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = None
         for frame in rows:
             for seen in frame[["observed", "version", "built"]].itertuples(index=False, name=None):

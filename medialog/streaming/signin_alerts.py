@@ -1,12 +1,17 @@
-"""Alerts on repeated sign-in failures."""
+"""Alerts on repeated sign-in failures: by window ends, or exactly, at every attempt."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from medialog.operators.signin import BACKOFF_STEPS, WINDOW_MINUTES
+from medialog.streaming.state import keyed_state
 
 LATENESS = "10 minutes"
 # The first number of failures that makes a user wait.
@@ -37,3 +42,99 @@ def watch(attempts: DataFrame, path: str, checkpoint: str, slide: str = "1 minut
         .trigger(availableNow=True)
         .start()
     )
+
+
+_MINUTE = 60_000
+_COUNTS = "username STRING, id BIGINT, at BIGINT, succeeded INT, trailing_failures BIGINT, failures BIGINT"
+
+
+class Trailing(StatefulProcessor):
+    """A user's attempts that the watermark has not passed, and the failures of the window before it.
+
+    Attempts wait for the watermark, so that they are counted in the order of their times. A timer on the minute after an attempt
+    counts what has waited; failures that have left the window go with it.
+    """
+
+    def __init__(self, minutes: int):
+        self.length = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at BIGINT, id BIGINT, succeeded INT")
+        self.past = handle.getListState("failures", "at BIGINT, since BOOLEAN")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        minutes = set()
+        for frame in rows:
+            new = [(int(a), int(i), int(s)) for a, i, s in frame[["at", "id", "succeeded"]].itertuples(index=False, name=None)]
+            self.waiting.appendList(new)
+            minutes.update(-(-a // 1_000 // _MINUTE) * _MINUTE for a, _, _ in new)
+        for minute in minutes:
+            self.handle.registerTimer(minute)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1_000
+        waiting = sorted(tuple(x) for x in self.waiting.get())
+        due = [x for x in waiting if x[0] <= limit]
+        if not due:
+            # The timer that outlives the failures.
+            if not waiting:
+                self.past.clear()
+            return
+        # Times of failures in order, and of those not yet forgotten for a success.
+        past = sorted(tuple(x) for x in self.past.get())
+        times = [a for a, _ in past] + [a for a, _, s in due if not s]
+        since = [a for a, s in past if s]
+        out = []
+        for at, id_, succeeded in due:
+            since = [] if succeeded else since
+            if not succeeded:
+                since.append(at)
+            first = at - self.length
+            out.append((key[0], id_, at, succeeded, bisect_right(times, at) - bisect_left(times, first), len(since) - bisect_left(since, first)))
+        first = due[-1][0] - self.length
+        held = len(since) - bisect_left(since, first)
+        kept = times[bisect_left(times, first) :]
+        past = [(a, k >= len(kept) - held) for k, a in enumerate(kept)]
+        self.past.clear()
+        if past:
+            self.past.put(past)
+            self.handle.registerTimer((-(-(past[-1][0] + self.length) // 1_000 // _MINUTE) + 1) * _MINUTE)
+        left = waiting[len(due) :]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+        yield pd.DataFrame(out, columns=["username", "id", "at", "succeeded", "trailing_failures", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def trailing(attempts: DataFrame, minutes: int = WINDOW_MINUTES, lateness: str = LATENESS) -> DataFrame:
+    """Of a stream of attempts, each one that the watermark has passed, with ``trailing_failures``, the user's failures in the
+    minutes up to it, as in :func:`operators.signin.trailing_failures`, and ``failures``, those since the last success.
+    """
+    keyed_state(attempts.sparkSession)
+    rows = attempts.withWatermark("attempted_at", lateness).where("username IS NOT NULL").select(
+        "username", "attempted_at", "id", F.unix_micros("attempted_at").alias("at"), "succeeded"
+    )
+    found = rows.groupBy("username").transformWithStateInPandas(Trailing(minutes), _COUNTS, outputMode="Append", timeMode="EventTime")
+    return found.select("username", "id", F.timestamp_micros("at").alias("attempted_at"), "succeeded", "trailing_failures", "failures")
+
+
+def watch_attempts(attempts: DataFrame, path: str, checkpoint: str, threshold: int = THRESHOLD, lateness: str = LATENESS) -> StreamingQuery:
+    """Append every attempt that has at least ``threshold`` failures in the window up to it."""
+    return (
+        trailing(attempts, lateness=lateness)
+        .where(F.col("trailing_failures") >= threshold)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+ALERT_SCHEMA = "username STRING, id BIGINT, attempted_at TIMESTAMP, succeeded INT, trailing_failures BIGINT, failures BIGINT"

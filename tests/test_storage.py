@@ -14,9 +14,10 @@ from test_feeds import shows
 from test_reconcile import NOW, T0, episodes, files
 from test_streaming import raw
 
-from medialog.operators import artwork, discover, lifecycle, patches
-from medialog.operators.access_log import AccessFilter, trim_access, within
+from medialog.operators import artwork, discover, lifecycle, patches, rollups
+from medialog.operators.access_log import AccessFilter, enrich_log, trim_access, within
 from medialog.operators.reconcile import conform
+from medialog.plans import buckets
 from medialog.plans.library_scan import NewShows, listed_files, store_sweep, sweep
 from medialog.plans.stats_page import stats_page
 from medialog.schemas import EPISODES, REMOVED_FOLDERS, SCAN_LOG
@@ -316,3 +317,71 @@ def test_a_folder_scanned_twice(spark, tmp_path):
     assert (found["fresh"].cover_filename, found["fresh"].cover_format) == ("cover.png", "png")
     assert third["_new.mp3"].show_id == found["fresh"].id and third["_new.mp3"].status == "active"
     assert found["club"].updated_at == {r.slug: r for r in dims.collect()}["club"].updated_at
+
+
+def test_a_crashed_snapshot_is_replaced(spark, scratch):
+    store = Store(spark, scratch)
+    rows = spark.createDataFrame([("i", "k", "v")], TABLES["settings"])
+    for version in (1, 2):
+        left = Path(scratch, "settings", f"version={version}", "_temporary", "0")
+        left.mkdir(parents=True)
+        (left / "part-0.parquet").write_bytes(b"half a file")
+        assert store.current("settings") == version - 1
+        assert store.write_snapshot("settings", rows) == version == store.current("settings")
+        assert store.read("settings").collect() == rows.collect()
+
+
+def test_a_sweep_is_stored_again_after_a_crash(spark, tmp_path, monkeypatch):
+    found = files(spark, dict(filename="a.mp3", identity_key="a"), *[dict(filename=f"x{k}.wma") for k in range(60)])
+    folders = spark.createDataFrame([("on-disk",)], "slug STRING")
+    real, stored = Store.write_snapshot, []
+    for step in range(4):
+        store = Store(spark, str(tmp_path / f"store{step}"))
+        base = {"scan_log": 0, "shows": store.write_snapshot("shows", shows(spark, dict(id="s", slug="on-disk")))}
+        base["episodes"] = store.write_snapshot("episodes", episodes(spark, dict(id="lost", filename="b.mp3", identity_key="b")))
+
+        def once(calls=[step]):  # noqa: B006
+            def write(self, *args, **named):
+                if not calls[0]:
+                    raise OSError("crash")
+                calls[0] -= 1
+                return real(self, *args, **named)
+
+            return write
+
+        result = sweep(found, folders, store.read("shows"), store.read("episodes"), spark.createDataFrame([], REMOVED_FOLDERS), None, NOW, "k1", 3600)
+        monkeypatch.setattr(Store, "write_snapshot", once())
+        if step < 3:
+            with pytest.raises(OSError, match="crash"):
+                store_sweep(store, result, NOW, NOW, "manual", base)
+        monkeypatch.setattr(Store, "write_snapshot", real)
+        store_sweep(store, result, NOW, NOW, "manual", base)
+        assert store.current("episodes") == 2 and store.current("shows") == 2 and store.current("scan_log") == 1
+        stored.append((sorted(store.read("episodes").collect(), key=str), sorted(store.read("scan_log").collect(), key=str)))
+        # Another sweep from the same base does not pass for this one.
+        with pytest.raises(AnalysisException):
+            store_sweep(store, result, NOW + timedelta(seconds=1), NOW, "manual", base)
+    assert all(x == stored[0] for x in stored)
+    assert store.diagnostics().where("file LIKE 'x%'").count() == 60
+
+
+def test_buckets_are_joined_where_they_lie(spark, scratch):
+    eps = episodes(spark, *[dict(id=f"e{k}", filename=f"{k}.mp3", identity_key=str(k)) for k in range(12)])
+    # One episode has half of all rows, another third have none.
+    rows = [(i, i % 700, "download", 200, 5, 9, None, "e1" if i % 2 else (f"e{i % 11}" if i % 3 else None), "s") for i in range(900)]
+    log, dims = log_of(spark, rows), shows(spark, dict(id="s", slug="one"))
+    made = buckets.write_buckets(log, eps, f"{scratch}/b", 8)
+    sizes = [r["count"] for r in made.log.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 900 / 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = made.log.join(made.episodes.select(buckets.KEY, "title"), buckets.KEY, "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        counted = made.log.groupBy(buckets.KEY, "episode_id").count()
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = enrich_log(log, eps, dims)
+    got = buckets.enrich_log(made, dims).select(*want.columns)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert buckets.busiest(made, dims).select("episode_id", "downloads").collect() == rollups.busiest(log, eps, dims).select("episode_id", "downloads").collect()

@@ -66,13 +66,15 @@ def test_daily_totals_follow_late_rows(spark, scratch):
     zone = "Asia/Kolkata"
     first = log_of(spark, [(i, i * 13, ("download", "stream", "feed")[i % 3], 200 if i % 4 else 500, i, 9, None, "e", f"s{i % 2}") for i in range(300)])
     late = log_of(spark, [(901, -3000, "stream", 200, 5, 9, None, "e", "s1"), (900, 299 * 13 - 30, "download", 200, 5, 9, None, "e", "s0")])
+
+    def stored():
+        return spark.read.schema(MEDIA_ACCESS).parquet(f"{scratch}/log")
+
     for part in (first, late):
         part.coalesce(1).write.mode("append").parquet(f"{scratch}/log")
         stream = spark.readStream.schema(MEDIA_ACCESS).parquet(f"{scratch}/log")
-        daily.follow(stream, f"{scratch}/steps", f"{scratch}/check").awaitTermination()
-    steps = spark.read.parquet(f"{scratch}/steps")
-    got = daily.daily_by_show(steps, zone)
-    assert sorted(daily.daily_by_show(daily.merged(steps), zone).collect()) == sorted(got.collect())
+        daily.follow(stream, stored, f"{scratch}/steps", f"{scratch}/check").awaitTermination()
+    got = daily.daily_by_show(daily.read_totals(spark, f"{scratch}/steps"), zone)
     everything = first.unionByName(late)
     want = everything.where(F.col("kind").isin("download", "stream")).groupBy(local_date(F.col("requested_at"), zone).alias("local_date"), "show_id").agg(
         F.count_if((F.col("kind") == "download") & (F.col("status_code") < 400)).alias("downloads"),
@@ -85,6 +87,50 @@ def test_daily_totals_follow_late_rows(spark, scratch):
     assert sorted(sums.select("local_date", *COUNTERS).collect()) == sorted(per_day.select("local_date", *COUNTERS).collect())
 
 
+def recent_log(spark, rows):
+    """Rows of (id, minutes before now, show)."""
+    now = F.current_timestamp()
+    df = spark.createDataFrame(rows, "id BIGINT, m INT, show_id STRING")
+    return df.select(
+        "id", F.lit("e").alias("episode_id"), "show_id", (now - F.make_dt_interval(mins=F.col("m"))).alias("requested_at"), F.lit("download").alias("kind"), F.lit(200).alias("status_code"),
+        F.lit(3).cast("bigint").alias("bytes_sent"), F.lit(9).cast("bigint").alias("total_bytes"), *[F.lit(None).cast("string").alias(c) for c in ("range_header", "client", "error")],
+    )
+
+
+def test_recent_totals_come_from_state_alone(spark, scratch):
+    def never():
+        raise AssertionError("the log was read")
+
+    deliveries = ([(1, 0, "a"), (2, 1, "a"), (3, 2000, "b"), (3, 2000, "b")], [(2, 1, "a"), (4, 1, "a"), (5, 1999, None)])
+    for part in deliveries:
+        recent_log(spark, part).coalesce(1).write.mode("append").parquet(f"{scratch}/log")
+        stream = spark.readStream.schema(MEDIA_ACCESS).parquet(f"{scratch}/log")
+        daily.follow(stream, never, f"{scratch}/steps", f"{scratch}/check").awaitTermination()
+    sums = daily.read_totals(spark, f"{scratch}/steps").groupBy("show_id").agg(F.sum("downloads"), F.sum("bytes")).collect()
+    assert {tuple(r) for r in sums} == {("a", 3, 9), ("b", 1, 3), (None, 1, 3)}
+
+
+def test_recent_responses_are_told_apart_without_the_log(spark, scratch, monkeypatch):
+    def recent(ids):
+        # Far from midnight or not, the days do not matter: nothing is compared.
+        return raw(spark, ids).withColumn("requested_at", F.current_timestamp() - F.make_dt_interval(mins=F.col("request_id").cast("int")))
+
+    compared = []
+    real = ingest.not_stored
+    monkeypatch.setattr(ingest, "not_stored", lambda rows, log: compared.append(rows.count()) or real(rows, log))
+    for ids in ([1, 2, 3, 3, 4], [3, 4, 6, 6], [1, 6, 7, 8]):
+        recent(ids).coalesce(1).write.mode("append").json(f"{scratch}/in")
+        ingest.ingest(ingest.raw_stream(spark, f"{scratch}/in"), f"{scratch}/log", f"{scratch}/check").awaitTermination()
+    assert sorted(r.id for r in read_log(spark, f"{scratch}/log").collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert compared == [4]  # the first batch of a checkpoint
+    # Days late, and long after its id has left the state: the log says so.
+    raw(spark, [-1441, 9, 9]).coalesce(1).write.mode("append").json(f"{scratch}/in")
+    raw(spark, [-1441, 9]).coalesce(1).write.mode("append").json(f"{scratch}/in2")
+    for name in ("in", "in2"):
+        ingest.ingest(ingest.raw_stream(spark, f"{scratch}/{name}"), f"{scratch}/log", f"{scratch}/check-{name}", name).awaitTermination()
+    assert sorted(r.id for r in read_log(spark, f"{scratch}/log").where("id < 0 OR id > 8").collect()) == [-1441, 9]
+
+
 def test_version_state_is_monotone(spark, scratch):
     t = at("2024-01-01T00:00:00")
     batches = [
@@ -144,3 +190,25 @@ def test_alerts_equal_trailing_failures_at_window_ends(spark, scratch):
     for when, n in trailing.items():
         if n >= 2:
             assert got[when.replace(second=0) + timedelta(minutes=1)] == n
+
+
+def test_attempts_equal_trailing_failures(spark, scratch):
+    t = at("2024-01-01T00:00:30")
+    seconds = [0, 30, 30, 90, 700, 930, 931, 932, 932, 2000, 2600, 5000, 5001]
+    rows = [(i, ("u", "v")[i % 5 == 4], t + timedelta(seconds=s), int(i in (5, 9)), None) for i, s in enumerate(seconds)]
+    rows += [(99, "z", t + timedelta(hours=9), 0, None)]  # moves the watermark past the rest
+    df = spark.createDataFrame(rows, LOGIN_ATTEMPTS)
+    # In two deliveries, the second with rows older than some of the first, within the lateness.
+    for ids in ([0, 1, 3, 5], [2, 4, 6, 7, 8], [9, 10, 11, 12], [99]):
+        df.where(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(LOGIN_ATTEMPTS).parquet(f"{scratch}/in")
+        signin_alerts.watch_attempts(stream, f"{scratch}/out", f"{scratch}/check", threshold=0, lateness="20 minutes").awaitTermination()
+    got = {r.id: r for r in spark.read.parquet(f"{scratch}/out").collect()}
+    want = {r.id: r.trailing_failures for r in trailing_failures(df).collect() if r.id != 99}
+    assert {k: r.trailing_failures for k, r in got.items()} == want
+    for i, user, when, _, _ in rows[:-1]:
+        own = sorted(r for r in rows if r[1] == user and (r[2], r[0]) <= (when, i) and r[2] >= when - timedelta(minutes=15))
+        n = 0
+        for r in sorted(own, key=lambda r: (r[2], r[0])):
+            n = 0 if r[3] else n + 1
+        assert got[i].failures == n, i
