@@ -11,10 +11,11 @@ from medialog.functions.moments import local_date, local_midnight
 from medialog.functions.text import csv_cell
 from medialog.operators import access_log, rollups, series
 from medialog.operators.access_log import AccessFilter
-from medialog.plans import buckets
+from medialog.plans import buckets, stored_log
 from medialog.registry.core import FRM, NOW, REGISTRY, TO
 from medialog.session import workspace
 from medialog.sources import requests
+from medialog.sources.store import append_log, read_log
 
 LOG = ("media_access",)
 ALL = ("shows", "episodes", "media_access")
@@ -179,6 +180,34 @@ def _(t):
     return access_log.access_extent(t.media_access)
 
 
+def _stored(t) -> str:
+    path = f"{workspace(t.spark, 'stored-log')}/media_access"
+    append_log(t.media_access.where("id % 3 <> 0"), path, "first")
+    append_log(t.media_access.where("id % 3 = 0"), path, "second")
+    return path
+
+
+@REGISTRY.add("stored_extent", "SELECT MIN(requested_at) AS first_at, MAX(requested_at) AS last_at FROM media_access", LOG)
+def _(t):
+    return stored_log.stored_extent(t.spark, _stored(t))
+
+
+@REGISTRY.add(
+    "stored_count",
+    "SELECT COUNT(*) AS n FROM media_access WHERE requested_at >= TIMESTAMP '2024-01-10' AND requested_at < TIMESTAMP '2024-01-25'",
+    LOG,
+)
+def _(t):
+    return stored_log.count_days(t.spark, _stored(t), FRM.date(), TO.date())
+
+
+@REGISTRY.add("log_without_show", "SELECT * FROM media_access WHERE show_id IS DISTINCT FROM 'show-3'", LOG)
+def _(t):
+    path = _stored(t)
+    stored_log.drop_show(t.spark, path, "show-3")
+    return read_log(t.spark, path).select(*t.media_access.columns)
+
+
 @REGISTRY.add(
     "access_retained",
     "SELECT * FROM media_access WHERE requested_at >= TIMESTAMP '2024-01-10 12:00:00'",

@@ -82,13 +82,12 @@ def _(t):
      AND NOT EXISTS (SELECT 1 FROM login_attempts c WHERE c.username = a.username AND c.succeeded = 1
        AND (c.attempted_at, c.id) >= (b.attempted_at, b.id) AND (c.attempted_at, c.id) <= (a.attempted_at, a.id))) AS failures
   FROM login_attempts a)
-SELECT * FROM w WHERE trailing_failures >= 2
-AND date_trunc('minute', attempted_at + INTERVAL 59999 MILLISECOND) <= (SELECT MAX(attempted_at) - INTERVAL 10 MINUTE FROM login_attempts)""",
+SELECT * FROM w WHERE date_trunc('minute', attempted_at + INTERVAL 59999 MILLISECOND) <= (SELECT MAX(attempted_at) - INTERVAL 10 MINUTE FROM login_attempts)""",
     ("login_attempts",),
 )
 def _(t):
     path = workspace(t.spark, "attempts")
-    _drain(signin_alerts.watch_attempts(streamed(t.spark, t.sf_dir, "login_attempts"), f"{path}/alerts", f"{path}/checkpoint"))
+    _drain(signin_alerts.watch_attempts(streamed(t.spark, t.sf_dir, "login_attempts"), f"{path}/alerts", f"{path}/checkpoint", threshold=0))
     return t.spark.read.schema(signin_alerts.ALERT_SCHEMA).parquet(f"{path}/alerts")
 
 

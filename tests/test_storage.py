@@ -17,13 +17,13 @@ from test_streaming import raw
 from medialog.operators import artwork, discover, lifecycle, patches, rollups
 from medialog.operators.access_log import AccessFilter, enrich_log, trim_access, within
 from medialog.operators.reconcile import conform
-from medialog.plans import buckets
+from medialog.plans import buckets, stored_log
 from medialog.plans.library_scan import NewShows, listed_files, store_sweep, sweep
 from medialog.plans.stats_page import stats_page
 from medialog.schemas import EPISODES, REMOVED_FOLDERS, SCAN_LOG
 from medialog.sources import export, listing, show_config
 from medialog.sources.requests import enrich_requests
-from medialog.sources.store import TABLES, Store
+from medialog.sources.store import TABLES, Store, append_log, read_log
 from medialog.streaming import ingest
 
 
@@ -385,3 +385,48 @@ def test_buckets_are_joined_where_they_lie(spark, scratch):
     got = buckets.enrich_log(made, dims).select(*want.columns)
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     assert buckets.busiest(made, dims).select("episode_id", "downloads").collect() == rollups.busiest(log, eps, dims).select("episode_id", "downloads").collect()
+
+
+def test_counts_and_extent_come_from_footers(spark, scratch):
+    log = log_of(spark, [(i, i * 77, "download", 200, 5, 9, None, "e", f"s{i % 3}") for i in range(300)])
+    append_log(log.where("id % 2 = 0"), scratch, "a")
+    append_log(log.where("id % 2 = 1"), scratch, "b")
+    counts = stored_log.day_counts(spark, scratch)
+    assert "PushedAggregation: [COUNT(*)]" in counts._jdf.queryExecution().executedPlan().toString()
+    assert counts.agg(F.sum("n")).first()[0] == 300
+    assert stored_log.count_days(spark, scratch, (BASE + timedelta(days=2)).date(), (BASE + timedelta(days=5)).date()).first().n == within(
+        log, BASE + timedelta(days=2), BASE + timedelta(days=5)
+    ).count()
+    extent = stored_log.stored_extent(spark, scratch)
+    assert extent.first() == (BASE, BASE + timedelta(minutes=299 * 77))
+    assert len({f.split("requested_date=")[1][:10] for f in extent._jdf.queryExecution().executedPlan().toString().split() if "requested_date=" in f}) <= 2
+    empty = f"{scratch}/none"
+    assert stored_log.stored_extent(spark, empty).first() == (None, None) and stored_log.count_days(spark, empty).first().n == 0
+
+
+def test_deletion_rewrites_only_files_with_such_rows(spark, scratch, monkeypatch):
+    log = log_of(spark, [(i, i * 77, "download", 200, 5, 9, None, "e", "gone" if i in (5, 6, 150) else (None if i % 9 == 0 else "s")) for i in range(300)])
+    append_log(log, scratch, "a b")
+    names = lambda: {str(p.relative_to(scratch)) for p in Path(scratch).rglob("part-*.parquet") if "_staged" not in str(p)}
+    before = names()
+    # A crash after the plan: old files are half deleted.
+    real, left = stored_log.remove_folder, [0]
+
+    def crash(path):
+        left[0] += 1
+        if left[0] == 1:
+            raise OSError("crash")
+        real(path)
+
+    monkeypatch.setattr(stored_log, "remove_folder", crash)
+    with pytest.raises(OSError, match="crash"):
+        stored_log.drop_show(spark, scratch, "gone")
+    assert stored_log.drop_show(spark, scratch, "gone") == []
+    after = names()
+    assert sorted(r.id for r in read_log(spark, scratch).collect()) == [i for i in range(300) if i not in (5, 6, 150)]
+    assert 1 <= len(before - after) <= 2 and len(before & after) >= 14
+    assert not [f for f in Path(scratch).iterdir() if f.name.startswith("_staged")]
+    # Staged rows without a plan change nothing.
+    Path(scratch, "_staged-x", "rows").mkdir(parents=True)
+    assert stored_log.delete_rows(spark, scratch, F.col("requested_at") < F.lit(BASE + timedelta(minutes=100))) != []
+    assert read_log(spark, scratch).count() == 295 and not Path(scratch, "_staged-x").exists()
