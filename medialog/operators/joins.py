@@ -1,8 +1,8 @@
 """Joining large facts to keyed lookup tables without a hot partition.
 
 As a rule the join is left to Spark: it broadcasts a side whose size it knows to be small, and
-otherwise splits the partitions of a hot key as it runs. Where the caller knows better, ``salts``
-spreads the facts of every key, NULL included, over a range that the lookup side is copied to.
+otherwise splits the partitions of a hot key as it runs. It does not where a side was grouped by the same key in the
+same stage; there, ``salts`` spreads the facts of every key, NULL included, over a range that the lookup side is copied to.
 """
 
 from __future__ import annotations

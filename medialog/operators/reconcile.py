@@ -133,10 +133,18 @@ def claim_identities(files: DataFrame, episodes: DataFrame) -> DataFrame:
     )
 
 
+# Parts that the files of one identity are spread over.
+SALTS = 16
+
+
 def duplicate_files(files: DataFrame, claims: DataFrame) -> DataFrame:
-    """Files whose audio another file already claimed, with that file's name."""
+    """Files whose audio another file already claimed, with that file's name.
+
+    One identity may have a third of all files. The claims are a grouping by the key of this join, and Spark does not split a
+    partition that it has just grouped, so the files are spread.
+    """
     shared = claims.where(F.col("copies") > 1).select(*KEY, F.col("file.filename").alias("claimed_by"))
-    return lookup_join(files, shared, KEY, ["filename"], "inner").where(F.col("filename") != F.col("claimed_by"))
+    return lookup_join(files, shared, KEY, ["filename"], "inner", SALTS).where(F.col("filename") != F.col("claimed_by"))
 
 
 def reconcile(

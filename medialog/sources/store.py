@@ -31,16 +31,24 @@ DAY, BATCH = "requested_date", "batch"
 _MARK = "written_by"
 
 
-def append_log(rows: DataFrame, path: str, batch: str) -> None:
+# Parquet's own block size; smaller ones let a filter on one episode pass over more.
+ROW_GROUP_BYTES = 32 << 20
+
+
+def append_log(rows: DataFrame, path: str, batch: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Add rows to a log: a folder per day, in it one per batch.
 
-    Writing a batch again replaces it, and adds to no other. Rows are dealt by ranges of day, show and
-    time, so that a batch has about as many files as it has days and tasks.
+    Writing a batch again replaces it, and adds to no other. Rows are dealt by ranges of day, show, episode and
+    time, so that a batch has about as many files as it has days and tasks, and an episode's rows lie together. Bloom
+    filters of shows and episodes tell a reader which row groups have none of one.
     """
-    order = [DAY, "show_id", "requested_at"]
+    order = [DAY, "show_id", "episode_id", "requested_at"]
     dated = rows.withColumn(DAY, F.to_date("requested_at")).withColumn(BATCH, F.lit(batch))
     ranged = dated.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, BATCH).parquet(path)
+    writer = ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", row_group_bytes)
+    for column in ("show_id", "episode_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", "50000")
+    writer.partitionBy(DAY, BATCH).parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -69,3 +69,15 @@ def test_figures_of_shows_scan_the_log_once(spark, scratch):
     store.append_access(log_of(spark, [(i, i * 60, ("download", "feed")[i % 2], 200, 1, 1, "Castro", "e", "s") for i in range(20)]))
     plan = rollups.show_figures(store.access_log())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_copies_of_one_file_are_spread(spark):
+    from test_reconcile import files
+
+    from medialog.operators.reconcile import claim_identities, duplicate_files
+
+    # Half of the files have one identity.
+    rows = files(spark, *[dict(filename=f"{k}.mp3", identity_key="same" if k % 2 else str(k)) for k in range(40)])
+    matched = rows.withColumns({"fast": F.lit(False), "mime_type": F.lit("audio/mpeg")})
+    found = duplicate_files(matched, claim_identities(matched, episodes(spark)))
+    assert found.count() == 19 and "__salt" in plan(found)

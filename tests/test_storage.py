@@ -430,3 +430,22 @@ def test_deletion_rewrites_only_files_with_such_rows(spark, scratch, monkeypatch
     Path(scratch, "_staged-x", "rows").mkdir(parents=True)
     assert stored_log.delete_rows(spark, scratch, F.col("requested_at") < F.lit(BASE + timedelta(minutes=100))) != []
     assert read_log(spark, scratch).count() == 295 and not Path(scratch, "_staged-x").exists()
+
+
+def test_a_filter_on_one_episode_reads_few_row_groups(spark, scratch):
+    rows = spark.range(400_000).select(
+        "id", F.concat(F.lit("episode-"), F.sha2(F.pmod(F.xxhash64("id"), F.lit(20_000)).cast("string").cast("binary"), 256)).alias("episode_id"),
+        F.concat(F.lit("show-"), F.pmod(F.xxhash64("id"), F.lit(20)).cast("string")).alias("show_id"),
+        (F.lit(BASE).cast("timestamp") + F.make_dt_interval(secs=(F.col("id") % 80_000).cast("int"))).alias("requested_at"),
+        F.lit("download").alias("kind"), F.lit(200).alias("status_code"), *[F.lit(1).cast("bigint").alias(c) for c in ("bytes_sent", "total_bytes")],
+        *[F.lit(None).cast("string").alias(c) for c in ("range_header", "client", "error")],
+    )
+    append_log(rows, scratch, "a", 1 << 20)
+    wanted = rows.first().episode_id
+    found = read_log(spark, scratch).where(F.col("episode_id") == wanted)
+    n = found.count()
+    assert n == rows.where(F.col("episode_id") == wanted).count() > 0
+    kept = found.select("id", "kind")
+    kept.collect()
+    metrics = kept._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    assert metrics.apply("numOutputRows").value() < 400_000 / 10
