@@ -74,6 +74,14 @@ def row_hash(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case of letters."""
+    taken, lead = {c.lower() for c in df.columns}, "__"
+    while any(f"{lead}{n}" in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def pick_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` named in ``chosen`` (``id``, ``row``), each once, with all columns.
 
@@ -82,14 +90,15 @@ def pick_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_c
     texts move once.
     """
 
+    *names, nth = free_names(docs, "id", "no_id", "row", "nth")
+
     def keys(id_: Column, row: Column) -> list[Column]:
-        return [F.coalesce(id_.cast("string"), F.lit("")).alias("__id"), id_.isNull().alias("__no_id"), row.alias("__row")]
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias(names[0]), id_.isNull().alias(names[1]), row.alias(names[2])]
 
-    names = ["__id", "__no_id", "__row"]
     marked = docs.select("*", *keys(F.col(id_col), row_hash(text_col)))
     found = marked.join(chosen.select(*keys(F.col("id"), F.col("row"))), names, "left_semi")
-    once = found.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(*names)))
-    return once.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = found.withColumn(nth, F.row_number().over(Window.partitionBy(*names).orderBy(*names)))
+    return once.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def filter_texts(docs: DataFrame, keeps: Callable[[list[bytes]], list[bool]], text_col: str = "text", most: int = 4 << 20) -> DataFrame:
