@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from medialog.llm.common import as_bytes, prepared, row_hash, slices, worker_tables
 from medialog.llm.vocabulary import COMPOSED, read_vocabulary, shown, tokenizer
 
-# Entries in a worker's caches.
-CACHED = 200_000
-CACHED_WORDS = 300_000
+# Bytes of a worker's cache of pieces, and of its cache of words; entries of its cache of token pairs.
+CACHE_BYTES = 64 << 20
 CACHED_PAIRS = 200_000
 # Bytes of text whose words share a trie; a longer text has one of its own.
 SLICE = 2 << 20
@@ -163,6 +162,29 @@ def _trim(cache: dict, most: int) -> None:
             del cache[key]
 
 
+class Cache(dict):
+    """Encodings by text, with the bytes they take, about."""
+
+    held = 0
+
+    def keep(self, pairs: Iterable[tuple]) -> None:
+        for text, ids in pairs:
+            self[text] = ids
+            self.held += self.size(text, ids)
+
+    @staticmethod
+    def size(text: str | bytes, ids: bytes) -> int:
+        return 2 * len(text) + len(ids) + 200
+
+    def trim(self, most: int) -> None:
+        """Forget the older part of what takes more than ``most`` bytes."""
+        if self.held > most:
+            for text in list(self):
+                self.held -= self.size(text, self.pop(text))
+                if self.held <= most // 2:
+                    break
+
+
 class Encoder:
     """Encodings in one worker process; ids are kept as the bytes of 32-bit numbers."""
 
@@ -170,8 +192,7 @@ class Encoder:
         self.merges, self.library = Merges(vocabulary), tokenizer(vocabulary)
         self.special = {x["content"]: np.int32(x["id"]).tobytes() for x in json.loads(vocabulary)["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.cache: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache, self.words = Cache(), Cache()
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special strings, in the vocabulary's byte letters."""
@@ -203,8 +224,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cache, words = self.cache, self.words
-        _trim(cache, CACHED)
-        _trim(words, CACHED_WORDS)
+        cache.trim(CACHE_BYTES)
+        words.trim(CACHE_BYTES)
         _trim(self.merges.holds_cache, CACHED_PAIRS)
         pieces = [t.split() for t in texts]
         new = list(set(chain.from_iterable(pieces)).difference(cache))
@@ -212,9 +233,11 @@ class Encoder:
         for k in range(0, len(new), 1000):
             found += self.new_parts(new[k : k + 1000])
         distinct = {w for parts in found for w in parts if type(w) is str}
-        words.update(self.merges.encode_words(distinct.difference(words)))
-        for piece, parts in zip(new, found, strict=True):
-            cache[piece] = words[parts[0]] if len(parts) == 1 and type(parts[0]) is str else b"".join([words[w] if type(w) is str else w for w in parts])
+        words.keep(self.merges.encode_words(distinct.difference(words)).items())
+        cache.keep(
+            (piece, words[parts[0]] if len(parts) == 1 and type(parts[0]) is str else b"".join([words[w] if type(w) is str else w for w in parts]))
+            for piece, parts in zip(new, found, strict=True)
+        )
         return [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype=np.int32) for p in pieces]
 
 

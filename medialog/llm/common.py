@@ -59,14 +59,15 @@ _tables: dict = {}
 def worker_tables(owner: str, key, make: Callable[[], object]):
     """Tables of a worker process that outlive a task. It holds those of one operator at a time."""
     if _tables.get("of") != (owner, key):
-        _tables.clear()
+        forget_tables()
         _tables.update({"of": (owner, key), "tables": make()})
     return _tables["tables"]
 
 
 def forget_tables() -> None:
-    """Let go of what an earlier operator left in this worker process."""
+    """Let go of what an earlier operator left in this worker process, memory that Arrow holds in reserve included."""
     _tables.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def row_hash(text: str) -> Column:

@@ -413,3 +413,22 @@ def test_language_of_a_text_in_pieces(monkeypatch):
         joined = np.concatenate([pieces[0], *(p[2:] for p in pieces[1:])])
         assert len(pieces) > 5 and joined.tolist() == [ord(c) for c in f"  {own.lower()} "]
     assert len(whole) == len(f"  {text.lower()} ")
+
+
+def test_rows_are_picked_whatever_their_columns_are_called(spark):
+    clash = "doc_id long, text string, __id string, __row long, __NTH int, ___no_id boolean"
+    docs = spark.createDataFrame([(1, "a", "x", 1, 1, True), (1, "a", "x", 1, 1, True), (2, "b", "y", 2, 2, None)], clash)
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
+def test_bpe_caches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    encoder, library = bpe.Encoder(read_vocabulary(WORD_BPE)), Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(1)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 60))) for _ in range(20))
+        (ids,) = encoder.encode([text.encode()])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(encoder.cache.held, encoder.words.held) < 20_000 + 20 * 600
+        assert encoder.cache.held == sum(encoder.cache.size(*x) for x in encoder.cache.items())
