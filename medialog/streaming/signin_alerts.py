@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,68 +44,81 @@ def watch(attempts: DataFrame, path: str, checkpoint: str, slide: str = "1 minut
     )
 
 
-_MINUTE = 60_000
+_MINUTE = 60_000_000
+# The state of a user is kept by blocks of this length, or of the window's, if that is longer.
+BLOCK_MINUTES = 60
+_ROW = np.dtype([("at", "i8"), ("id", "i8"), ("succeeded", "i8"), ("done", "i8")])
 _COUNTS = "username STRING, id BIGINT, at BIGINT, succeeded INT, trailing_failures BIGINT, failures BIGINT"
 
 
 class Trailing(StatefulProcessor):
-    """A user's attempts that the watermark has not passed, and the failures of the window before it.
+    """A block of a user's attempts that the watermark has not passed, and the attempts of the window before it.
 
-    Attempts wait for the watermark, so that they are counted in the order of their times. A timer on the minute after an attempt
-    counts what has waited; failures that have left the window go with it.
+    Attempts wait for the watermark, so that they are counted in the order of their times, at the minute after them. A block
+    has one timer, on the minute of its first waiting attempt, which counts all that the watermark has passed; so a batch goes
+    through a block once. Attempts that have left the window are forgotten, and the block when it has ended.
     """
 
-    def __init__(self, minutes: int):
-        self.length = minutes * 60_000_000
+    def __init__(self, minutes: int, block: int):
+        self.length, self.block = minutes * _MINUTE, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at BIGINT, id BIGINT, succeeded INT")
-        self.past = handle.getListState("failures", "at BIGINT, since BOOLEAN")
+        # Rows of a batch in one value, as bytes.
+        self.held = handle.getListState("held", "rows BINARY")
+        self.timer = handle.getValueState("timer", "at BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        minutes = set()
+        parts = []
         for frame in rows:
-            new = [(int(a), int(i), int(s)) for a, i, s in frame[["at", "id", "succeeded"]].itertuples(index=False, name=None)]
-            self.waiting.appendList(new)
-            minutes.update(-(-a // 1_000 // _MINUTE) * _MINUTE for a, _, _ in new)
-        for minute in minutes:
-            self.handle.registerTimer(minute)
+            new = np.empty(len(frame), _ROW)
+            for column in _ROW.names:
+                new[column] = frame[column].to_numpy()
+            parts.append(new)
+        new = np.concatenate(parts)
+        self.held.appendValue((new.tobytes(),))
+        self._wake(key, new)
         yield from ()
 
+    def _wake(self, key, rows: np.ndarray) -> None:
+        """Set the timer to the minute of the first waiting row, else to the end of the block."""
+        waiting = rows["at"][rows["done"] == 0]
+        at = int(waiting.min()) if len(waiting) else (int(key[1]) + 1) * self.block
+        at = -(-at // _MINUTE) * (_MINUTE // 1_000)
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1_000
-        waiting = sorted(tuple(x) for x in self.waiting.get())
-        due = [x for x in waiting if x[0] <= limit]
-        if not due:
-            # The timer that outlives the failures.
-            if not waiting:
-                self.past.clear()
-            return
-        # Times of failures in order, and of those not yet forgotten for a success.
-        past = sorted(tuple(x) for x in self.past.get())
-        times = [a for a, _ in past] + [a for a, _, s in due if not s]
-        since = [a for a, s in past if s]
-        out = []
-        for at, id_, succeeded in due:
-            since = [] if succeeded else since
-            if not succeeded:
-                since.append(at)
-            first = at - self.length
-            out.append((key[0], id_, at, succeeded, bisect_right(times, at) - bisect_left(times, first), len(since) - bisect_left(since, first)))
-        first = due[-1][0] - self.length
-        held = len(since) - bisect_left(since, first)
-        kept = times[bisect_left(times, first) :]
-        past = [(a, k >= len(kept) - held) for k, a in enumerate(kept)]
-        self.past.clear()
-        if past:
-            self.past.put(past)
-            self.handle.registerTimer((-(-(past[-1][0] + self.length) // 1_000 // _MINUTE) + 1) * _MINUTE)
-        left = waiting[len(due) :]
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-        yield pd.DataFrame(out, columns=["username", "id", "at", "succeeded", "trailing_failures", "failures"])
+        limit = timerValues.getCurrentWatermarkInMs() * 1_000 // _MINUTE * _MINUTE
+        rows = np.concatenate([np.frombuffer(bytes(chunk), _ROW) for (chunk,) in self.held.get()])
+        rows = rows[np.lexsort((rows["id"], rows["at"]))]
+        at, place = rows["at"], np.arange(len(rows))
+        due = np.flatnonzero((at <= limit) & (rows["done"] == 0))
+        failed = np.concatenate(([0], np.cumsum(rows["succeeded"] == 0)))
+        first = np.searchsorted(at, at - self.length, "left")
+        trailing = failed[np.searchsorted(at, at, "right")] - failed[first]
+        reset = np.maximum.accumulate(np.where(rows["succeeded"] == 1, place, -1))
+        failures = failed[place + 1] - failed[np.maximum(first, reset + 1)]
+        left = rows[at > limit - self.length]
+        left["done"] |= left["at"] <= limit
+        self.held.clear()
+        self.timer.clear()
+        if limit < (int(key[1]) + 1) * self.block:
+            if len(left):
+                self.held.appendValue((left.tobytes(),))
+            self._wake(key, left)
+        if len(due):
+            yield pd.DataFrame(
+                {
+                    "username": key[0], "id": rows["id"][due], "at": at[due], "succeeded": rows["succeeded"][due].astype("i4"),
+                    "trailing_failures": trailing[due], "failures": failures[due],
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -114,13 +127,29 @@ class Trailing(StatefulProcessor):
 def trailing(attempts: DataFrame, minutes: int = WINDOW_MINUTES, lateness: str = LATENESS) -> DataFrame:
     """Of a stream of attempts, each one that the watermark has passed, with ``trailing_failures``, the user's failures in the
     minutes up to it, as in :func:`operators.signin.trailing_failures`, and ``failures``, those since the last success.
+
+    State is kept by user and block of time, so that a user with very many attempts is spread; an attempt that the window
+    of the next block reaches goes there too, where it is only counted. Attempts without a user or a time are left out.
     """
     keyed_state(attempts.sparkSession)
-    rows = attempts.withWatermark("attempted_at", lateness).where("username IS NOT NULL").select(
-        "username", "attempted_at", "id", F.unix_micros("attempted_at").alias("at"), "succeeded"
+    block = max(minutes, BLOCK_MINUTES) * _MINUTE
+    at = F.unix_micros("attempted_at")
+    own = F.floor(at / block)
+    reaches = at >= (own + 1) * block - minutes * _MINUTE
+    rows = (
+        attempts.withWatermark("attempted_at", lateness)
+        .where("username IS NOT NULL AND attempted_at IS NOT NULL")
+        .select(
+            "username", "attempted_at", "id", at.alias("at"), F.coalesce("succeeded", F.lit(-1)).alias("succeeded"), own.alias("own"),
+            F.explode(F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))).alias("block"),
+        )
+        .withColumn("done", (F.col("own") != F.col("block")).cast("int"))
+        .drop("own")
+    )
+    found = rows.groupBy("username", "block").transformWithStateInPandas(Trailing(minutes, block), _COUNTS, outputMode="Append", timeMode="EventTime")
+    return found.select(
+        "username", "id", F.timestamp_micros("at").alias("attempted_at"), F.nullif("succeeded", F.lit(-1)).alias("succeeded"), "trailing_failures", "failures"
     )
-    found = rows.groupBy("username").transformWithStateInPandas(Trailing(minutes), _COUNTS, outputMode="Append", timeMode="EventTime")
-    return found.select("username", "id", F.timestamp_micros("at").alias("attempted_at"), "succeeded", "trailing_failures", "failures")
 
 
 def watch_attempts(attempts: DataFrame, path: str, checkpoint: str, threshold: int = THRESHOLD, lateness: str = LATENESS) -> StreamingQuery:

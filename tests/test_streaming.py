@@ -212,3 +212,21 @@ def test_attempts_equal_trailing_failures(spark, scratch):
         for r in sorted(own, key=lambda r: (r[2], r[0])):
             n = 0 if r[3] else n + 1
         assert got[i].failures == n, i
+
+
+def test_one_user_over_many_blocks(spark, scratch):
+    """Every minute of a day once; a row without a time and one without an outcome do no harm."""
+    t = at("2024-01-01T00:00:10")
+    rows = [(i, "u", t + timedelta(seconds=17 * i), int(i % 29 == 0), None) for i in range(5000)]
+    rows += [(7000, "u", None, 0, None), (7001, "u", t + timedelta(minutes=59), None, None), (7002, "z", t + timedelta(days=3), 0, None)]
+    df = spark.createDataFrame(rows, LOGIN_ATTEMPTS)
+    df.coalesce(1).write.parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(LOGIN_ATTEMPTS).parquet(f"{scratch}/in")
+    signin_alerts.watch_attempts(stream, f"{scratch}/out", f"{scratch}/check", threshold=0).awaitTermination()
+    got = {r.id: (r.trailing_failures, r.failures, r.succeeded) for r in spark.read.parquet(f"{scratch}/out").collect()}
+    timed = sorted((r for r in rows if r[2] and r[1] == "u"), key=lambda r: (r[2], r[0]))
+    assert set(got) == {r[0] for r in timed}
+    for k, (i, _, when, succeeded, _) in enumerate(timed):
+        window = [r for r in timed[max(0, k - 60) : k + 1] if r[2] >= when - timedelta(minutes=15)]
+        since = [r for r in window if all(not (s[3] == 1 and (s[2], s[0]) >= (r[2], r[0])) for s in window)]
+        assert got[i] == (sum(r[3] == 0 for r in window), sum(r[3] == 0 for r in since), succeeded), i
