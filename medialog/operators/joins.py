@@ -10,6 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Deal rows evenly over the tasks, by columns that differ from row to row.
+
+    A file may be one row group, which one task reads alone. What is worked out or sorted for each of its rows before they
+    next move would be that task's alone too.
+    """
+    return rows.repartition(F.xxhash64(*by))
+
+
 _SALT = "__salt"
 _SALTABLE = ("inner", "left", "left_semi", "left_anti")
 

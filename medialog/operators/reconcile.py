@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from medialog.functions.moments import instant
 from medialog.functions.text import audio_type, file_class, title_from_filename
 from medialog.operators.catalogue import live_row_per_filename
-from medialog.operators.joins import lookup_join
+from medialog.operators.joins import lookup_join, spread
 from medialog.schemas import EPISODES, LISTING
 
 KEY = ["show_id", "identity_key"]
@@ -93,7 +93,7 @@ def stable_id(salt: str, *parts: Column) -> Column:
 def fast_match(audio: DataFrame, episodes: DataFrame) -> DataFrame:
     """Flag files that equal the live catalogue row of their name; they need no hashing."""
     live = live_row_per_filename(
-        episodes.select("id", *NAME, "identity_key", "status", "updated_at", "file_size_bytes", "file_mtime", "mime_type")
+        spread(episodes, "id").select("id", *NAME, "identity_key", "status", "updated_at", "file_size_bytes", "file_mtime", "mime_type")
     ).select(
         *NAME,
         F.struct("identity_key", "file_size_bytes", "file_mtime", "mime_type").alias("live"),
@@ -103,7 +103,8 @@ def fast_match(audio: DataFrame, episodes: DataFrame) -> DataFrame:
         & F.col("live.file_mtime").eqNullSafe(F.col("mtime"))
         & F.col("live.mime_type").eqNullSafe(F.col("mime_type"))
     )
-    joined = audio.join(live, NAME, "left")
+    # The catalogue is as large as the listing. Spark would go by the size of its files and send it to every task.
+    joined = audio.join(live.hint("merge"), NAME, "left")
     return joined.withColumns(
         {
             "fast": F.col("live").isNotNull() & same,
@@ -127,7 +128,7 @@ def claim_identities(files: DataFrame, episodes: DataFrame) -> DataFrame:
         F.col("filename"),
     )
     return (
-        files.join(known, [*KEY, "filename"], "left")
+        files.join(known.hint("merge"), [*KEY, "filename"], "left")
         .groupBy(*KEY)
         .agg(F.min_by(F.struct(*_FILE), order).alias("file"), F.count("*").alias("copies"))
     )

@@ -246,3 +246,11 @@ def test_same_as_a_walk(spark, shows):
     again = reconcile(files(spark, *listing), after, NOW)
     assert again.changes.where("action NOT IN ('still_missing')").collect() == []
     after.unpersist()
+
+
+def test_catalogue_is_not_broadcast(spark):
+    """However small its files are: in memory it is as large as the listing."""
+    listing = spark.createDataFrame([("s", "a.mp3", "i", 1)], "show_id STRING, filename STRING, identity_key STRING, size_bytes BIGINT")
+    episodes = spark.createDataFrame([("e", "s", "a.mp3", "i", "active")], "id STRING, show_id STRING, filename STRING, identity_key STRING, status STRING")
+    plan = reconcile(listing, episodes, NOW).changes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
