@@ -14,7 +14,7 @@ from medialog.functions import urls
 from medialog.functions.moments import feed_duration, instant, rfc2822
 from medialog.functions.text import blank_to_null, escaped, is_blank, xml_attribute, xml_clean, xml_text
 from medialog.operators.catalogue import feed_eligible
-from medialog.operators.joins import lookup_join
+from medialog.operators.joins import lookup_join, spread
 
 GENERATOR = "medialog"
 # The namespaces of a feed.
@@ -52,8 +52,9 @@ def show_addresses(shows: DataFrame, base_url: str) -> DataFrame:
 
 def feed_items(episodes: DataFrame, shows: DataFrame, base_url: str, now) -> DataFrame:
     """One row per item of every published feed, all fields resolved."""
+    # Items are spread before they are rendered, which is most of the work.
     rows = lookup_join(
-        episodes.where(feed_eligible(now)), show_addresses(shows, base_url), ["show_id"], ["id"], "inner"
+        spread(episodes.where(feed_eligible(now)), "id"), show_addresses(shows, base_url), ["show_id"], ["id"], "inner"
     )
     show = F.col("show")
     own_art = urls.item_address(show["root"], F.col("id"), F.lit("cover.jpg"), buster=F.col("art_etag"))

@@ -167,7 +167,10 @@ def _(t):
 @REGISTRY.add("feed_files", f"{FEED_SQL} SELECT slug, line FROM ln", BOTH)
 def _(t):
     path = workspace(t.spark, "feeds")
-    write_feeds(feeds.feed_lines(t.episodes, t.shows, BASE, NOW), path)
+    # Ordering goes through its rows more than once; they are rendered once.
+    rendered = workspace(t.spark, "feed-lines")
+    feeds.feed_lines(t.episodes, t.shows, BASE, NOW).write.parquet(rendered)
+    write_feeds(t.spark.read.parquet(rendered), path)
     return t.spark.read.schema("line STRING, slug STRING").text(path).select("slug", "line")
 
 

@@ -152,3 +152,9 @@ def test_a_large_document_keeps_its_order_over_files(spark, scratch):
         want = sorted(rows, key=lambda r: (r.section, -(r.pub_date.timestamp() if r.pub_date else 0), r.episode_id or ""))
         assert got == [r.line for r in want]
     assert len(glob.glob(f"{scratch}/out/slug=big/*.txt")) > 1
+
+
+def test_items_are_spread_before_they_are_rendered(spark):
+    """A file of one row group is read by one task, which should not render all items."""
+    lines = feeds.feed_lines(episodes(spark, [dict(id="e")]), frame(spark, SHOWS, SHOW, [dict(id="s", slug="s")]), BASE, LATER)
+    assert "REPARTITION_BY_COL" in lines._jdf.queryExecution().executedPlan().toString()
