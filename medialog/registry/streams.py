@@ -106,8 +106,9 @@ def _(t):
     now = F.lit(NOW).cast("timestamp")
     # An hour ago every show had another version, built the day before that of now.
     earlier = observed.select("show_id", F.lit("old").alias("version"), (F.col("last_build_at") - F.expr("INTERVAL 1 DAY")).alias("last_build_at"))
+    # A delivery has as many files as it was written by; the job takes it before the next is there.
     for rows, at in ((earlier, now - F.expr("INTERVAL 1 HOUR")), (observed, now)):
-        rows.withColumn("observed_at", at).coalesce(1).write.mode("append").parquet(f"{path}/observed")
-    stream = t.spark.readStream.schema(feed_versions.OBSERVED).option("maxFilesPerTrigger", 1).parquet(f"{path}/observed")
-    _drain(feed_versions.follow_versions(stream, f"{path}/state", f"{path}/checkpoint"))
+        rows.withColumn("observed_at", at).write.mode("append").parquet(f"{path}/observed")
+        stream = t.spark.readStream.schema(feed_versions.OBSERVED).parquet(f"{path}/observed")
+        _drain(feed_versions.follow_versions(stream, f"{path}/state", f"{path}/checkpoint"))
     return feed_versions.read_state(t.spark, f"{path}/state")
