@@ -7,7 +7,8 @@ Pairs whose estimate is not far below the threshold are confirmed on the whole s
 
 A bucket of a band may hold very many classes, so not all its pairs are looked at:
 
-1. Each member is compared with one of the bucket, that of the most rows. Confirmed links make
+1. Each member is compared with one of the bucket, that of the most rows, in a crowded bucket that which the most
+   others meet. Confirmed links make
    components.
 2. What is left are pairs of different components. Members that meet the same such centre are a group:
    those outside its largest component are compared with all others, in pairs of blocks of bounded size,
@@ -31,6 +32,8 @@ from medialog.llm.common import as_bytes, bit_filter, forget_tables, passes, pic
 from medialog.llm.components import components
 from medialog.llm.shingles import Bands, band_hashes, estimates, minima, packed, set_digest, shingle_set, word_hashes
 
+# Members from which on a bucket is crowded.
+CROWDED = 64
 # Members of a group in a block whose sets are compared, and bytes of their sets, about.
 BLOCK = 512
 BLOCK_BYTES = 32 << 20
@@ -230,6 +233,24 @@ def dealt(rows: DataFrame, sizes: DataFrame, most: int, most_bytes: int = BLOCK_
     return spread.withColumn("pair", F.explode(pairs)).select(*rows.columns, "pair.block", "pair.own")
 
 
+def _centres(in_band: DataFrame) -> DataFrame:
+    """``band``, ``centre`` for each bucket of several classes of ``in_band`` (``class``, ``rows``, ``band``).
+
+    Each bucket could have any of its members. Where many classes are alike they share many buckets; if
+    each of these had a centre of its own, all would be compared with all of them. So a crowded bucket takes that of its
+    members which the most others meet over all crowded buckets: mostly the same one.
+    """
+    tops = in_band.groupBy("band").agg(F.max(F.struct("rows", "class")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    tops = written(tops.select("band", F.col("top.class").alias("centre"), "n"), "near-tops")
+    # Mostly few: written, they are known to be small, and the other buckets' members need not move.
+    crowded = written(tops.where(F.col("n") >= CROWDED).select("band", "n"), "near-crowded")
+    inside = in_band.join(crowded, "band")
+    weights = written(inside.groupBy("class").agg(F.sum("n").alias("weight")), "near-weights")
+    chosen = inside.join(weights, "class").groupBy("band").agg(F.max(F.struct("weight", "rows", "class")).alias("best"))
+    chosen = written(chosen.select("band", F.col("best.class").alias("chosen")), "near-chosen")
+    return tops.join(chosen, "band", "left").select("band", F.coalesce("chosen", "centre").alias("centre"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """A row per row of ``docs``: ``id``, ``row`` (hash of the text), ``n_shingles``, ``component_id``, ``kept``.
 
@@ -258,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     in_band = classes.select("class", "rows", F.explode("bands").alias("band"))
-    centres = in_band.groupBy("band").agg(F.max(F.struct("rows", "class")).alias("top"), F.count("*").alias("n")).where("n > 1").select("band", F.col("top.class").alias("centre"))
+    centres = _centres(in_band)
     meets = in_band.join(centres, "band").where("class <> centre").select("centre", "class").distinct()
     signatures = classes.select("class", "signature")
     stars = written(

@@ -432,3 +432,11 @@ def test_bpe_caches_are_bounded_in_bytes(monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
         assert max(encoder.cache.held, encoder.words.held) < 20_000 + 20 * 600
         assert encoder.cache.held == sum(encoder.cache.size(*x) for x in encoder.cache.items())
+
+
+def test_crowded_buckets_have_one_centre(spark):
+    """Each member is in two of three crowded buckets, one in all; a small bucket keeps that of the most rows."""
+    rows = [(k, 1, band) for k in range(300) for band in (1, 2, 3) if k == 5 or k % 3 + 1 != band]
+    rows += [(7, 1, 9), (8, 2, 9), (11, 1, 10)]
+    got = near_dedup._centres(spark.createDataFrame(rows, "class long, rows long, band long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 5), (2, 5), (3, 5), (9, 8)]

@@ -156,5 +156,5 @@ def test_a_large_document_keeps_its_order_over_files(spark, scratch):
 
 def test_items_are_spread_before_they_are_rendered(spark):
     """A file of one row group is read by one task, which should not render all items."""
-    lines = feeds.feed_lines(episodes(spark, [dict(id="e")]), frame(spark, SHOWS, SHOW, [dict(id="s", slug="s")]), BASE, LATER)
+    lines = feeds.feed_lines(episodes(spark, dict(id="e")), frame(spark, SHOWS, SHOW, [dict(id="s", slug="s")]), BASE, LATER)
     assert "REPARTITION_BY_COL" in lines._jdf.queryExecution().executedPlan().toString()
