@@ -18,14 +18,17 @@ def _drain(query) -> None:
     query.awaitTermination()
 
 
-def _deliver(rows, path: str) -> None:
-    """Rows in three deliveries, a file each: by the last digit of their id, some of them twice.
+def _ingest_deliveries(rows, path: str, checkpoint: str) -> None:
+    """Rows into a log in three deliveries: by the last digit of their id, some of them twice.
 
-    Each delivery spans all days, so the later ones are late by days.
+    Each delivery spans all days, so the later ones are late by days. It has as many files as it was written by; the job
+    takes it before the next is there.
     """
     digit = F.col("request_id") % 10
     for wanted in (digit < 6, digit.isin(4, 5, 6, 7), digit > 6):
-        rows.where(wanted).coalesce(1).write.mode("append").parquet(path)
+        rows.where(wanted).write.mode("append").parquet(f"{path}/in")
+        raw = ingest.raw_stream(rows.sparkSession, f"{path}/in", "parquet")
+        _drain(ingest.ingest(raw, f"{path}/log", checkpoint))
 
 
 # Ingestion keeps texts whole.
@@ -35,9 +38,7 @@ WHOLE_SQL = ENRICH_SQL.replace("LEFT(range_header, 80)", "range_header").replace
 @REGISTRY.add("stream_ingest", WHOLE_SQL, ("raw_request",))
 def _(t):
     path = workspace(t.spark, "ingest")
-    _deliver(t.raw_request, f"{path}/in")
-    raw = ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1)
-    _drain(ingest.ingest(raw, f"{path}/log", f"{path}/checkpoint"))
+    _ingest_deliveries(t.raw_request, path, f"{path}/checkpoint")
     return read_log(t.spark, f"{path}/log").drop("requested_date", "batch")
 
 
@@ -50,9 +51,7 @@ FROM en WHERE kind IN ('download', 'stream') GROUP BY ALL""",
 )
 def _(t):
     path = workspace(t.spark, "daily")
-    _deliver(t.raw_request, f"{path}/in")
-    raw = ingest.raw_stream(t.spark, f"{path}/in", "parquet", files_per_batch=1)
-    _drain(ingest.ingest(raw, f"{path}/log", f"{path}/ingested"))
+    _ingest_deliveries(t.raw_request, path, f"{path}/ingested")
     _drain(daily.follow(daily.log_stream(t.spark, f"{path}/log"), lambda: read_log(t.spark, f"{path}/log"), f"{path}/steps", f"{path}/checkpoint"))
     return daily.daily_by_show(daily.read_totals(t.spark, f"{path}/steps"), "America/New_York")
 

@@ -43,12 +43,12 @@ def shortened(column: str, most: int | None) -> Column:
     return F.col(column) if most is None else F.substring(column, 1, most)
 
 
-def enrich_requests(raw: DataFrame, range_chars: int | None = None, error_chars: int | None = None) -> DataFrame:
+def enrich_requests(raw: DataFrame, range_chars: int | None = None, error_chars: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Access-log rows of raw responses.
 
     The owner's own requests are dropped, a media request with a Range header is a stream, and
     the user agent is reduced to a client family. Range headers and errors are kept whole unless a
-    number of characters is given.
+    number of characters is given. Columns to ``keep`` follow.
     """
     ranged = F.col("range_header").isNotNull() & (F.col("range_header") != "")
     kind = F.when(F.col("route") == "media", F.when(ranged, "stream").otherwise("download")).otherwise(F.col("route"))
@@ -65,6 +65,7 @@ def enrich_requests(raw: DataFrame, range_chars: int | None = None, error_chars:
         F.nullif(shortened("range_header", range_chars), F.lit("")).alias("range_header"),
         client_family(F.col("user_agent")).alias("client"),
         F.nullif(shortened("error", error_chars), F.lit("")).alias("error"),
+        *keep,
     )
 
 

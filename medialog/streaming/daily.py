@@ -1,7 +1,7 @@
 """Running daily figures of every show.
 
 The job follows the log. Counters per show and quarter hour are kept in state while the quarter hour is recent, and each batch writes
-those that it changed. A row of an older quarter hour has no state to be added to: its quarter hour is counted anew from
+those that it changed. A row of an older quarter hour has no state to be added to and leaves none: its quarter hour is counted anew from
 the log, which holds the row, and replaced.
 """
 
@@ -69,14 +69,11 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Steps(StatefulProcessor):
-    """Counters of one show and quarter hour while it is recent; else word that it is to be counted anew.
+    """Counters of one show and quarter hour while it is recent.
 
     The clock is the time of the batch that rows arrive in. The event-time watermark follows it, a horizon behind, and ends the state.
     """
 
-    def __init__(self, horizon: int):
-        self.horizon = horizon
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("counters", ", ".join(f"{c} BIGINT" for c in (*COUNTERS, "ends")))
@@ -87,16 +84,15 @@ class Steps(StatefulProcessor):
             sums = [s + int(frame[c].sum()) for s, c in zip(sums, COUNTERS, strict=True)]
             now = max(now, int(frame["arrived"].max()))
         show, step = key
-        recent = step * (_STEP_MICROS // 1_000) >= now - self.horizon
-        if recent:
-            if self.state.exists():
-                *before, ends = self.state.get()
-                sums = [s + old for s, old in zip(sums, before, strict=True)]
-                self.handle.deleteTimer(ends)
-            # The watermark is here a horizon from now, when the quarter hour is no longer recent.
-            self.handle.registerTimer(now + _STEP_MICROS // 1_000)
-            self.state.update((*sums, now + _STEP_MICROS // 1_000))
-        yield pd.DataFrame({"show_id": [show], "step": [step], **{c: [s] for c, s in zip(COUNTERS, sums, strict=True)}, "anew": [not recent]})
+        if self.state.exists():
+            *before, ends = self.state.get()
+            sums = [s + old for s, old in zip(sums, before, strict=True)]
+            self.handle.deleteTimer(ends)
+        # The watermark is here a horizon from now, when the quarter hour is no longer recent.
+        ends = now + _STEP_MICROS // 1_000
+        self.handle.registerTimer(ends)
+        self.state.update((*sums, ends))
+        yield pd.DataFrame({"show_id": [show], "step": [step], **{c: [s] for c, s in zip(COUNTERS, sums, strict=True)}, "anew": [False]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -107,7 +103,7 @@ class Steps(StatefulProcessor):
 
 
 def running_totals(log: DataFrame, horizon: str = HORIZON) -> DataFrame:
-    """Of a stream of log rows the counters of what each batch changed; ``anew`` where they are not whole."""
+    """Of a stream of log rows the counters of what each batch changed; ``anew``, any number of times, where they are not whole."""
     keyed_state(log.sparkSession)
     ok = F.coalesce(succeeded(), F.lit(False))
     parts = {
@@ -115,12 +111,18 @@ def running_totals(log: DataFrame, horizon: str = HORIZON) -> DataFrame:
         "streams": ok & (F.col("kind") == "stream"),
         "failures": ~F.coalesce(succeeded(), F.lit(True)),
     }
-    rows = once(log, "id", horizon).where(is_media() & F.col("requested_at").isNotNull()).select(
-        "show_id", _step(F.col("requested_at")).alias("step"), F.unix_millis(ARRIVED).alias("arrived"), *[c.cast("bigint").alias(n) for n, c in parts.items()], F.coalesce("bytes_sent", F.lit(0)).cast("bigint").alias("bytes")
+    step, media = _step(F.col("requested_at")), log.where(is_media() & F.col("requested_at").isNotNull())
+    # The time of the batch, as in the column of arrival.
+    recent = step * (_STEP_MICROS // 1_000) >= F.unix_millis(F.current_timestamp()) - milliseconds(horizon)
+    rows = once(media.where(recent), "id", horizon).select(
+        "show_id", step.alias("step"), F.unix_millis(ARRIVED).alias("arrived"), *[c.cast("bigint").alias(n) for n, c in parts.items()], F.coalesce("bytes_sent", F.lit(0)).cast("bigint").alias("bytes")
     )
-    return rows.mapInArrow(_combined, _COUNTED).groupBy("show_id", "step").transformWithStateInPandas(
-        Steps(milliseconds(horizon)), f"show_id STRING, step BIGINT, {', '.join(f'{c} BIGINT' for c in COUNTERS)}, anew BOOLEAN", outputMode="Append", timeMode="EventTime"
+    counted = rows.mapInArrow(_combined, _COUNTED).groupBy("show_id", "step").transformWithStateInPandas(
+        Steps(), f"show_id STRING, step BIGINT, {', '.join(f'{c} BIGINT' for c in COUNTERS)}, anew BOOLEAN", outputMode="Append", timeMode="EventTime"
     )
+    # Older quarter hours are counted from the log, so that it does not matter how often a row of theirs comes.
+    older = media.where(~recent).select("show_id", step.alias("step"), *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS], F.lit(True).alias("anew"))
+    return counted.unionByName(older)
 
 
 def follow(log: DataFrame, stored: Callable[[], DataFrame], path: str, checkpoint: str, horizon: str = HORIZON) -> StreamingQuery:
@@ -131,7 +133,7 @@ def follow(log: DataFrame, stored: Callable[[], DataFrame], path: str, checkpoin
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        batch = batch.distinct().persist()  # a row for each older row becomes one for each older quarter hour
         try:
             start = F.timestamp_micros(F.col("step") * _STEP_MICROS)
             whole = batch.where("NOT anew").select(start.alias("step_start"), "show_id", *COUNTERS)

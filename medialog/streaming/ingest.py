@@ -65,14 +65,15 @@ def ingest(raw: DataFrame, path: str, checkpoint: str, name: str = "stream", hor
 
     def write(batch: DataFrame, epoch: int) -> None:
         label = f"{name}-{epoch}"
-        batch = batch.persist()  # so that the state is not gone through once per use
+        # Persisted, so that the state is not gone through once per use.
+        batch = enrich_requests(batch, keep=(ARRIVED,)).persist()
         try:
             known = in_state(F.col("requested_at"), horizon) if epoch else F.lit(False)
-            fresh, old = batch.where(known), enrich_requests(batch.where(~known))
+            fresh, old = batch.where(known).drop(ARRIVED), batch.where(~known).drop(ARRIVED)
             if not old.isEmpty():
                 others = read_log(batch.sparkSession, path).where(F.col(BATCH) != label)
                 old = not_stored(old, others)
-            append_log(enrich_requests(fresh).unionByName(old), path, label)
+            append_log(fresh.unionByName(old), path, label)
         finally:
             batch.unpersist()
 

@@ -131,6 +131,35 @@ def test_recent_responses_are_told_apart_without_the_log(spark, scratch, monkeyp
     assert sorted(r.id for r in read_log(spark, f"{scratch}/log").where("id < 0 OR id > 8").collect()) == [-1441, 9]
 
 
+def test_old_rows_are_counted_without_state(spark, scratch):
+    # Years old, some of them twice in a delivery and in two.
+    for ids in ([1, 2, 2, 3, 4, -1440, 6], [3, 4, 6, 7, 7, -1440]):
+        raw(spark, ids).repartition(3).write.mode("append").json(f"{scratch}/in")
+        ingest.ingest(ingest.raw_stream(spark, f"{scratch}/in"), f"{scratch}/log", f"{scratch}/ingested").awaitTermination()
+        stream = daily.log_stream(spark, f"{scratch}/log")
+        query = daily.follow(stream, lambda: read_log(spark, f"{scratch}/log"), f"{scratch}/steps", f"{scratch}/check")
+        query.awaitTermination()
+        assert [op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"] if op["numRowsUpdated"]] == []
+    sums = daily.read_totals(spark, f"{scratch}/steps").agg(F.sum("downloads"), F.sum("streams")).first()
+    assert tuple(sums) == (3, 3)
+
+
+def test_one_id_with_two_times_counts_once(spark, scratch):
+    twice = raw(spark, [1]).union(raw(spark, [1]).withColumn("requested_at", F.current_timestamp()))
+    for rows in (twice, raw(spark, [1, 2])):
+        rows.repartition(2).write.mode("append").json(f"{scratch}/in")
+        ingest.ingest(ingest.raw_stream(spark, f"{scratch}/in"), f"{scratch}/log", f"{scratch}/check").awaitTermination()
+    assert [r.id for r in read_log(spark, f"{scratch}/log").where("id = 1").collect()] == [1]
+
+
+def test_deliveries_are_written_by_all_tasks(spark, scratch):
+    from medialog.registry.streams import _ingest_deliveries
+
+    _ingest_deliveries(raw(spark, range(1, 40)).repartition(4), scratch, f"{scratch}/check")
+    assert len(spark.read.parquet(f"{scratch}/in").inputFiles()) > 3
+    assert read_log(spark, f"{scratch}/log").count() == len({i for i in range(1, 40) if i % 5})
+
+
 def test_version_state_is_monotone(spark, scratch):
     t = at("2024-01-01T00:00:00")
     batches = [
