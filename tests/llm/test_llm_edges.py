@@ -23,6 +23,7 @@ from medialog.llm import (  # noqa: E402
     bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, quality, token_counts, warc,
 )
 from medialog.llm.common import pick_rows  # noqa: E402
+from medialog.llm.queries import QUERIES  # noqa: E402
 from medialog.llm.shingles import Bands, estimates, minima, packed, shingle_set, word_hashes  # noqa: E402
 from medialog.llm.vocabulary import read_vocabulary  # noqa: E402
 
@@ -335,6 +336,17 @@ def test_wrapped_notices_sentences_and_tags_are_found(spark):
     assert set(lines.values()) == {None}
 
 
+def test_registered_scan_finds_wrapped_notices_and_tags(spark, tmp_path):
+    rows = [
+        (1, "/* Redistribution and use in source and\n * binary forms, with or without\n * modification, are permitted. */\n" + "int x;\n" * 20),
+        (2, "# SPDX-License-Identifier: MIT\n" + "x = 1\n" * 20), (3, "nothing of the kind\n" * 20),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'code' AS source", "length(text) AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.own_licence for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "MIT", 3: None}
+
+
 def test_passages(docs, empty, spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = spark.createDataFrame([(1, item), (2, "Short item"), (None, "no id here"), (4, None), (5, "..."), (2, "Short item")], "item_id long, text string")
